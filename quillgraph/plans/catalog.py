@@ -1,10 +1,7 @@
-"""Registered queries of the library and their SQL equivalents."""
+"""All registered queries of the library and their SQL equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quillgraph.plans import q_chat, q_decisions, q_document, q_graph  # noqa: F401
+from quillgraph.plans.q_chat import window_text  # noqa: F401
+from quillgraph.plans.registry import ORACLES, QUERIES  # noqa: F401
