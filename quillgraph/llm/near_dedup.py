@@ -75,8 +75,9 @@ def fingerprint(h: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int, words: int) -> DataFrame:
-    """(doc_id, _row, n_shingles, w0, w1, ...) of every document; words as signed longs."""
+def fingerprints(rows: DataFrame, k: int, words: int) -> DataFrame:
+    """(doc_id, _row, n_shingles, w0, w1, ...) of rows of (doc_id, _row, text); fingerprint
+    words as signed longs."""
     names = [f"w{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +93,8 @@ def fingerprints(docs: DataFrame, k: int, words: int) -> DataFrame:
                 ["doc_id", "_row", "n_shingles", *names],
             )
 
-    _shared.set_batches(docs.sparkSession)
-    rows, _ = _shared.number_rows(docs, _shared.column_or_null(docs, "doc_id", "long").alias("doc_id"), _shared.text_or_empty().alias("text"))
-    narrow = rows.select("doc_id", "_row", "text")
-    return narrow.mapInArrow(run, "doc_id long, _row long, n_shingles long, " + ", ".join(f"{n} long" for n in names))
+    _shared.set_batches(rows.sparkSession)
+    return rows.select("doc_id", "_row", "text").mapInArrow(run, "doc_id long, _row long, n_shingles long, " + ", ".join(f"{n} long" for n in names))
 
 
 def distance(points: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -103,35 +102,46 @@ def distance(points: np.ndarray, point: np.ndarray) -> np.ndarray:
 
 
 class VantageTree:
-    """The top of the tree: inner nodes split at a distance, leaves are shards."""
+    """The top of the tree: inner nodes split at a distance, leaves are shards.
 
-    def __init__(self, sample: np.ndarray, shards: int, radius: int):
-        self.radius, self.nodes, self.leaves = radius, [], 0
-        depth = max(0, int(np.ceil(np.log2(max(shards, 1)))))
-        self.root = self._build(sample, depth)
+    With a least ratio of sizes a node may split at a size instead: the same bound in one
+    dimension. Of the cuts tried, the one that sends the fewest visitors across is taken.
+    """
 
-    def _build(self, sample: np.ndarray, depth: int) -> int:
+    def __init__(self, sample: np.ndarray, sizes: np.ndarray, shards: int, radius: int, ratio: float = 0.0):
+        self.radius, self.ratio, self.nodes, self.leaves = radius, ratio, [], 0
+        depth = max(0, int(np.ceil(np.log2(max(shards, 1)))))
+        self.root = self._build(sample, sizes, depth)
+
+    def _cuts(self, sample: np.ndarray, sizes: np.ndarray):
+        """(vantage point or None for a size, cut, inside, visitors) of candidate splits."""
+        for v in sample[:: max(1, len(sample) // 16)][:16]:
+            d = distance(sample, v)
+            cut = int(np.median(d))
+            cut = cut if (d > cut).any() else cut - 1
+            yield v, cut, d <= cut, (d > cut - self.radius) & (d <= cut)
+        if self.ratio:
+            cut = int(np.median(sizes))
+            cut = cut if (sizes > cut).any() else cut - 1
+            yield None, cut, sizes <= cut, (sizes <= cut) & (sizes > self.ratio * cut)
+
+    def _build(self, sample: np.ndarray, sizes: np.ndarray, depth: int) -> int:
         """Index of a node, or -1 - shard for a leaf."""
         best = None
-        if depth and len(sample) >= 2:
-            for v in sample[:: max(1, len(sample) // 16)][:16]:
-                d = distance(sample, v)
-                cut = int(np.median(d))
-                cut = cut if (d > cut).any() else cut - 1
-                shared = int(((d > cut - self.radius) & (d <= cut)).sum())
-                balance = min(int((d <= cut).sum()), int((d > cut).sum()))
-                if balance and (best is None or shared / balance < best[0]):
-                    best = shared / balance, v, cut, d <= cut
+        for v, cut, inside, visitors in self._cuts(sample, sizes) if depth and len(sample) >= 2 else ():
+            balance = min(int(inside.sum()), int((~inside).sum()))
+            if balance and (best is None or visitors.sum() / balance < best[0]):
+                best = visitors.sum() / balance, v, cut, inside
         if best is None:
             self.leaves += 1
             return -self.leaves
         at = len(self.nodes)
         self.nodes.append(None)
         _, v, cut, inside = best
-        self.nodes[at] = (v, cut, self._build(sample[inside], depth - 1), self._build(sample[~inside], depth - 1))
+        self.nodes[at] = (v, cut, self._build(sample[inside], sizes[inside], depth - 1), self._build(sample[~inside], sizes[~inside], depth - 1))
         return at
 
-    def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index, shard, home) of each point's home and of every shard it visits.
 
         Of a pair that a node parts, the point inside visits the outside; never both.
@@ -148,11 +158,15 @@ class VantageTree:
                 home.append(own)
                 continue
             v, cut, inner, outer = self.nodes[node]
-            d, r = distance(points[at], v), self.radius
-            goes_in = np.where(own, d <= cut, d <= cut + r)
-            goes_out = d > cut - r
+            if v is None:
+                d = sizes[at]
+                reaches_in, reaches_out = self.ratio * d <= cut, d > self.ratio * cut
+            else:
+                d = distance(points[at], v)
+                reaches_in, reaches_out = d <= cut + self.radius, d > cut - self.radius
+            goes_in = np.where(own, d <= cut, reaches_in)
             todo.append((inner, at[goes_in], own[goes_in]))
-            todo.append((outer, at[goes_out], (own & (d > cut))[goes_out]))
+            todo.append((outer, at[reaches_out], (own & (d > cut))[reaches_out]))
         if not index:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         return np.concatenate(index), np.concatenate(shard), np.concatenate(home)
@@ -165,7 +179,6 @@ class Linker:
         self.p, self.r, self.sizes, self.ratio = points, radius, sizes, ratio
         self.root = np.arange(len(points))
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
-        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
     def block(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
@@ -180,7 +193,7 @@ class Linker:
                 x, y = self.sizes[part, None], self.sizes[None, b]
                 close &= np.minimum(x, y) >= self.ratio * np.maximum(x, y)
             if same:
-                close &= part[:, None] < b[None, :]
+                close &= part[:, None] != b[None, :]
             i, j = np.nonzero(close)
             if len(i):
                 self.links.append((part[i], b[j]))
@@ -211,6 +224,18 @@ class Linker:
                     break
                 root[:] = above
 
+    def banded(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        """Pairs within the ratio of sizes, by blocks of neighbouring sizes; in one set a
+        block meets itself and what is larger."""
+        a, b = (x[np.argsort(self.sizes[x], kind="stable")] for x in (a, b))
+        sizes = self.sizes[b]
+        for s in range(0, len(a), 256):
+            part = a[s : s + 256]
+            low = s if same else np.searchsorted(sizes, self.ratio * self.sizes[part[0]], "left")
+            high = np.searchsorted(sizes, self.sizes[part[-1]] / self.ratio, "right")
+            if high > low:
+                self.block(part, b[low:high], same)
+
     def alone(self, at: np.ndarray) -> None:
         """Pairs within one set."""
         if len(at) * len(at) <= BLOCK:
@@ -218,12 +243,17 @@ class Linker:
             return
         d, cut = self.vantage(at)
         inside, outside = at[d <= cut], at[d > cut]
-        if not len(inside) or not len(outside):
-            self.block(at, at, True)
+        near_in, near_out = at[(d <= cut) & (d > cut - self.r)], at[(d > cut) & (d <= cut + self.r)]
+        if len(near_in) * len(near_out) > 0.9 * len(inside) * len(outside):
+            # The radius is too wide for this point to prune anything (or all are at one distance).
+            self.wide(at, at, True)
             return
         self.alone(inside)
         self.alone(outside)
-        self.across(at[(d <= cut) & (d > cut - self.r)], at[(d > cut) & (d <= cut + self.r)])
+        self.across(near_in, near_out)
+
+    def wide(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        (self.banded if self.ratio else self.block)(a, b, same)
 
     def vantage(self, at: np.ndarray) -> tuple[np.ndarray, int]:
         """Distances from the candidate that spreads a few others most, and their median."""
@@ -250,7 +280,7 @@ class Linker:
             (a[(da > cut) & (da <= cut + self.r)], b[(db <= cut) & (db > cut - self.r)]),
         ]
         if sum(len(x) * len(y) for x, y in parts) > 0.9 * len(a) * len(b):
-            self.block(a, b, False)
+            self.wide(a, b, False)
             return
         for x, y in parts:
             self.across(x, y)
@@ -271,13 +301,16 @@ def near_components(prints: DataFrame, radius: int, words: int, shard_size: int
     spark, n = prints.sparkSession, reps.count()
     shards = -(-n // shard_size)
     # Bounded whatever the input: SAMPLE fingerprints, the same on every run.
-    sample = reps.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(SAMPLE).select(*names).collect() if shards > 1 else []
-    tree = VantageTree(np.array([list(r) for r in sample], dtype=np.int64).reshape(-1, words).view(np.uint64), shards, radius)
+    sized = "n_shingles" if ratio else F.lit(0).cast("long").alias("n_shingles")
+    sample = reps.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(SAMPLE).select(*names, sized).collect() if shards > 1 else []
+    table = np.array([list(r) for r in sample], dtype=np.int64).reshape(-1, words + 1)
+    tree = VantageTree(np.ascontiguousarray(table[:, :words]).view(np.uint64), table[:, words], shards, radius, ratio)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).view(np.uint64)
-            at, shard, home = tree.route(points)
+            sizes = batch.column("n_shingles").to_numpy() if ratio else np.zeros(len(points), dtype=np.int64)
+            at, shard, home = tree.route(points, sizes)
             chosen = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(home), *chosen.columns], ["shard", "home", *batch.schema.names])
 
@@ -301,16 +334,9 @@ def near_components(prints: DataFrame, radius: int, words: int, shard_size: int
     return connected_components(edges)
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, words: int = 1, shard_size: int = SHARD, ratio: float = 0.0) -> DataFrame:
-    """(doc_id, _row, fingerprint, component, component_id), one row a document.
-
-    ``fingerprint`` is 16 lowercase hex digits a word; ``component`` the smallest row number
-    reachable over links and ``component_id`` the smallest doc_id reachable (NULL only if
-    all ids there are NULL). A NULL text counts as empty: texts without words have
-    fingerprint zero and link like others. Repeated rows share a component; other columns
-    of the input are ignored whatever their names; an empty table gives an empty result.
-    """
-    prints = _shared.materialize(fingerprints(docs, k, words), "simhash")
+def _classes(rows: DataFrame, k: int, radius: int, words: int, shard_size: int, ratio: float) -> DataFrame:
+    """(doc_id, _row, fingerprint, component, component_id) of rows of (doc_id, _row, text)."""
+    prints = _shared.materialize(fingerprints(rows, k, words), "simhash")
     names = [f"w{i}" for i in range(words)]
     keys = [*names, "n_shingles"] if ratio else names
     linked = near_components(prints, radius, words, shard_size, ratio)
@@ -322,5 +348,33 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, words: int = 1
     return prints.join(labels, keys).select("doc_id", "_row", hexed.alias("fingerprint"), "component", "component_id")
 
 
+def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, words: int = 1, shard_size: int = SHARD, ratio: float = 0.0) -> DataFrame:
+    """(doc_id, _row, fingerprint, component, component_id), one row a document.
+
+    ``fingerprint`` is 16 lowercase hex digits a word; ``component`` the smallest row number
+    reachable over links and ``component_id`` the smallest doc_id reachable (NULL only if
+    all ids there are NULL). A NULL text counts as empty: texts without words have
+    fingerprint zero and link like others. Repeated rows share a component; other columns
+    of the input are ignored whatever their names; an empty table gives an empty result.
+    """
+    rows, _ = _shared.number_rows(docs, _shared.column_or_null(docs, "doc_id", "long").alias("doc_id"), _shared.text_or_empty().alias("text"))
+    return _classes(rows, k, radius, words, shard_size, ratio)
+
+
+def keep_one(docs: DataFrame, k: int = 5, radius: int = 46, words: int = 4, shard_size: int = SHARD, ratio: float = 0.75) -> DataFrame:
+    """The documents, all columns, without near copies: the first stored row of each class.
+
+    The defaults link texts whose sets of five-word shingles have a similarity of 0.8: two
+    such fingerprints of 256 bits differ in 39 bits on average (deviation 6), unrelated ones
+    in 128 (deviation 8), and their shingle counts are within the ratio.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered, _ = _shared.number_rows(docs, whole.alias("doc"))
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    rows = numbered.select(F.lit(None).cast("long").alias("doc_id"), "_row", text.alias("text"))
+    kept = _shared.materialize(_classes(rows, k, radius, words, shard_size, ratio).where("_row = component").select("_row"), "kept")
+    return numbered.join(kept, "_row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")

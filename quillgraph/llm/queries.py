@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe_codec, exact_dedup, exact_topk, near_dedup, packing, sharding, token_counts
+from quillgraph.llm import bpe_codec, exact_dedup, exact_topk, license_scan, line_dedup, near_dedup, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_exact_topk": exact_topk.query,
+    "op3_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
     "op5_bpe_codec": bpe_codec.query,
+    "op6_license_scan": license_scan.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_packing": packing.query,
     "op10_near_dedup": near_dedup.query,
