@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.session import cut_lineage
+
 DUPLICATE_SIMILARITY = 0.88
 #: Rows of one side of a matrix block.
 BLOCK_ROWS = 2048
@@ -61,8 +63,8 @@ def lsh_pairs(rows: DataFrame, threshold: float = DUPLICATE_SIMILARITY, tables:
 
     length = norm(F.col("vec"))
     unit = rows.where("vec is not null").withColumn("vec", F.when(length > 0, F.transform("vec", lambda x: x / length)).otherwise(F.col("vec")))
-    # The filter may run after the conversion, which takes no NULL.
-    ready = unit.withColumn("features", array_to_vector(F.coalesce("vec", F.array().cast("array<double>")))).select("label", "id", "features")
+    # Read several times, and the conversion takes no NULL that a later filter would drop.
+    ready = cut_lineage(unit).withColumn("features", array_to_vector("vec")).select("label", "id", "features")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(ready)
     far = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     pairs = model.approxSimilarityJoin(ready, ready, far + 1e-9, "distance").where("datasetA.label = datasetB.label and datasetA.id < datasetB.id")

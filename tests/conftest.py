@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from quillgraph.session import local_session
 
-    session = local_session(4, **{"spark.driver.memory": "6g", "spark.sql.shuffle.partitions": "4"})
+    session = local_session(8, **{"spark.driver.memory": "6g", "spark.sql.shuffle.partitions": "4"})
     yield session
     session.stop()
 
