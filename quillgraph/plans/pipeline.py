@@ -114,3 +114,15 @@ def subgraph_rows(spark, subgraphs: list[dict]) -> DataFrame:
     lines = [(json.dumps(g, ensure_ascii=False), i) for i, g in enumerate(subgraphs)]
     raw = spark.createDataFrame(lines, "g string, i bigint").select(F.from_json("g", schemas.SUBGRAPH).alias("g"), "i")
     return raw.select(F.lit("replay").alias("source"), F.col("g.source_ref").alias("window_ref"), F.lit(0).cast("bigint").alias("thread_idx"), F.col("i").alias("window_idx"), "g.nodes", "g.edges")
+
+
+def write_outputs(unified: UnifiedGraph, document: DataFrame, path: str) -> None:
+    """The document, the report, the graph as JSON and GraphML, each in its own folder."""
+    from quillgraph.sources import sinks
+
+    sinks.write_single_text(document, "markdown", f"{path}/document")
+    sinks.write_single_text(decisions.merge_report(unified.decisions), "report", f"{path}/report")
+    for name in ("nodes", "edges", "conflicts", "decisions"):
+        sinks.write_json(getattr(unified, name), f"{path}/{name}")
+    columns = ["id", "label", "name", "description", "properties", "target_section", "seq"]
+    sinks.write_graphml(unified.nodes.select(*[c for c in columns if c in unified.nodes.columns]), unified.edges.select("source", "target", "relation", "evidence", "seq"), f"{path}/graphml")

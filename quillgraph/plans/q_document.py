@@ -60,16 +60,18 @@ def prompts_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text_fn.prompt_with_data(F.lit("Ask"), data).alias("prompt"), text_fn.parse_timestamp(iso).cast("timestamp_ntz").alias("parsed"))
 
 
-@query("""WITH t AS (SELECT CAST(o_orderkey % 4 AS INTEGER) AS a, CAST(o_orderkey AS INTEGER) AS b, o_orderpriority AS title FROM orders WHERE o_orderkey < 40)
-SELECT string_agg('### ' || a || '.' || b || ' ' || title || chr(10) || chr(10) || 'text ' || b, chr(10) || chr(10) ORDER BY a, b) AS markdown FROM t""")
+@query("""WITH t AS (SELECT r_regionkey AS a, -1 AS b, '## ' || r_regionkey || ' ' || r_name || chr(10) || chr(10) || 'Region.' AS md FROM region
+  UNION ALL SELECT n_regionkey, n_nationkey, '### ' || n_regionkey || '.' || n_nationkey || ' ' || n_name FROM nation)
+SELECT string_agg(md, chr(10) || chr(10) ORDER BY a, b) AS markdown FROM t""")
 def outline_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested outline, flattened to paths."""
     from quillgraph.operators import sections
 
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 40")
-    a, b = (F.col("o_orderkey") % 4).cast("int"), F.col("o_orderkey").cast("int")
-    number = F.concat_ws(".", a.cast("string"), b.cast("string"))
-    return sections.outline(o.select(F.array(a, b).alias("path"), number.alias("number"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("text "), b.cast("string")).alias("content")))
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    top = r.select(F.array("r_regionkey").alias("path"), F.col("r_regionkey").cast("string").alias("number"), F.col("r_name").alias("title"), F.lit("Region.").alias("content"))
+    number = F.concat_ws(".", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"))
+    below = n.select(F.array("n_regionkey", "n_nationkey").alias("path"), number.alias("number"), F.col("n_name").alias("title"), F.lit("").alias("content"))
+    return sections.outline(top.unionByName(below))
 
 
 @query()

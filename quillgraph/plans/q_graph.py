@@ -170,6 +170,18 @@ def glossary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.upsert_glossary(rows).select("id", "description", "seq")
 
 
+@query("""WITH g AS (SELECT DISTINCT replace(replace(lower(n_name), ' ', '_'), '-', '_') AS id FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 5000)
+SELECT c_custkey, replace(replace(lower(n_name), ' ', '_'), '-', '_') AS id, replace(replace(lower(n_name), ' ', '_'), '-', '_') IN (SELECT id FROM g) AS is_duplicate
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def link_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J15, L2 offline: each customer names a nation; the glossary knows rich suppliers' nations."""
+    nation = table(spark, sf_dir, "nation")
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    glossary = rich.select(text_fn.slug(F.col("n_name")).alias("id"))
+    entities = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.upper("n_name").alias("name"))
+    return g.link_entities(entities, glossary).select("c_custkey", "id", "is_duplicate")
+
+
 @query("SELECT p_brand, string_agg('- ' || p_partkey || ' (Concept): ' || p_name, chr(10) ORDER BY p_partkey) AS glossary FROM part GROUP BY p_brand")
 def glossary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T14, A16."""
