@@ -33,7 +33,7 @@ PREFIXES = (4, 5, 6, 7)
 #: Terms of the model at most, and how far (in standard errors) the share of toxic documents
 #: with a term must be from the share of others.
 TERMS, APART = 4096, 5.0
-FACTORS, EPOCHS, BATCH, STEP, SHRINK = 8, 12, 256, 0.08, 2e-3
+FACTORS, EPOCHS, BATCH, STEP, SHRINK = 8, 12, 256, 0.03, 2e-3
 #: Words remembered by a worker before its tables start afresh.
 REMEMBERED = 500_000
 
