@@ -373,7 +373,8 @@ def keep_one(docs: DataFrame, k: int = 5, radius: int = 46, words: int = 4, shar
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     rows = numbered.select(F.lit(None).cast("long").alias("doc_id"), "_row", text.alias("text"))
     kept = _shared.materialize(_classes(rows, k, radius, words, shard_size, ratio).where("_row = component").select("_row"), "kept")
-    return numbered.join(kept, "_row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    # A merge join at every size: the kept rows grow with the corpus, so they are never broadcast.
+    return numbered.join(kept.hint("merge"), "_row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
