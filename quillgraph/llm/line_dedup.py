@@ -164,7 +164,8 @@ def deduplicate_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_word
     rows, _ = _shared.number_rows(docs, whole.alias("doc"))
     text = F.col("doc.text").cast("string")
     cuts = repeated_runs(rows.select("_row", F.coalesce(text, F.lit("")).alias("text")), gram_words, window_words)
-    joined = rows.join(_shared.materialize(cuts, "cuts"), "_row", "left")
+    # A merge join at every size: cuts grow with the corpus, so they are never broadcast.
+    joined = rows.join(_shared.materialize(cuts, "cuts").hint("merge"), "_row", "left")
     # Only documents with cuts pass through Python.
     done = joined.withColumn("done", F.when(F.col("cuts").isNotNull(), _cut(F.coalesce(text, F.lit("")), F.col("cuts"))))
     fields = [F.coalesce("done.text", text).alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
