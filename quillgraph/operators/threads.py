@@ -69,8 +69,9 @@ def thread_edges(messages: DataFrame, lookback: int = LOOKBACK, max_gap: str = M
     later message's stands.
     """
     replies = reply_edges(messages)
-    narrow = messages.where("vec is not null and ts is not null").select("source", "pos", "id", "ts", "vec").withColumn("norm", norm(F.col("vec")))
-    # Positions count all messages, also those that a reply takes out below.
+    # Positions count all messages, also those without a vector or time and those that a reply
+    # takes out below.
+    narrow = messages.select("source", "pos", "id", "ts", "vec").withColumn("norm", norm(F.col("vec")))
     pairs = lookback_pairs(narrow, ["source"], lookback, max_gap)
     pairs = pairs.join(replies.select("source", "id"), ["source", "id"], "left_anti")
     similar = best_previous(pairs, ["source", "id"], "prev_id", cosine(F.col("vec"), F.col("prev_vec"), F.col("norm"), F.col("prev_norm")), least)
