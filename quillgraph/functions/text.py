@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Characters of a quoted reply, of a custom id; the frame of a quoted reply.
 REPLY_SNIPPET = 40
 CUSTOM_ID_CHARS = 30
+REPLY_FRAME = ('[в ответ ', ': "', '..."]')
 
 
 def strip(text: Column) -> Column:
@@ -80,10 +82,10 @@ def prompt_with_data(prompt: Column, data: Column, separator: str = "\n\nDATA:\n
     return F.when(F.coalesce(data, F.lit("")) == "", prompt).otherwise(F.concat(prompt, F.lit(separator), data))
 
 
-def reply_snippet(author: Column, text: Column, template: tuple[str, str, str] = ('[в ответ ', ': "', '..."]')) -> Column:
+def reply_snippet(author: Column, text: Column, frame: tuple[str, str, str] = REPLY_FRAME) -> Column:
     """The first 40 characters of the message answered, line ends as spaces."""
     snippet = F.replace(F.substring(text, 1, REPLY_SNIPPET), F.lit("\n"), F.lit(" "))
-    a, b, c = template
+    a, b, c = frame
     return F.concat(F.lit(a), F.coalesce(author, F.lit("Unknown")), F.lit(b), snippet, F.lit(c))
 
 

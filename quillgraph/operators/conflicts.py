@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as text_fn
 from quillgraph.operators.graph import Graph, ordered_lines, remove_nodes
 
+# How many technical nodes are looked at, their labels, a custom node's description.
 CONTEXT_LIMIT = 60
 TECHNICAL = ("Component", "Concept", "Requirement")
 CUSTOM_DESCRIPTION = "Выбор пользователя"

@@ -13,7 +13,7 @@ from quillgraph.operators.graph import Graph, edge_order
 
 @dataclass(frozen=True)
 class Wording:
-    """Texts of resolutions and of the report."""
+    """Texts of resolutions and of the report (fixed values by default)."""
 
     no_votes: str = "Голосов не обнаружено. Решение не принято."
     tie: tuple[str, str, str] = ("Ничья между: ", " (счёт ", "). Требуется ручное решение.")

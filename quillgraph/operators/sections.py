@@ -9,6 +9,7 @@ from quillgraph import schemas
 from quillgraph.functions import text as text_fn
 from quillgraph.operators.graph import global_number, ordered_lines
 
+# Batch size, document name and version.
 BATCH = 20
 PROJECT_NAME = "Техническое Задание (AI Generated)"
 VERSION = "1.0.0"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.session import cut_lineage
 
+# A fixed value: least similarity of duplicates.
 DUPLICATE_SIMILARITY = 0.88
 #: Rows of one side of a matrix block.
 BLOCK_ROWS = 2048

@@ -10,6 +10,7 @@ from quillgraph.functions import text as text_fn
 from quillgraph.functions.vectors import cosine, norm
 from quillgraph.operators.components import connected_components
 
+# Rows looked back, largest gap, weight of a reply, least similarity.
 LOOKBACK = 20
 MAX_GAP = "4 hours"
 REPLY_WEIGHT = 15.0

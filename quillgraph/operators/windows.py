@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as text_fn
 
+# Characters of a window, messages carried over.
 MAX_CHARS = 6000
 OVERLAP = 4
 

@@ -216,6 +216,15 @@ def test_document_of_the_sample(spark):
     assert unified.decisions.count() >= 2 and unified.edges.where("relation = 'RESOLVED_TO'").count() >= 1
 
 
+def test_outputs_are_written(spark, tmp_path):
+    unified, document = pipeline.run(chat.sample_chats(spark), retry=QUICK)
+    pipeline.write_outputs(unified, document, str(tmp_path))
+    assert spark.read.text(str(tmp_path / "document"), wholetext=True).first()["value"].startswith("# ")
+    nodes, edges = chat.read_graphml(spark, str(tmp_path / "graphml" / "part-*"))
+    assert nodes.count() == unified.nodes.count() and edges.count() == unified.edges.count()
+    assert spark.read.json(str(tmp_path / "nodes")).count() == nodes.count()
+
+
 def test_resolutions_in_two_phases(spark):
     mined = mining.mine_parallel(mining.chat_windows(chat.sample_chats(spark)), providers.Rules(), QUICK)
     g, found = pipeline.prepare(mined, providers.Rules(), QUICK)

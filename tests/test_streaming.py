@@ -16,7 +16,9 @@ def stream(spark, tmp_path, sf_dir):
 
 def finish(df, name, mode, tmp_path):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination()
+    # Timeouts by the clock keep a query alive for ever: it is stopped after its input is read.
+    q.awaitTermination(20)
+    q.stop()
     return df.sparkSession.table(name)
 
 
