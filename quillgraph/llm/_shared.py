@@ -82,7 +82,8 @@ def number_rows(df: DataFrame, *columns: Column, name: str = "_row") -> tuple[Da
         place = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
         counts = place.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("last"))
         files = counts.orderBy("f").limit(MAX_BROADCAST_FILES + 1).collect()
-        if any(r["n"] != r["last"] + 1 for r in files):
+        # A filter leaves gaps in the indices.
+        if any(r["n"] != r["last"] + 1 for r in files) or (len(files) > MAX_BROADCAST_FILES and not counts.where("n <> last + 1").isEmpty()):
             files = None
     except AnalysisException:
         files = None

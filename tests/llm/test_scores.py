@@ -140,6 +140,20 @@ def test_op6_corner_cases(odd_docs, no_docs):
     assert license_scan.scan(no_docs).collect() == []
 
 
+def test_stages_on_odd_and_no_documents(spark, odd_docs, no_docs, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from quillgraph.llm import _shared
+
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for frame in (odd_docs, no_docs):
+        for name, stage in pipeline.STAGES:
+            out = _shared.materialize(stage(spark, frame, str(tmp_path)), "odd")
+            if name != "packing":
+                assert out.columns == odd_docs.columns and out.count() <= frame.count()
+                frame = out
+        assert out.count() >= frame.count()
+
+
 def test_pipeline(spark, sf_dir, texts):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -46,7 +46,9 @@ def test_corner_cases(odd_docs, no_docs):
     assert sharding.shard(no_docs).collect() == []
 
 
-def test_numbers_follow_files(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [50_000, 2])
+def test_numbers_follow_files(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(_shared, "MAX_BROADCAST_FILES", broadcast)
     spark.range(1000).repartition(7).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     for frame in (df, df.where("id % 3 = 0"), df.unionAll(df)):
