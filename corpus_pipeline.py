@@ -14,23 +14,28 @@ from quillgraph.llm import _shared, line_dedup, near_dedup, packing, toxicity
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine, fitted on the labelled ones, finds clean."""
+    """Documents that the factorization machine, fitted on the labelled ones, finds clean.
+
+    A NULL or empty text has the score of the bias alone, so it stays where most labels say clean.
+    """
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.scorer(machine)(F.col("text")) < 0.5)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier document holds."""
+    """Documents without passages that an earlier document holds. No row goes: a document that
+    repeats earlier ones whole keeps its row with what is left; a NULL text stays NULL."""
     return line_dedup.deduplicate_lines(docs).select("doc.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the first stored; all texts without words
+    are one group."""
     return near_dedup.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences, a row a piece."""
+    """Token sequences, a row a piece; a text without words is its end id."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
