@@ -2,7 +2,7 @@
 
 1. One pass gives each document its SimHash fingerprint (64 bits a word, one word or more).
 2. Equal fingerprints collapse to one representative, combined before the shuffle.
-3. A vantage-point tree over a bounded sample splits the space of fingerprints into shards of
+3. A vantage-point tree over a sample (some rows for each shard) splits the space of fingerprints into shards of
    bounded size. A fingerprint goes to its home shard and, as a visitor, to every shard its
    ball of the link radius reaches by the triangle bound |d(v,p) - d(v,q)| <= d(p,q).
 4. Each shard joins its members with a vantage-point recursion of the same bound and gives
@@ -26,9 +26,10 @@ from quillgraph.llm import _shared
 from quillgraph.operators.components import connected_components
 
 SEED = 42
-#: Fingerprints of a shard, about; and of the sample that places the vantage points, at most.
+#: Fingerprints of a shard, about; and of the sample that places the vantage points: SAMPLE
+#: or, with many shards, so many a shard (one fingerprint of thousands at any size).
 SHARD = 1 << 16
-SAMPLE = 1 << 13
+SAMPLE, SAMPLE_PER_SHARD = 1 << 13, 8
 #: Pairs compared at once without a further split.
 BLOCK = 1 << 18
 
@@ -300,10 +301,12 @@ def near_components(prints: DataFrame, radius: int, words: int, shard_size: int
     reps = _shared.materialize(prints.groupBy(*keys).agg(F.min("_row").alias("node")), "prints")
     spark, n = prints.sparkSession, reps.count()
     shards = -(-n // shard_size)
-    # Bounded whatever the input: SAMPLE fingerprints, the same on every run.
     sized = "n_shingles" if ratio else F.lit(0).cast("long").alias("n_shingles")
-    sample = reps.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(SAMPLE).select(*names, sized).collect() if shards > 1 else []
-    table = np.array([list(r) for r in sample], dtype=np.int64).reshape(-1, words + 1)
+    # The same on every run, without a sort: the fingerprints whose hash is below a threshold.
+    share = min(1.0, max(SAMPLE, SAMPLE_PER_SHARD * shards) / max(1, n))
+    drawn = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
+    chosen = reps.where(drawn if shards > 1 else F.lit(False)).select("node", *names, sized).toArrow().sort_by("node")
+    table = np.stack([c.to_numpy() for c in chosen.columns[1:]], axis=1).astype(np.int64)
     tree = VantageTree(np.ascontiguousarray(table[:, :words]).view(np.uint64), table[:, words], shards, radius, ratio)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
