@@ -1,8 +1,8 @@
 """Best-two-fit packing of tokenized documents into sequences of bounded length.
 
 Documents are tokenized and cut where they exceed a sequence; pieces are dealt to groups of
-bounded size by a hash, and each group is packed on its own (a group wastes less than one
-sequence). A bin is filled greedily with the longest piece that fits, again and again;
+bounded size by a hash of row and piece numbers, and each group is packed on its own (a
+group wastes less than one sequence). A bin is filled greedily with the longest piece that fits, again and again;
 then its smallest piece gives way to two unpacked pieces that together fill its gap and
 the remaining gap more tightly, as long as such a pair exists.
 """
@@ -72,14 +72,14 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
+def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> tuple[DataFrame, int]:
+    """(doc_id, _row, piece, start, length, ids_crc32[, ids]) of every document; and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = word_ids(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             row, piece, length, crc, kept = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 ids = own.encode(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -90,15 +90,17 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, kee
                     if keep_ids:
                         kept.append(part)
             piece = np.array(piece, dtype=np.int32)
-            arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            owner = pa.array(row, pa.int64())
+            arrays = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["doc_id", "_row", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
                 arrays, names = [*arrays, pa.array(kept, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     _shared.set_batches(docs.sparkSession)
-    narrow = docs.select(_shared.column_or_null(docs, "doc_id", "long").alias("doc_id"), _shared.text_or_empty().alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    rows, n = _shared.number_rows(docs, _shared.column_or_null(docs, "doc_id", "long").alias("doc_id"), _shared.text_or_empty().alias("text"))
+    schema = "doc_id long, _row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    return rows.select("doc_id", "_row", "text").mapInArrow(run, schema), n
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,18 +168,19 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep
     NULL doc_id stays NULL; other columns of the input are ignored whatever their names; an
     empty table gives an empty result.
     """
-    pieces = tokenized_pieces(docs, path, capacity, end_id, keep_ids)
-    # From the files' footers. The number of groups follows the input; their size doesn't.
-    groups = max(1, -(-docs.count() // GROUP_DOCUMENTS))
+    pieces, n = tokenized_pieces(docs, path, capacity, end_id, keep_ids)
+    # The number of groups follows the input; their size doesn't.
+    groups = max(1, -(-n // GROUP_DOCUMENTS))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("_row", "ascending"), ("piece", "ascending")])
         bins, offsets = best_two_fit(table.column("length").to_numpy(), capacity)
         ids = (key[0].as_py() << 40) + bins
-        table = table.drop_columns(["group"])
+        table = table.drop_columns(["group", "_row"])
         return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
-    keyed = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # Rows count by position, so that no group of copies, however large, shares a key.
+    keyed = pieces.withColumn("group", F.pmod(F.xxhash64("_row", "piece"), F.lit(groups)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
     return keyed.groupBy("group").applyInArrow(run, schema)
 

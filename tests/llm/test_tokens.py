@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -136,6 +137,13 @@ def test_op9_corner_cases(odd_docs, no_docs):
     assert packing.pack(no_docs, WORDS).collect() == []
 
 
+def test_equal_rows_share_no_group(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_DOCUMENTS", 100)
+    copies = spark.range(0, 1000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text, many rows").alias("text"))
+    sizes = packing.pack(copies, WORDS).groupBy(F.col("sequence_id").bitwiseAND(F.lit(-1 << 40)).alias("g")).count().collect()
+    assert len(sizes) == 10 and sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) < 200
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_two_fit_is_tight(seed):
     rng = np.random.default_rng(seed)
