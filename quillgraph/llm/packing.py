@@ -61,11 +61,19 @@ class WordIds:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = set(words)
-            new = list(new)
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            known.update(self._encode_words(list(new)))
         return b"".join(map(known.__getitem__, words))
 
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens. One call for all, as white space parts them and is dropped."""
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        ids, owner = np.array(found.ids, dtype="<u4").tobytes(), np.array(found.word_ids)
+        if owner[-1] + 1 != len(words):
+            each = self.library.encode_batch(words, add_special_tokens=False)
+            return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, each, strict=True)}
+        cuts = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+        return {w: ids[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
