@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,37 @@ def fingerprint(h: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(shingle_hashes(text, k))
+
+
+def alike(a: np.ndarray, b: np.ndarray, share: Fraction) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of ``share`` or more, in integers."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * share.denominator >= (len(a) + len(b) - both) * share.numerator
+
+
+def set_prints(rows: DataFrame, k: int, words: int) -> DataFrame:
+    """(_row, n_shingles, s0, s1, w0, w1, ...) of rows of (_row, text): number, 128-bit digest and
+    fingerprint of the distinct shingles."""
+    names = ["_row", "n_shingles", "s0", "s1", *[f"w{i}" for i in range(words)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for text in batch.column(1).to_pylist():
+                held = shingle_set(text, k)
+                n.append(len(held))
+                digest = xxhash.xxh3_128_intdigest(held.tobytes())
+                out.append([digest >> 64, digest & _MASK, *fingerprint(held, words)])
+            columns = np.array(out, dtype=np.uint64).reshape(-1, words + 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(c) for c in columns.T.copy()]], names)
+
+    _shared.set_batches(rows.sparkSession)
+    return rows.select("_row", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def fingerprints(rows: DataFrame, k: int, words: int) -> DataFrame:
     """(doc_id, _row, n_shingles, w0, w1, ...) of rows of (doc_id, _row, text); fingerprint
     words as signed longs."""
@@ -174,10 +206,15 @@ class VantageTree:
 
 
 class Linker:
-    """All pairs within the radius among points, kept as a spanning forest."""
+    """All pairs within the radius among points, kept as a spanning forest.
 
-    def __init__(self, points: np.ndarray, radius: int, sizes: np.ndarray | None = None, ratio: float = 0.0):
+    With ``sets`` a pair links only if its shingle sets are alike too; pairs that already hang
+    together aren't compared.
+    """
+
+    def __init__(self, points: np.ndarray, radius: int, sizes: np.ndarray | None = None, ratio: float = 0.0, sets: list[np.ndarray] | None = None, share: Fraction = Fraction(1)):
         self.p, self.r, self.sizes, self.ratio = points, radius, sizes, ratio
+        self.sets, self.share = sets, share
         self.root = np.arange(len(points))
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -196,12 +233,27 @@ class Linker:
             if same:
                 close &= part[:, None] != b[None, :]
             i, j = np.nonzero(close)
-            if len(i):
+            if not len(i):
+                continue
+            if self.sets is not None:
+                self.compare(part, b, i, j)
+            else:
                 self.links.append((part[i], b[j]))
                 self.held += len(i)
                 if self.held > 1 << 20:
                     self.settle()
 
+    def compare(self, part: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """Link the pairs (part[i], b[j]), i ascending, whose sets are alike."""
+        starts = np.nonzero(np.diff(i, prepend=-1))[0].tolist()
+        for s, e in zip(starts, [*starts[1:], len(i)], strict=True):
+            x, others = int(part[i[s]]), b[j[s:e]]
+            while len(others := others[self.root[others] != self.root[x]]):
+                y, others = int(others[0]), others[1:]
+                if alike(self.sets[x], self.sets[y], self.share):
+                    low, high = sorted((self.root[x], self.root[y]))
+                    self.root[self.root == high] = low
+
     def settle(self) -> None:
         """Fold the links gathered so far into the forest: hook lower roots, then shorten."""
         if not self.links:
@@ -299,7 +351,13 @@ def near_components(prints: DataFrame, radius: int, words: int, shard_size: int
     names = [f"w{i}" for i in range(words)]
     keys = [*names, "n_shingles"] if ratio else names
     reps = _shared.materialize(prints.groupBy(*keys).agg(F.min("_row").alias("node")), "prints")
-    spark, n = prints.sparkSession, reps.count()
+    return connected_components(_links(reps, _tree(reps, radius, words, shard_size, ratio), words))
+
+
+def _tree(reps: DataFrame, radius: int, words: int, shard_size: int, ratio: float) -> VantageTree:
+    """The tree over a sample of representatives (node, w0, w1, ..., n_shingles)."""
+    names = [f"w{i}" for i in range(words)]
+    n = reps.count()
     shards = -(-n // shard_size)
     sized = "n_shingles" if ratio else F.lit(0).cast("long").alias("n_shingles")
     # The same on every run, without a sort: the fingerprints whose hash is below a threshold.
@@ -307,7 +365,14 @@ def near_components(prints: DataFrame, radius: int, words: int, shard_size: int
     drawn = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
     chosen = reps.where(drawn if shards > 1 else F.lit(False)).select("node", *names, sized).toArrow().sort_by("node")
     table = np.stack([c.to_numpy() for c in chosen.columns[1:]], axis=1).astype(np.int64)
-    tree = VantageTree(np.ascontiguousarray(table[:, :words]).view(np.uint64), table[:, words], shards, radius, ratio)
+    return VantageTree(np.ascontiguousarray(table[:, :words]).view(np.uint64), table[:, words], shards, radius, ratio)
+
+
+def _links(reps: DataFrame, tree: VantageTree, words: int, share: Fraction | None = None) -> DataFrame:
+    """(src, dst): the shards' spanning forests. With ``share`` the representatives carry their
+    ``shingles``, and only pairs of that similarity link."""
+    names, radius, ratio = [f"w{i}" for i in range(words)], tree.radius, tree.ratio
+    extra = [*(["n_shingles"] if ratio else []), *(["shingles"] if share else [])]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,10 +384,16 @@ def near_components(prints: DataFrame, radius: int, words: int, shard_size: int
 
     def link(table: pa.Table) -> pa.Table:
         # Points of the shard in a fixed order: homes first, so that a forest's roots are.
-        table = table.sort_by([("home", "descending"), ("node", "ascending")])
+        order = pa.compute.sort_indices(table.select(["home", "node"]), sort_keys=[("home", "descending"), ("node", "ascending")])
+        sets = None
+        if share:
+            held = [x for c in table.column("shingles").chunks for x in (c[i].values.to_numpy() for i in range(len(c)))]
+            sets = [held[i] for i in order.to_pylist()]
+            table = table.drop_columns(["shingles"])
+        table = table.take(order)
         points = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
         sizes = table.column("n_shingles").to_numpy() if ratio else None
-        linker = Linker(points, radius, sizes, ratio)
+        linker = Linker(points, radius, sizes, ratio, sets, share)
         homes = int(pa.compute.sum(table.column("home")).as_py() or 0)
         own, visitors = np.arange(homes), np.arange(homes, len(points))
         linker.alone(own)
@@ -331,10 +402,40 @@ def near_components(prints: DataFrame, radius: int, words: int, shard_size: int
         node = table.column("node").to_numpy()
         return pa.table({"src": pa.array(node[child], pa.int64()), "dst": pa.array(node[root], pa.int64())})
 
-    columns = ", ".join(f"{c} long" for c in [*keys, "node"])
-    placed = reps.select(*keys, "node").mapInArrow(route, f"shard long, home boolean, {columns}")
-    edges = _shared.materialize(placed.groupBy("shard").applyInArrow(link, "src long, dst long"), "links")
-    return connected_components(edges)
+    columns = ", ".join(f"{c} {'array<long>' if c == 'shingles' else 'long'}" for c in [*names, *extra, "node"])
+    placed = reps.select(*names, *extra, "node").mapInArrow(route, f"shard long, home boolean, {columns}")
+    return _shared.materialize(placed.groupBy("shard").applyInArrow(link, "src long, dst long"), "links")
+
+
+def similar_classes(rows: DataFrame, k: int, radius: int, words: int, shard_size: int, share: Fraction) -> DataFrame:
+    """(_row, component) of rows of (_row, text): components of the links between texts whose
+    sets of k-word shingles have a Jaccard similarity of ``share`` or more.
+
+    Fingerprints of the sets within the radius propose pairs, and each proposed pair is held
+    against the sets themselves. A first search over all fingerprints finds the rows that have
+    any proposal; only these take their sets along into a second search.
+    """
+    names = [f"w{i}" for i in range(words)]
+    prints = _shared.materialize(set_prints(rows, k, words), "simhash")
+    reps = _shared.materialize(prints.groupBy("s0", "s1").agg(F.min("_row").alias("node"), *[F.first(c).alias(c) for c in ["n_shingles", *names]]), "prints")
+    # A similarity bounds the ratio of the sets' sizes by itself.
+    tree = _tree(reps, radius, words, shard_size, float(share) * (1 - 1e-9))
+    proposed = _links(reps, tree, words)
+    nodes = _shared.materialize(proposed.select(F.explode(F.array("src", "dst")).alias("_row")).distinct(), "proposed")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingle_set(text, k) for text in batch.column(1).to_pylist()]
+            points = np.array([fingerprint(x, words) for x in held], dtype=np.uint64).reshape(-1, words).view(np.int64)
+            lists = pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), *[pa.array(c) for c in points.T.copy()], lists], ["node", "n_shingles", *names, "shingles"])
+
+    # A merge join at every size, as below.
+    chosen = rows.join(nodes.hint("merge"), "_row", "left_semi").select("_row", "text")
+    full = chosen.mapInArrow(sets, f"node long, n_shingles long, {', '.join(f'{n} long' for n in names)}, shingles array<long>")
+    linked = connected_components(_links(full, tree, words, share))
+    labels = reps.select("s0", "s1", "node").join(linked, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("component"))
+    return prints.select("_row", "s0", "s1").join(labels, ["s0", "s1"]).select("_row", "component")
 
 
 def _classes(rows: DataFrame, k: int, radius: int, words: int, shard_size: int, ratio: float) -> DataFrame:
@@ -364,21 +465,22 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, words: int = 1
     return _classes(rows, k, radius, words, shard_size, ratio)
 
 
-def keep_one(docs: DataFrame, k: int = 5, radius: int = 84, words: int = 8, shard_size: int = SHARD, ratio: float = 0.75) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, radius: int = 128, words: int = 8, shard_size: int = SHARD, share: Fraction = Fraction(4, 5)) -> DataFrame:
     """The documents, all columns, without near copies: the first stored row of each class.
 
-    The defaults link texts whose sets of five-word shingles have a similarity of 0.8: two
-    such fingerprints of 512 bits differ in 78 bits on average (deviation 8), those of texts at
-    0.7 in 99 (deviation 9), unrelated ones in 256 (deviation 11), and their shingle counts
-    are within the ratio. Texts without words
+    Two texts link if their sets of five-word shingles have an exact similarity of 0.8 or more;
+    classes are the components of these links. Pairs are proposed by 512-bit fingerprints of
+    the sets at 128 bits: two texts at 0.8 differ in 78 bits on average (deviation 8; 96 and 9 in
+    the worst case, sets of 4 and 5), so 2 in 10,000 of the latter are not proposed and
+    practically all others are. Texts without words
     (NULL, empty, white space) are one class, repeated rows another each; columns pass through
     whatever their names and NULLs; an empty table stays empty.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     numbered, _ = _shared.number_rows(docs, whole.alias("doc"))
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
-    rows = numbered.select(F.lit(None).cast("long").alias("doc_id"), "_row", text.alias("text"))
-    kept = _shared.materialize(_classes(rows, k, radius, words, shard_size, ratio).where("_row = component").select("_row"), "kept")
+    rows = numbered.select("_row", text.alias("text"))
+    kept = _shared.materialize(similar_classes(rows, k, radius, words, shard_size, share).where("_row = component").select("_row"), "kept")
     # A merge join at every size: the kept rows grow with the corpus, so they are never broadcast.
     return numbered.join(kept.hint("merge"), "_row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 

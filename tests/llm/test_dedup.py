@@ -116,6 +116,38 @@ def test_keep_one_takes_near_copies_and_leaves_others(spark):
     assert len(near_dedup.keep_one(docs, shard_size=20).collect()) == 30
 
 
+def exact_kept(docs, share=0.8):
+    """Ids of (id, text) that are first of their component of exact five-word similarities."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for _, t in docs]
+    root = list(range(len(docs)))
+    for j in range(len(docs)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and (sets[i] == sets[j] or both >= share * len(sets[i] | sets[j])):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {docs[i][0] for i in range(len(docs)) if root[i] == i}
+
+
+def test_keep_one_equals_exact_similarity(spark):
+    """Pairs with similarities from 0.6 to 1, at the stage's own settings."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs = []
+    for i in range(150):
+        words = [word() for _ in range(rng.choice([60, 120, 300]))]
+        docs.append((2 * i, " ".join(words)))
+        # A changed run of c words takes c + 4 of n - 4 shingles from both sides.
+        n, c = len(words), rng.randrange(0, len(words) // 4)
+        at = rng.randrange(n - c)
+        docs.append((2 * i + 1, " ".join([*words[:at], *[word() for _ in range(c)], *words[at + c :]])))
+    want = exact_kept(docs)
+    assert 170 < len(want) < 280
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in near_dedup.keep_one(df).collect()} == want
+    assert {r.doc_id for r in near_dedup.keep_one(df, shard_size=60).collect()} == want
+
+
 def test_op10_corner_cases(odd_docs, no_docs):
     rows = near_dedup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
