@@ -25,7 +25,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document holds. No row goes: a document that
     repeats earlier ones whole keeps its row with what is left; a NULL text stays NULL."""
-    return line_dedup.deduplicate_lines(docs).select("doc.*")
+    return line_dedup.deduplicate_passages(docs).select("doc.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,14 +10,21 @@ short lines get only a few. A line of WINDOW_WORDS words is a window on its own.
 Each fingerprint hash keeps its first place in stored order; every later place joins that one
 place (never each other), the match is extended both ways over equal lines, and what repeats
 of GRAM_WORDS words or more is deleted from the later place. First places stay.
+
+Passages that don't keep to lines are found by words (``repeated_words``): winnowing over grams of
+GRAM_WORDS words proposes places, since two equal runs of WINDOW_WORDS words hold the same least gram;
+around the grams with two places or more every run of WINDOW_WORDS words is then held against all
+others, and the words of each that an earlier place holds are deleted, whatever the line breaks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,6 +157,173 @@ def _cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
     )
 
 
+#: An odd factor and its inverse modulo 2^64: grams are hashed by differences of running sums.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+#: Rows marked in the bitmaps that keep rows without repeats from being shuffled; beyond, row numbers share bits.
+MARKS = 1 << 26
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, first word of each text and the end); words are split at ASCII white space."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    lengths, words = pc.list_value_length(split).to_numpy(zero_copy_only=False), split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    counts = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    coded = words.filter(full).cast(pa.binary()).dictionary_encode()
+    table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    return table[coded.indices.to_numpy()], counts[np.concatenate(([0], np.cumsum(lengths)))]
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k words in a row, also across texts."""
+    n = len(words)
+    if n < k:
+        return np.zeros(0, dtype=np.uint64)
+    up, down = np.full(n, _FACTOR, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
+    up[0] = down[0] = 1
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * np.cumprod(up), dtype=np.uint64)))
+    x = (total[k:] - total[:-k]) * np.cumprod(down)[: n - k + 1]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def least_grams(words: np.ndarray, first: np.ndarray, gram_words: int, window_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the grams that are least in a window inside one text; of equal ones the last."""
+    grams = gram_hashes(words, gram_words)
+    span = window_words - gram_words + 1
+    if len(words) < window_words:
+        return np.zeros(0, dtype=np.int64), grams[:0]
+    whole = windows_inside(len(words), first, window_words)
+    views = np.lib.stride_tricks.sliding_window_view(grams, span)[:, ::-1]
+    at = np.unique((np.arange(len(views)) + span - 1 - views.argmin(axis=1))[whole])
+    return at, grams[at]
+
+
+def windows_inside(n: int, first: np.ndarray, window_words: int) -> np.ndarray:
+    """Whether the window from each word on lies inside one text."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return text[: n - window_words + 1] == text[window_words - 1 :]
+
+
+def marked(spark: SparkSession, rows: DataFrame):
+    """A test whether ``_row`` may be among the rows (bitmaps of MARKS bits at most)."""
+    x = F.pmod(F.col("_row"), F.lit(MARKS)) + 1  # buckets hold 1 to 32,768 and so on
+    maps = rows.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+    bits = np.zeros((max([r["b"] for r in maps], default=1), 4096), dtype=np.uint8)
+    for r in maps:
+        bits[r["b"] - 1] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(bits.ravel())
+
+    @F.arrow_udf("boolean")
+    def held(row: pa.Array) -> pa.Array:
+        at = row.to_numpy(zero_copy_only=False) % MARKS
+        flat = shared.value
+        byte = at >> 3
+        inside = byte < len(flat)
+        return pa.array(inside & ((flat[np.where(inside, byte, 0)] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+
+    return held("_row")
+
+
+def repeated_words(rows: DataFrame, gram_words: int, window_words: int) -> DataFrame:
+    """(_row, places): first words of the windows that an earlier place holds, from rows of (_row, text).
+
+    Places are ordered by row, then word; in one text a window must not overlap its first place.
+    """
+    spark = rows.sparkSession
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, first = word_hashes(batch.column(1))
+            at, grams = least_grams(words, first, gram_words, window_words)
+            text = np.searchsorted(first, at, "right") - 1
+            row = batch.column(0).to_numpy()[text]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array((at - first[text]).astype(np.int32)), pa.array(grams.view(np.int64))], ["_row", "at", "gram"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, first = word_hashes(batch.column(1))
+            keys, near = gram_hashes(words, window_words), np.zeros(len(words) + 1, dtype=np.int64)
+            grams, ends = batch.column(2), first[1:]
+            for i, start in enumerate(first[:-1].tolist()):
+                p = grams[i].values.to_numpy().astype(np.int64)
+                np.add.at(near, start + np.maximum(p - (window_words - gram_words), 0), 1)
+                np.add.at(near, start + p + 1, -1)
+            chosen = np.nonzero((np.cumsum(near)[: len(keys)] > 0) & windows_inside(len(words), first, window_words))[0] if len(keys) else np.zeros(0, dtype=np.int64)
+            text = np.searchsorted(first, chosen, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[text]), pa.array((chosen - first[text]).astype(np.int32)), pa.array(keys[chosen].view(np.int64))], ["_row", "at", "key"])
+
+    prints = _shared.materialize(rows.mapInArrow(read, "_row long, at int, gram long"), "grams")
+    twice = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("gram")
+    near = _shared.materialize(prints.join(twice, "gram", "left_semi").groupBy("_row").agg(F.collect_list("at").alias("near")), "near")
+    # Merge joins at every size: what repeats grows with the corpus, so it is never broadcast.
+    texts = rows.where(marked(spark, near)).join(near.hint("merge"), "_row").select("_row", "text", "near")
+    keyed = _shared.materialize(texts.mapInArrow(windows, "_row long, at int, key long"), "windows")
+    first = keyed.groupBy("key").agg(F.min(F.struct("_row", "at")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("key", "first")
+    later = (F.col("_row") > F.col("first._row")) | (F.col("at") >= F.col("first.at") + window_words)
+    return keyed.join(first, "key").where(later).groupBy("_row").agg(F.collect_list("at").alias("places"))
+
+
+def cut_words(text: str, lines: list[tuple[int, int]], places: list[int], window_words: int) -> tuple[str, int, int]:
+    """(text without the given runs of lines and windows of words, whole lines cut as ``lines``, words cut)."""
+    parts, held, total = text.split("\n"), [], 0
+    found = [[m.span() for m in _WORD.finditer(part)] for part in parts]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+    gone = np.zeros(first[-1] + 1, dtype=np.int64)
+    for p in places:
+        gone[p] += 1
+        gone[p + window_words] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    with_words = [i for i, x in enumerate(found) if x]
+    whole = {with_words[k] for low, high in lines for k in range(low, high)}
+    for i in whole:
+        gone[first[i] : first[i + 1]] = True
+    for i, part in enumerate(parts):
+        out = gone[first[i] : first[i + 1]]
+        if not out.any():
+            held.append(part)
+        elif not out.all():
+            # A word goes with the white space before the next one.
+            ends = [*[a for a, _ in found[i][1:]], found[i][-1][1]]
+            spans = [part[a:b] for (a, _), b, cut in zip(found[i], ends, out.tolist(), strict=True) if not cut]
+            held.append(part[: found[i][0][0]] + "".join(spans) + part[found[i][-1][1] :])
+    return "\n".join(held), len(whole), int(gone.sum())
+
+
+_WORD = re.compile("[^ \t\n\r\x0b\x0c]+")
+
+
+def deduplicate_passages(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
+    """(doc, lines_cut, words_cut) like ``deduplicate_lines``, with passages inside lines cut too.
+
+    Every run of WINDOW_WORDS words that an earlier place of the table holds is deleted, wherever its lines
+    break; a line left without words goes whole. ``lines_cut`` counts the lines of repeated lines,
+    ``words_cut`` all words. A word's deletion always rests on an equal word at an earlier place.
+    """
+    _shared.set_batches(docs.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, _ = _shared.number_rows(docs, whole.alias("doc"))
+    text = F.col("doc.text").cast("string")
+    plain = rows.select("_row", F.coalesce(text, F.lit("")).alias("text"))
+    lines, words = repeated_runs(plain, gram_words, window_words), repeated_words(plain, gram_words, window_words)
+    cuts = _shared.materialize(lines.join(words.hint("merge"), "_row", "full"), "cuts")
+
+    @F.arrow_udf(_CUT)
+    def cut(text: pa.Array, lines: pa.Array, places: pa.Array) -> pa.Array:
+        given = zip(text.to_pylist(), lines.to_pylist(), places.to_pylist(), strict=True)
+        out = [cut_words(t, [(x["low"], x["high"]) for x in c or ()], p or [], window_words) for t, c, p in given]
+        return pa.array([{"text": t, "lines": n, "words": w} for t, n, w in out], pa.struct([("text", pa.string()), ("lines", pa.int32()), ("words", pa.int32())]))
+
+    # A merge join at every size: cuts grow with the corpus, so they are never broadcast.
+    joined = rows.join(cuts.hint("merge"), "_row", "left")
+    touched = F.col("cuts").isNotNull() | F.col("places").isNotNull()
+    done = joined.withColumn("done", F.when(touched, cut(F.coalesce(text, F.lit("")), F.col("cuts"), F.col("places"))))
+    fields = [F.coalesce("done.text", text).alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    return done.select(F.struct(*fields).alias("doc"), F.coalesce("done.lines", F.lit(0)).alias("lines_cut"), F.coalesce("done.words", F.lit(0)).alias("words_cut"))
+
+
 def deduplicate_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """(doc, lines_cut, words_cut): ``doc`` is a struct of the input's columns, its text cut.
 
@@ -173,5 +347,5 @@ def deduplicate_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_word
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = deduplicate_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc.doc_id", "doc.text", "lines_cut", "words_cut")

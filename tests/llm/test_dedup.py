@@ -254,6 +254,43 @@ def test_op7_corner_cases(odd_docs, no_docs):
     assert sum(r.lines_cut for r in twice) == 1  # the long line's copy
 
 
+def brute_words_left(texts, n):
+    """Words left per text: those of every n words that an earlier place holds go, in order."""
+    first, out = {}, []
+    for row, t in enumerate(texts):
+        words = t.split()
+        gone = set()
+        for i in range(len(words) - n + 1):
+            there, at = first.setdefault(tuple(words[i : i + n]), (row, i))
+            if there < row or i >= at + n:
+                gone.update(range(i, i + n))
+        out.append([w for i, w in enumerate(words) if i not in gone])
+    return out
+
+
+def test_op7_cuts_passages_inside_lines(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [[f"p{i}w{j}" for j in range(rng.choice([49, 50, 51, 80, 140]))] for i in range(12)]
+    docs = []
+    for i in range(120):
+        words = fresh(rng.randrange(30))
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(passages)
+            words += p[: rng.choice([len(p), 60])] + fresh(rng.randrange(20))
+        words = ["same"] * 170 if i % 40 == 9 else words
+        docs.append("".join(w + ("\n" if rng.random() < 0.05 else " ") for w in words))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    rows = {r.doc["doc_id"]: r for r in line_dedup.deduplicate_passages(df).collect()}
+    lines = {r.doc["doc_id"]: r.lines_cut for r in line_dedup.deduplicate_lines(df).collect()}
+    want = brute_words_left(docs, 50)
+    assert sum(len(w) for w in want) < sum(len(d.split()) for d in docs) - 3000
+    for i, words in enumerate(want):
+        if not lines[i]:
+            assert rows[i].doc["text"].split() == words and rows[i].words_cut == len(docs[i].split()) - len(words)
+    assert sum(not n for n in lines.values()) > 80
+
+
 def test_op7_over_whole_table(spark, sf_dir, texts):
     rows = line_dedup.query(spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == set(texts)
