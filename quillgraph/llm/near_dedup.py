@@ -297,7 +297,7 @@ class Linker:
         d, cut = self.vantage(at)
         inside, outside = at[d <= cut], at[d > cut]
         near_in, near_out = at[(d <= cut) & (d > cut - self.r)], at[(d > cut) & (d <= cut + self.r)]
-        if len(near_in) * len(near_out) > 0.9 * len(inside) * len(outside):
+        if len(near_in) * len(near_out) >= 0.9 * len(inside) * len(outside):
             # The radius is too wide for this point to prune anything (or all are at one distance).
             self.wide(at, at, True)
             return

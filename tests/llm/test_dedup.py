@@ -98,6 +98,15 @@ def test_linker_recursion_equals_brute_force():
     assert linker.root.tolist() == brute_components(points.tolist(), 3)
 
 
+@pytest.mark.parametrize("ratio", [0.0, 0.75])
+def test_linker_ends_on_equal_fingerprints(ratio):
+    sizes = np.arange(1000, 1600)
+    linker = near_dedup.Linker(np.zeros((600, 1), dtype=np.uint64), 3, sizes, ratio)
+    linker.alone(np.arange(600))
+    linker.forest()
+    assert set(linker.root.tolist()) == {0}
+
+
 def test_keep_one_takes_near_copies_and_leaves_others(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
