@@ -20,20 +20,23 @@ others, and the words of each that an earlier place holds are deleted, whatever
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillgraph.llm import _shared
 
 GRAM_WORDS = 25
 WINDOW_WORDS = 50
+#: Keys that the later rows of one first place are spread over.
+SALTS = 16
 
 
 def lines_of(text: str) -> list[tuple[int, bytes, int]]:
@@ -96,7 +99,11 @@ def cut_text(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
 
 
 def repeated_runs(rows: DataFrame, gram_words: int, window_words: int) -> DataFrame:
-    """(_row, cuts): runs of lines to delete, from rows of (_row, text)."""
+    """(_row, cuts): runs of lines to delete, with their words, from rows of (_row, text).
+
+    Joins on a first place are salted by the later row: a line that a third of all rows hold is
+    spread over SALTS keys, and each first place is there once a salt.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,32 +121,38 @@ def repeated_runs(rows: DataFrame, gram_words: int, window_words: int) -> DataFr
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, low, high = [], [], []
+            row, low, high, start_word, end_word = [], [], [], [], []
             names = batch.schema.names
             for r, start, other, own, words in zip(*[batch.column(names.index(n)).to_pylist() for n in ("_row", "start", "other", "hashes", "words")], strict=True):
                 n = len(other)
                 aligned = [np.array(x, dtype=np.int64) for x in (own[start : start + n], other, words[start : start + n])]
+                total = np.concatenate(([0], np.cumsum(words)))
                 for a, b in equal_runs(*aligned, gram_words):
                     row.append(r)
                     low.append(start + a)
                     high.append(start + b)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["_row", "low", "high"])
+                    start_word.append(total[start + a])
+                    end_word.append(total[start + b])
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *[pa.array(x, pa.int32()) for x in (low, high, start_word, end_word)]], ["_row", "low", "high", "from", "to"])
 
     # Hashes only: a small share of the text, read several times below.
     lines = _shared.materialize(rows.mapInArrow(read, "_row long, hashes array<long>, words array<int>, grams array<binary>, at array<int>"), "lines")
     prints = lines.select("_row", F.size("hashes").alias("n"), F.explode(F.arrays_zip("grams", "at")).alias("p")).select("_row", "n", F.col("p.grams").alias("gram"), F.col("p.at").alias("at"))
     first = prints.groupBy("gram").agg(F.min(F.struct("_row", "at")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("gram", "first")
-    later = prints.join(first, "gram").where(F.struct("_row", "at") > F.col("first"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = prints.withColumn("salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int"))
+    later = salted.join(first.select("*", salts), ["gram", "salt"]).where(F.struct("_row", "at") > F.col("first"))
     # One row for a pair of documents and a diagonal, however many fingerprints lie on it.
     pairs = later.groupBy("_row", F.col("first._row").alias("first_row"), (F.col("at") - F.col("first.at")).alias("diagonal")).agg(F.max("n").alias("n"))
     shift = F.greatest(F.lit(0), -F.col("diagonal"))
-    other = lines.select(F.col("_row").alias("first_row"), F.col("hashes").alias("theirs"))
+    pairs = _shared.materialize(pairs, "pairs").withColumn("salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int"))
+    other = lines.select(F.col("_row").alias("first_row"), F.col("hashes").alias("theirs")).join(pairs.select("first_row").distinct(), "first_row", "left_semi").select("*", salts)
     # Only the part of the first document that lies along the later one travels on.
     length = F.least(F.size("theirs") - shift, F.col("n") - F.greatest(F.lit(0), F.col("diagonal")))
-    reach = pairs.join(other, "first_row").select("_row", F.greatest(F.lit(0), "diagonal").alias("start"), F.slice("theirs", shift + 1, length).alias("other"))
+    reach = pairs.join(other, ["first_row", "salt"]).select("_row", F.greatest(F.lit(0), "diagonal").alias("start"), F.slice("theirs", shift + 1, length).alias("other"))
     both = reach.join(lines.select("_row", "hashes", "words"), "_row").select("_row", "start", "other", "hashes", "words")
-    runs = both.mapInArrow(extend, "_row long, low int, high int")
-    return runs.groupBy("_row").agg(F.collect_set(F.struct("low", "high")).alias("cuts"))
+    runs = both.mapInArrow(extend, "_row long, low int, high int, `from` int, `to` int")
+    return runs.groupBy("_row").agg(F.collect_set(F.struct("low", "high", "from", "to")).alias("cuts"))
 
 
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.IntegerType()), T.StructField("words", T.IntegerType())])
@@ -157,22 +170,66 @@ def _cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
     )
 
 
-#: An odd factor and its inverse modulo 2^64: grams are hashed by differences of running sums.
+#: An odd factor and its inverse modulo 2^64: words and grams are hashed by differences of running sums.
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 #: Rows marked in the bitmaps that keep rows without repeats from being shuffled; beyond, row numbers share bits.
 MARKS = 1 << 26
+#: Characters hashed at once; words of more than LONG_WORD bytes are hashed by the library instead.
+PIECE, LONG_WORD = 1 << 17, 1 << 10
+#: Places that a task combines by key before they are shuffled.
+COMBINED = 1 << 20
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([c])) for c in range(256)], dtype=np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_UP, _DOWN = _powers(_FACTOR, PIECE + LONG_WORD + 1), _powers(_INVERSE, PIECE + LONG_WORD + 1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, first word of each text and the end); words are split at ASCII white space."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    lengths, words = pc.list_value_length(split).to_numpy(zero_copy_only=False), split.flatten()
-    full = pc.greater(pc.binary_length(words), 0)
-    counts = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
-    coded = words.filter(full).cast(pa.binary()).dictionary_encode()
-    table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
-    return table[coded.indices.to_numpy()], counts[np.concatenate(([0], np.cumsum(lengths)))]
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    # A place of ``gap`` lies before each character: white space or the border of a text.
+    gap = np.concatenate(([True], _SPACE[data]))
+    inside = ~gap[1:]
+    gap[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.nonzero(inside & gap[:-1])[0]
+    after = np.concatenate((_SPACE[data[1:]], [True]))
+    after[offsets[1:][offsets[1:] > 0] - 1] = True
+    ends = np.nonzero(inside & after)[0] + 1
+    out, long = np.zeros(len(starts), dtype=np.uint64), ends - starts > LONG_WORD
+    # Pieces of neighbouring words that are all short.
+    cuts = np.nonzero(np.diff(starts // PIECE * 2 + long))[0] + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(starts)], strict=True):
+        if a == b:
+            continue
+        if long[a]:
+            out[a:b] = [xxhash.xxh3_64_intdigest(data[x:y].tobytes()) for x, y in zip(starts[a:b], ends[a:b], strict=True)]
+            continue
+        low, high = starts[a], ends[b - 1]
+        total = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[low:high]] * _UP[: high - low], out=total[1:])
+        x, y = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = _mixed((total[y] - total[x]) * _DOWN[x] + (y - x).astype(np.uint64))
+    return out, np.searchsorted(starts, offsets)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -183,10 +240,17 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     up, down = np.full(n, _FACTOR, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
     up[0] = down[0] = 1
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * np.cumprod(up), dtype=np.uint64)))
-    x = (total[k:] - total[:-k]) * np.cumprod(down)[: n - k + 1]
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return _mixed((total[k:] - total[:-k]) * np.cumprod(down)[: n - k + 1])
+
+
+def _of_every(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
+    """The best of every ``span`` neighbours, by runs that double in length."""
+    size = 1
+    while size < span:
+        step = min(size, span - size)
+        x = best(x[:-step], x[step:])
+        size += step
+    return x
 
 
 def least_grams(words: np.ndarray, first: np.ndarray, gram_words: int, window_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +260,16 @@ def least_grams(words: np.ndarray, first: np.ndarray, gram_words: int, window_wo
     if len(words) < window_words:
         return np.zeros(0, dtype=np.int64), grams[:0]
     whole = windows_inside(len(words), first, window_words)
-    views = np.lib.stride_tricks.sliding_window_view(grams, span)[:, ::-1]
-    at = np.unique((np.arange(len(views)) + span - 1 - views.argmin(axis=1))[whole])
+    # A gram is chosen if it equals the largest of the minima of the windows that it lies in.
+    least = np.where(whole, _of_every(grams, span, np.minimum), 0)
+    around = np.concatenate((np.zeros(span - 1, dtype=np.uint64), least, np.zeros(span - 1, dtype=np.uint64)))
+    at = np.nonzero((_of_every(around, span, np.maximum) == grams) & (grams > 0))[0]
+    # Of equal minima in a window the last counts: texts with such ties are gone through window by window.
+    tied = at[1:][(grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) < span)]
+    for t in np.unique(np.searchsorted(first, tied, "right") - 1).tolist():
+        views = np.lib.stride_tricks.sliding_window_view(grams[first[t] : first[t + 1] - gram_words + 1], span)[:, ::-1]
+        chosen = first[t] + np.unique(np.arange(len(views)) + span - 1 - views.argmin(axis=1))
+        at = np.concatenate((at[at < first[t]], chosen, at[at >= first[t + 1]]))
     return at, grams[at]
 
 
@@ -227,43 +299,105 @@ def marked(spark: SparkSession, rows: DataFrame):
     return held("_row")
 
 
-def repeated_words(rows: DataFrame, gram_words: int, window_words: int) -> DataFrame:
+_PLACES = "key long, known boolean, _row long, at int"
+
+
+def _blocks(places: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, rows, words) joined to blocks of about COMBINED places, each sorted by key, row and word."""
+    held, n = [], 0
+
+    def joined():
+        key, row, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, row, key))
+        return key[order], row[order], at[order]
+
+    for x in places:
+        held.append(x)
+        n += len(x[0])
+        if n >= COMBINED:
+            yield joined()
+            held, n = [], 0
+    if n:
+        yield joined()
+
+
+def _placed(key: np.ndarray, known: np.ndarray, row: np.ndarray, at: np.ndarray, marker: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places as rows. Known ones are dealt by place, as they needn't meet others; a marker has no row."""
+    dealt = np.where(known, _mixed(row.view(np.uint64) * np.uint64(_FACTOR) + at.astype(np.uint64)), key).view(np.int64)
+    for s in range(0, len(key), 1 << 16):
+        e = s + (1 << 16)
+        yield pa.RecordBatch.from_arrays([pa.array(dealt[s:e]), pa.array(known[s:e]), pa.array(row[s:e], mask=marker[s:e]), pa.array(at[s:e].astype(np.int32))], ["key", "known", "_row", "at"])
+
+
+def _repeated(places: Iterator) -> Iterator[pa.RecordBatch]:
+    """Places whose key a block holds twice are known to be repeated; each such key leaves one marker."""
+    for key, row, at in _blocks(places):
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        twice = np.diff(np.append(np.nonzero(new)[0], len(key))) > 1
+        known, marks = np.repeat(twice, np.diff(np.append(np.nonzero(new)[0], len(key)))), np.nonzero(new)[0][twice]
+        m = len(marks)
+        columns = [np.concatenate((x, x[marks])) for x in (key, row, at)]
+        marker = np.concatenate((np.zeros(len(key), dtype=bool), np.ones(m, dtype=bool)))
+        yield from _placed(columns[0], np.concatenate((known, np.zeros(m, dtype=bool))), columns[1], columns[2], marker)
+
+
+def _later(places: Iterator, window_words: int) -> Iterator[pa.RecordBatch]:
+    """Places after the first of their key in a block are known to be later ones."""
+    for key, row, at in _blocks(places):
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        known = (row > row[first]) | (at >= at[first] + window_words)
+        yield from _placed(key, known, row, at, np.zeros(len(key), dtype=bool))
+
+
+def repeated_words(rows: DataFrame, runs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
     """(_row, places): first words of the windows that an earlier place holds, from rows of (_row, text).
 
     Places are ordered by row, then word; in one text a window must not overlap its first place.
+    Windows inside one of the ``runs`` of repeated lines are left out: an earlier place holds each of
+    them, so none is the first of its kind. Places are combined by key in blocks before each shuffle, so
+    a key meets at most one row a block there, however common it is.
     """
     spark = rows.sparkSession
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             words, first = word_hashes(batch.column(1))
-            at, grams = least_grams(words, first, gram_words, window_words)
+            at, found = least_grams(words, first, gram_words, window_words)
             text = np.searchsorted(first, at, "right") - 1
-            row = batch.column(0).to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array((at - first[text]).astype(np.int32)), pa.array(grams.view(np.int64))], ["_row", "at", "gram"])
+            yield found, batch.column(0).to_numpy()[text], at - first[text]
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             words, first = word_hashes(batch.column(1))
             keys, near = gram_hashes(words, window_words), np.zeros(len(words) + 1, dtype=np.int64)
-            grams, ends = batch.column(2), first[1:]
-            for i, start in enumerate(first[:-1].tolist()):
-                p = grams[i].values.to_numpy().astype(np.int64)
-                np.add.at(near, start + np.maximum(p - (window_words - gram_words), 0), 1)
-                np.add.at(near, start + p + 1, -1)
-            chosen = np.nonzero((np.cumsum(near)[: len(keys)] > 0) & windows_inside(len(words), first, window_words))[0] if len(keys) else np.zeros(0, dtype=np.int64)
+            if not len(keys):
+                continue
+            owner = np.repeat(first[:-1], pc.list_value_length(batch.column(2)).to_numpy())
+            at = batch.column(2).flatten().to_numpy()
+            np.add.at(near, np.maximum(owner + at - (window_words - gram_words), owner), 1)
+            np.add.at(near, owner + at + 1, -1)
+            chosen = (np.cumsum(near)[: len(keys)] > 0) & windows_inside(len(words), first, window_words)
+            for start, cuts in zip(first.tolist(), batch.column(3).to_pylist(), strict=False):
+                for x in cuts or ():
+                    chosen[start + x["from"] : max(start + x["from"], start + x["to"] - window_words + 1)] = False
+            chosen = np.nonzero(chosen)[0]
             text = np.searchsorted(first, chosen, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[text]), pa.array((chosen - first[text]).astype(np.int32)), pa.array(keys[chosen].view(np.int64))], ["_row", "at", "key"])
+            yield keys[chosen], batch.column(0).to_numpy()[text], chosen - first[text]
 
-    prints = _shared.materialize(rows.mapInArrow(read, "_row long, at int, gram long"), "grams")
-    twice = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("gram")
-    near = _shared.materialize(prints.join(twice, "gram", "left_semi").groupBy("_row").agg(F.collect_list("at").alias("near")), "near")
+    found = rows.mapInArrow(lambda batches: _repeated(grams(batches)), _PLACES)
+    # A marker stands for two places or more.
+    weight = F.sum(F.when(F.col("_row").isNull(), 2).otherwise(1)).over(Window.partitionBy("key", "known"))
+    twice = found.withColumn("weight", weight).where((F.col("known") | (F.col("weight") > 1)) & F.col("_row").isNotNull())
+    near = _shared.materialize(twice.groupBy("_row").agg(F.collect_list("at").alias("near")), "near")
     # Merge joins at every size: what repeats grows with the corpus, so it is never broadcast.
-    texts = rows.where(marked(spark, near)).join(near.hint("merge"), "_row").select("_row", "text", "near")
-    keyed = _shared.materialize(texts.mapInArrow(windows, "_row long, at int, key long"), "windows")
-    first = keyed.groupBy("key").agg(F.min(F.struct("_row", "at")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("key", "first")
-    later = (F.col("_row") > F.col("first._row")) | (F.col("at") >= F.col("first.at") + window_words)
-    return keyed.join(first, "key").where(later).groupBy("_row").agg(F.collect_list("at").alias("places"))
+    around = near.join(runs.hint("merge"), "_row", "left").select("_row", "near", "cuts")
+    texts = rows.where(marked(spark, near)).join(around.hint("merge"), "_row").select("_row", "text", "near", "cuts")
+    keyed = texts.mapInArrow(lambda batches: _later(windows(batches), window_words), _PLACES)
+    order = Window.partitionBy("key", "known").orderBy("_row", "at")
+    first = keyed.withColumn("first", F.first(F.struct("_row", "at")).over(order))
+    later = F.col("known") | (F.col("_row") > F.col("first._row")) | (F.col("at") >= F.col("first.at") + window_words)
+    return first.where(later).groupBy("_row").agg(F.collect_list("at").alias("places"))
 
 
 def cut_words(text: str, lines: list[tuple[int, int]], places: list[int], window_words: int) -> tuple[str, int, int]:
@@ -307,7 +441,8 @@ def deduplicate_passages(docs: DataFrame, gram_words: int = GRAM_WORDS, window_w
     rows, _ = _shared.number_rows(docs, whole.alias("doc"))
     text = F.col("doc.text").cast("string")
     plain = rows.select("_row", F.coalesce(text, F.lit("")).alias("text"))
-    lines, words = repeated_runs(plain, gram_words, window_words), repeated_words(plain, gram_words, window_words)
+    lines = _shared.materialize(repeated_runs(plain, gram_words, window_words), "runs")
+    words = repeated_words(plain, lines, gram_words, window_words)
     cuts = _shared.materialize(lines.join(words.hint("merge"), "_row", "full"), "cuts")
 
     @F.arrow_udf(_CUT)
@@ -316,12 +451,23 @@ def deduplicate_passages(docs: DataFrame, gram_words: int = GRAM_WORDS, window_w
         out = [cut_words(t, [(x["low"], x["high"]) for x in c or ()], p or [], window_words) for t, c, p in given]
         return pa.array([{"text": t, "lines": n, "words": w} for t, n, w in out], pa.struct([("text", pa.string()), ("lines", pa.int32()), ("words", pa.int32())]))
 
-    # A merge join at every size: cuts grow with the corpus, so they are never broadcast.
-    joined = rows.join(cuts.hint("merge"), "_row", "left")
-    touched = F.col("cuts").isNotNull() | F.col("places").isNotNull()
-    done = joined.withColumn("done", F.when(touched, cut(F.coalesce(text, F.lit("")), F.col("cuts"), F.col("places"))))
-    fields = [F.coalesce("done.text", text).alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    return done.select(F.struct(*fields).alias("doc"), F.coalesce("done.lines", F.lit(0)).alias("lines_cut"), F.coalesce("done.words", F.lit(0)).alias("words_cut"))
+    return _applied(docs, rows, cuts, lambda: cut(F.coalesce(text, F.lit("")), F.col("cuts"), F.col("places")))
+
+
+def _applied(docs: DataFrame, rows: DataFrame, cuts: DataFrame, cut: Callable[[], Column]) -> DataFrame:
+    """(doc, lines_cut, words_cut): rows of (_row, doc) with ``cut`` applied where ``cuts`` has their row.
+
+    Rows that no bitmap marks have no cuts and stay where they are; the others meet their cuts in a merge
+    join, as cuts grow with the corpus and are never broadcast. Only rows with cuts pass through Python.
+    """
+    text, near = F.col("doc.text").cast("string"), marked(rows.sparkSession, cuts)
+
+    def shaped(df: DataFrame, done: Callable[[str, Column], Column]) -> DataFrame:
+        fields = [done("text", text).alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+        return df.select(F.struct(*fields).alias("doc"), done("lines", F.lit(0)).alias("lines_cut"), done("words", F.lit(0)).alias("words_cut"))
+
+    joined = rows.where(near).join(cuts.hint("merge").withColumn("touched", F.lit(True)), "_row", "left").withColumn("done", F.when(F.col("touched"), cut()))
+    return shaped(rows.where(~near), lambda _, own: own).unionByName(shaped(joined, lambda name, own: F.coalesce(f"done.{name}", own)))
 
 
 def deduplicate_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
@@ -337,13 +483,8 @@ def deduplicate_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_word
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows, _ = _shared.number_rows(docs, whole.alias("doc"))
     text = F.col("doc.text").cast("string")
-    cuts = repeated_runs(rows.select("_row", F.coalesce(text, F.lit("")).alias("text")), gram_words, window_words)
-    # A merge join at every size: cuts grow with the corpus, so they are never broadcast.
-    joined = rows.join(_shared.materialize(cuts, "cuts").hint("merge"), "_row", "left")
-    # Only documents with cuts pass through Python.
-    done = joined.withColumn("done", F.when(F.col("cuts").isNotNull(), _cut(F.coalesce(text, F.lit("")), F.col("cuts"))))
-    fields = [F.coalesce("done.text", text).alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    return done.select(F.struct(*fields).alias("doc"), F.coalesce("done.lines", F.lit(0)).alias("lines_cut"), F.coalesce("done.words", F.lit(0)).alias("words_cut"))
+    cuts = _shared.materialize(repeated_runs(rows.select("_row", F.coalesce(text, F.lit("")).alias("text")), gram_words, window_words), "cuts")
+    return _applied(docs, rows, cuts, lambda: _cut(F.coalesce(text, F.lit("")), F.col("cuts")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,3 +306,47 @@ def test_op7_over_whole_table(spark, sf_dir, texts):
     order = sorted(texts)
     cuts = brute_line_cuts([texts[i] or "" for i in order], line_dedup.GRAM_WORDS, line_dedup.WINDOW_WORDS)
     assert {r.doc_id: r.lines_cut for r in rows} == {i: len(c) for i, c in zip(order, cuts, strict=True)}
+
+
+def test_word_hashes_tell_words_apart():
+    """Equal words hash alike wherever they stand, other words differently, also long ones."""
+    rng = random.Random(3)
+    pool = ["a", "b", "ab", "ba", "é", "日本", "x" * 3000, "x" * 3001, "y" * 1025] + [f"w{i}" for i in range(500)]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", "\n", "  ", "\t\r\n"]) for _ in range(rng.randrange(200))) for _ in range(60)]
+    texts += ["", " \n ", "end", "next", None, "z" * 300_000 + " tail"]
+    hashes, first = line_dedup.word_hashes(line_dedup.pa.array(texts).slice(3))
+    words = [(t or "").encode().split() for t in texts[3:]]
+    assert np.diff(first).tolist() == [len(w) for w in words]
+    by = {}
+    for w, h in zip((w for x in words for w in x), hashes.tolist(), strict=True):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by) > 500
+
+
+def test_every_window_holds_a_least_gram():
+    rng = random.Random(4)
+    for text in ([rng.randrange(3) for _ in range(300)], [7] * 200, [rng.randrange(10**6) for _ in range(400)]):
+        words = np.array([line_dedup.xxhash.xxh3_64_intdigest(b"%d" % w) for w in text * 2], dtype=np.uint64)
+        first = np.array([0, len(text), 2 * len(text)])
+        at, grams = line_dedup.least_grams(words, first, 5, 12)
+        every = line_dedup.gram_hashes(words, 5)
+        want = {max(range(a, a + 8), key=lambda i: (-int(every[i]), i)) for s in (0, len(text)) for a in range(s, s + len(text) - 11)}
+        assert at.tolist() == sorted(want) and (every[at] == grams).all()
+
+
+def test_op7_with_a_third_of_all_rows_on_one_passage(spark):
+    """Without adaptive execution: no task of a join or a window holds the hot passage's rows."""
+    passage = " ".join(f"hot{i}" for i in range(60))
+    rng = random.Random(8)
+    docs = [(i, (f"own{i} begins {passage} and ends {i}" if i % 6 == 0 else f"own line {i}\n{passage}\n" if i % 6 == 1 else " ".join(f"u{rng.randrange(10**9)}" for _ in range(70)))) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.doc["doc_id"]: r.doc["text"].split() for r in line_dedup.deduplicate_passages(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for (i, text), words in zip(docs, brute_words_left([t for _, t in docs], 50), strict=True):
+        assert got[i] == words
+    places = [(np.full(500, 9, dtype=np.uint64), np.arange(500) + 500 * k, np.zeros(500, dtype=np.int64)) for k in range(4)]
+    for found in (line_dedup._repeated(iter(places)), line_dedup._later(iter(places), 50)):
+        assert sum(k == 9 and not known for b in found for k, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) == 1
