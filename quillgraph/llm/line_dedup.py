@@ -19,7 +19,6 @@ others, and the words of each that an earlier place holds are deleted, whatever
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -199,12 +198,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, first word of each text and the end); words are split at ASCII white space."""
+def word_bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(UTF-8 bytes of all texts, where each text and the last one's end lie in them, starts and ends of
+    all words); words are split at ASCII white space and at the borders of texts."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
+    none = np.zeros(0, dtype=np.int64)
+    if not len(texts):
+        return none.astype(np.uint8), np.zeros(1, dtype=np.int64), none, none
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if not len(texts) or offsets[0] == offsets[-1]:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+    if offsets[0] == offsets[-1]:
+        return none.astype(np.uint8), np.zeros(len(texts) + 1, dtype=np.int64), none, none
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     # A place of ``gap`` lies before each character: white space or the border of a text.
@@ -214,7 +217,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.nonzero(inside & gap[:-1])[0]
     after = np.concatenate((_SPACE[data[1:]], [True]))
     after[offsets[1:][offsets[1:] > 0] - 1] = True
-    ends = np.nonzero(inside & after)[0] + 1
+    return data, offsets, starts, np.nonzero(inside & after)[0] + 1
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, first word of each text and the end)."""
+    data, offsets, starts, ends = word_bounds(texts)
     out, long = np.zeros(len(starts), dtype=np.uint64), ends - starts > LONG_WORD
     # Pieces of neighbouring words that are all short.
     cuts = np.nonzero(np.diff(starts // PIECE * 2 + long))[0] + 1
@@ -259,9 +267,8 @@ def least_grams(words: np.ndarray, first: np.ndarray, gram_words: int, window_wo
     span = window_words - gram_words + 1
     if len(words) < window_words:
         return np.zeros(0, dtype=np.int64), grams[:0]
-    whole = windows_inside(len(words), first, window_words)
     # A gram is chosen if it equals the largest of the minima of the windows that it lies in.
-    least = np.where(whole, _of_every(grams, span, np.minimum), 0)
+    least = np.where(windows_inside(len(words), first, window_words), _of_every(grams, span, np.minimum), 0)
     around = np.concatenate((np.zeros(span - 1, dtype=np.uint64), least, np.zeros(span - 1, dtype=np.uint64)))
     at = np.nonzero((_of_every(around, span, np.maximum) == grams) & (grams > 0))[0]
     # Of equal minima in a window the last counts: texts with such ties are gone through window by window.
@@ -370,14 +377,13 @@ def repeated_words(rows: DataFrame, runs: DataFrame, gram_words: int, window_wor
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             words, first = word_hashes(batch.column(1))
-            keys, near = gram_hashes(words, window_words), np.zeros(len(words) + 1, dtype=np.int64)
+            keys, grams = gram_hashes(words, window_words), gram_hashes(words, gram_words)
             if not len(keys):
                 continue
-            owner = np.repeat(first[:-1], pc.list_value_length(batch.column(2)).to_numpy())
-            at = batch.column(2).flatten().to_numpy()
-            np.add.at(near, np.maximum(owner + at - (window_words - gram_words), owner), 1)
-            np.add.at(near, owner + at + 1, -1)
-            chosen = (np.cumsum(near)[: len(keys)] > 0) & windows_inside(len(words), first, window_words)
+            at = np.repeat(first[:-1], pc.list_value_length(batch.column(2)).to_numpy()) + batch.column(2).flatten().to_numpy()
+            # Equal windows have equal least grams, so only windows whose least gram is repeated can be.
+            least = _of_every(grams, window_words - gram_words + 1, np.minimum)
+            chosen = np.isin(least, grams[at]) & windows_inside(len(words), first, window_words)
             for start, cuts in zip(first.tolist(), batch.column(3).to_pylist(), strict=False):
                 for x in cuts or ():
                     chosen[start + x["from"] : max(start + x["from"], start + x["to"] - window_words + 1)] = False
@@ -400,33 +406,36 @@ def repeated_words(rows: DataFrame, runs: DataFrame, gram_words: int, window_wor
     return first.where(later).groupBy("_row").agg(F.collect_list("at").alias("places"))
 
 
-def cut_words(text: str, lines: list[tuple[int, int]], places: list[int], window_words: int) -> tuple[str, int, int]:
-    """(text without the given runs of lines and windows of words, whole lines cut as ``lines``, words cut)."""
-    parts, held, total = text.split("\n"), [], 0
-    found = [[m.span() for m in _WORD.finditer(part)] for part in parts]
-    first = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-    gone = np.zeros(first[-1] + 1, dtype=np.int64)
-    for p in places:
-        gone[p] += 1
-        gone[p + window_words] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
-    with_words = [i for i, x in enumerate(found) if x]
-    whole = {with_words[k] for low, high in lines for k in range(low, high)}
-    for i in whole:
-        gone[first[i] : first[i + 1]] = True
-    for i, part in enumerate(parts):
-        out = gone[first[i] : first[i + 1]]
-        if not out.any():
-            held.append(part)
-        elif not out.all():
-            # A word goes with the white space before the next one.
-            ends = [*[a for a, _ in found[i][1:]], found[i][-1][1]]
-            spans = [part[a:b] for (a, _), b, cut in zip(found[i], ends, out.tolist(), strict=True) if not cut]
-            held.append(part[: found[i][0][0]] + "".join(spans) + part[found[i][-1][1] :])
-    return "\n".join(held), len(whole), int(gone.sum())
-
+def cut_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lines: list[tuple[int, int]], places: np.ndarray, window_words: int) -> tuple[bytes, int, int]:
+    """(text without the given runs of lines and windows of words, whole lines cut as ``lines``, words cut).
 
-_WORD = re.compile("[^ \t\n\r\x0b\x0c]+")
+    A word goes with the white space before the next one of its line; a line whose words all go, goes whole.
+    """
+    gone = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.add.at(gone, places, 1)
+    np.add.at(gone, places + window_words, -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    breaks = np.nonzero(data == 10)[0]
+    line = np.searchsorted(breaks, starts)
+    first = np.nonzero(np.diff(line, prepend=-1))[0]  # first words of the lines with words
+    last = np.append(first[1:], len(line))
+    whole = np.unique(np.concatenate([np.arange(a, b) for a, b in lines])) if lines else np.zeros(0, dtype=np.int64)
+    for k in whole.tolist():
+        gone[first[k] : last[k]] = True
+    edge = np.zeros(len(data) + 1, dtype=np.int64)
+    until = np.append(starts[1:], len(data))
+    until[last - 1] = ends[last - 1]
+    np.add.at(edge, starts[gone], 1)
+    np.add.at(edge, until[gone], -1)
+    # Lines without words left, with their breaks.
+    empty = np.minimum.reduceat(gone, first)
+    begin, end = np.append(0, breaks + 1)[line[first]][empty], np.append(breaks + 1, len(data))[line[first]][empty]
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    out = data[np.cumsum(edge[:-1]) == 0].tobytes()
+    if empty[-1] and line[-1] == len(breaks):
+        out = out[:-1]  # the break before a last line that goes
+    return out, len(whole), int(gone.sum())
 
 
 def deduplicate_passages(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
@@ -447,9 +456,18 @@ def deduplicate_passages(docs: DataFrame, gram_words: int = GRAM_WORDS, window_w
 
     @F.arrow_udf(_CUT)
     def cut(text: pa.Array, lines: pa.Array, places: pa.Array) -> pa.Array:
-        given = zip(text.to_pylist(), lines.to_pylist(), places.to_pylist(), strict=True)
-        out = [cut_words(t, [(x["low"], x["high"]) for x in c or ()], p or [], window_words) for t, c, p in given]
-        return pa.array([{"text": t, "lines": n, "words": w} for t, n, w in out], pa.struct([("text", pa.string()), ("lines", pa.int32()), ("words", pa.int32())]))
+        data, offsets, starts, ends = word_bounds(text)
+        first, out = np.searchsorted(starts, offsets), []
+        for i, runs in enumerate(lines.to_pylist()):
+            a, b, low = first[i], first[i + 1], offsets[i]
+            found = places[i].values
+            at = np.zeros(0, dtype=np.int64) if found is None else found.to_numpy().astype(np.int64)
+            if b > a:
+                out.append(cut_words(data[low : offsets[i + 1]], starts[a:b] - low, ends[a:b] - low, [(x["low"], x["high"]) for x in runs or ()], at, window_words))
+            else:
+                out.append((data[low : offsets[i + 1]].tobytes(), 0, 0))
+        done, n, words = zip(*out, strict=True) if out else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(done, pa.binary()).cast(pa.string()), pa.array(n, pa.int32()), pa.array(words, pa.int32())], ["text", "lines", "words"])
 
     return _applied(docs, rows, cuts, lambda: cut(F.coalesce(text, F.lit("")), F.col("cuts"), F.col("places")))
 
