@@ -28,8 +28,11 @@ GROUP_DOCUMENTS = 40_000
 #: Pre-tokens whose ids a worker remembers before the table starts afresh.
 REMEMBERED = 400_000
 
+#: Characters from here on, and those whose lower case is one of them, need the library's normalization.
+BELOW = 0x300
+_LEAVING = "".join(chr(c) for c in range(BELOW) if any(ord(x) >= BELOW for x in chr(c).lower()))
 #: Texts with none of these normalize character by character and hold no special token.
-_UNUSUAL = re.compile("[İ̀-\U0010ffff]|<\\|")
+_UNUSUAL = re.compile(f"[{_LEAVING}{chr(BELOW)}-\U0010ffff]|<\\|")
 
 
 class WordIds:
@@ -45,7 +48,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        below = [chr(c) for c in range(0x300)]
+        below = [chr(c) for c in range(BELOW)]
         letter = "".join(re.escape(c) for c in below if regex.match(r"\p{L}", c))
         number = "".join(re.escape(c) for c in below if regex.match(r"\p{N}", c))
         space = "".join(re.escape(c) for c in below if regex.match(r"\s", c))
