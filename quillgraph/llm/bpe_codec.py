@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import _shared
-from quillgraph.llm.token_counts import BEYOND, plain_pattern
+from quillgraph.llm.token_counts import BEYOND, PATTERN, plain_pattern
 
 #: Bytes that a leaf of the tree merges directly.
 LEAF = 48
@@ -41,7 +41,8 @@ class TreeCodec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern).findall
-        self.plain = plain_pattern().findall
+        # The fast pattern stands for the published one only.
+        self.plain = plain_pattern().findall if pattern == PATTERN else self.pattern
         self.seams: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
 
