@@ -6,8 +6,11 @@ term and the inner product of two latent vectors for every pair of terms, so a p
 an insult beside a group's name can weigh more than its parts do. Pairs cost nothing extra:
 sum over pairs <v_i, v_j> = (|sum v_i|^2 - sum |v_i|^2) / 2.
 
+Every bucket that the sample holds is a term of the machine: a term that tells nothing alone may tell
+much beside another, so none is chosen or dropped by itself; shrinkage keeps useless ones small.
+
 The model is fitted on a bounded sample of labelled documents (SAMPLE rows, the same on every
-run) in one task on an executor; only its few thousand weights travel. Scoring covers all
+run) in one task on an executor; only terms that came to weigh anything travel. Scoring covers all
 documents and whole texts.
 """
 
@@ -30,10 +33,7 @@ from quillgraph.llm import _shared
 SAMPLE = 20_000
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
-#: Terms of the model at most, and how far (in standard errors) the share of toxic documents
-#: with a term must be from the share of others.
-TERMS, APART = 4096, 5.0
-FACTORS, EPOCHS, BATCH, STEP, SHRINK = 8, 12, 256, 0.08, 2e-3
+FACTORS, EPOCHS, BATCH, STEP = 8, 8, 256, 0.5
 #: Words remembered by a worker before its tables start afresh.
 REMEMBERED = 500_000
 
@@ -66,55 +66,81 @@ class Machine:
         return self.bias + float(self.weights[terms].sum()) + 0.5 * float(total @ total - (v * v).sum())
 
 
-def select_terms(labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """The buckets whose presence tells the classes apart best."""
-    toxic = np.repeat(labels, sizes)
-    one = np.bincount(flat[toxic == 1], minlength=BUCKETS)
-    all_ = np.bincount(flat, minlength=BUCKETS)
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    p = all_ / (n1 + n0)
-    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    z = np.where(all_ >= 3, np.abs(one / n1 - (all_ - one) / n0) / error, 0)
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    return np.sort(best[z[best] >= APART])
-
-
-def fit_machine(labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray, seed: int = 7) -> Machine:
-    """AdaGrad on the logistic loss; documents are given as sizes and their buckets in a row."""
-    chosen = select_terms(labels, sizes, flat)
-    at = np.searchsorted(chosen, flat)
-    at[at == len(chosen)] = 0
-    known = (chosen[at] == flat) if len(chosen) else np.zeros(len(flat), dtype=bool)
-    owner = np.repeat(np.arange(len(labels)), sizes)[known]
-    terms = at[known]
-    starts = np.searchsorted(owner, np.arange(len(labels) + 1))
+def fit_machine(labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray, starts: np.ndarray | None = None, seed: int = 7) -> Machine:
+    """Dual averaging on the logistic loss; documents are given as sizes and their buckets in a row
+    (or from ``starts`` on).
+
+    A weight leaves zero only as far as its gradients, summed over all batches so far, exceed
+    what chance makes of so many terms: sqrt(2 ln terms) standard errors, each sqrt(documents *
+    p * (1 - p)) an epoch. A vector starts to move (by AdaGrad) once its sum of gradients exceeds
+    as many standard errors, taken from the gradients themselves.
+    The first half of the epochs fits the weights; the second draws those that left zero no further,
+    and fits the vectors on what the weights leave. Terms that never leave their start weigh nothing and aren't kept.
+    """
+    holding = np.zeros(BUCKETS, dtype=np.int64)
+    for s in range(0, len(flat), 1 << 20):
+        holding += np.bincount(flat[s : s + (1 << 20)], minlength=BUCKETS)
+    chosen = np.nonzero(holding)[0]
+    place, holding = np.cumsum(holding > 0, dtype=np.int32) - 1, holding[chosen]
+    starts = np.concatenate(([0], np.cumsum(sizes))) if starts is None else starts
     rng = np.random.default_rng(seed)
     share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
     bias, n = np.log(share / (1 - share)), len(chosen)
-    w, v = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
-    gw, gv, gb = np.full(n, 1e-8), np.full((n, FACTORS), 1e-8), 1e-8
-    for _ in range(EPOCHS if n else 0):
+    w, start = np.zeros(n, dtype=np.float32), rng.normal(0, 0.01, (n, FACTORS)).astype(np.float32)
+    v, gb = start.copy(), 1.0
+    # Sums of gradients and of their squares.
+    zw, gw = np.zeros(n, dtype=np.float32), np.ones(n, dtype=np.float32)
+    zv, gv = np.zeros((n, FACTORS), dtype=np.float32), np.full((n, FACTORS), 1e-8, dtype=np.float32)
+    batches, touched, most = max(1, -(-len(labels) // BATCH)), np.zeros(n, dtype=np.int32), 2 * np.log(max(n, 2))
+    drawn = np.sqrt(most * share * (1 - share) * holding) / np.minimum(holding, batches)
+    half, free, moving = EPOCHS // 2, np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    for epoch in range(EPOCHS if n else 0):
+        if epoch == half:
+            free = w != 0
         order = rng.permutation(len(labels))
         for s in range(0, len(order), BATCH):
             docs = np.sort(order[s : s + BATCH])
-            counts = starts[docs + 1] - starts[docs]
-            places = np.repeat(starts[docs] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-            t, own = terms[places], np.repeat(np.arange(len(docs)), counts)
-            total = np.stack([np.bincount(own, v[t, f], len(docs)) for f in range(FACTORS)], axis=1)
-            squares = np.bincount(own, (v[t] ** 2).sum(axis=1), len(docs))
-            margin = bias + np.bincount(own, w[t], len(docs)) + 0.5 * ((total**2).sum(axis=1) - squares)
-            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[docs]) / len(docs)
-            dw = np.bincount(t, slope[own], n) + SHRINK * w / len(docs)
-            dv = slope[own, None] * (total[own] - v[t])
-            dv = np.stack([np.bincount(t, dv[:, f], n) for f in range(FACTORS)], axis=1) + SHRINK * v / len(docs)
-            db = slope.sum()
-            gw += dw**2
-            gv += dv**2
-            gb += db**2
-            w -= STEP * dw / np.sqrt(gw)
-            v -= STEP * dv / np.sqrt(gv)
-            bias -= STEP * db / np.sqrt(gb)
-    return Machine(float(bias), chosen, w, v)
+            counts = sizes[docs]
+            own = np.repeat(np.arange(len(docs)), counts)
+            t = place[flat[np.arange(counts.sum()) + np.repeat(starts[docs] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)]]
+            by_term = np.argsort(t, kind="stable")
+            first = np.nonzero(np.diff(t[by_term], prepend=-1))[0]
+            terms, full = t[by_term[first]], counts > 0
+            begins = (np.cumsum(counts) - counts)[full]
+            total, squares, linear = np.zeros((len(docs), FACTORS)), np.zeros(len(docs)), np.zeros(len(docs))
+            if len(begins):
+                linear[full] = np.add.reduceat(w[t], begins)
+                if epoch >= half:
+                    values = v[t]
+                    total[full] = np.add.reduceat(values, begins)
+                    squares[full] = np.add.reduceat((values * values).sum(axis=1), begins)
+            margin = bias + linear + 0.5 * ((total**2).sum(axis=1) - squares)
+            slope = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[docs]
+            gb += slope.sum() ** 2
+            bias -= STEP * slope.sum() / np.sqrt(gb)
+            if not len(first):
+                continue
+            owner = own[by_term]
+            dw = np.add.reduceat(slope[owner], first)
+            zw[terms] += dw
+            gw[terms] += dw**2
+            touched[terms] += ~free[terms]
+            w[terms] = -STEP / np.sqrt(gw[terms]) * _beyond(zw[terms], drawn[terms] * touched[terms])
+            if epoch >= half:
+                dv = np.add.reduceat((slope[:, None] * total)[owner], first) - v[terms] * dw[:, None]
+                zv[terms] += dv
+                gv[terms] += dv**2
+                error = np.sqrt(gv[terms])
+                moving[terms] |= (np.abs(zv[terms]) > np.sqrt(most * (epoch - half + 1)) * error).any(axis=1)
+                v[terms] -= np.where(moving[terms, None], STEP * dv / error, 0)
+    v[~moving] = 0
+    kept = (w != 0) | (v != 0).any(axis=1)
+    return Machine(float(bias), chosen[kept], w[kept].astype(np.float64), v[kept].astype(np.float64))
+
+
+def _beyond(x: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """How far ``x`` lies beyond ``least`` on its side of zero."""
+    return np.sign(x) * np.maximum(np.abs(x) - least, 0)
 
 
 class Scorer:
@@ -154,7 +180,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled documents outside the held-out fold.
+    """Fit on at most ``sample`` labelled documents outside the held-out fold (NULL texts count as empty).
 
     Repeated labels of a document count once (toxic if any says so). Without a label, or
     with a single class, the machine is a bias alone.
@@ -169,10 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending")]).combine_chunks()
         lists = table.column("terms").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        machine = fit_machine(table.column("toxic").to_numpy().astype(np.int64), sizes, lists.flatten().to_numpy())
+        # The same order of documents on every run; their terms stay where they are.
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        labels, starts = table.column("toxic").to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+        del table
+        machine = fit_machine(labels[order], np.diff(starts)[order], lists.values.to_numpy(), starts[:-1][order])
         rows = [[machine.bias], [machine.buckets.astype(np.int64).tobytes()], [machine.weights.tobytes()], [machine.factors.tobytes()]]
         kinds = [pa.float64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table({n: pa.array(r, k) for n, r, k in zip(["bias", "buckets", "weights", "factors"], rows, kinds, strict=True)})

@@ -61,22 +61,32 @@ def test_op3_on_held_out_labels(spark):
     assert ((s >= 0) & (s <= 1)).all() and (p == (s >= 0.5)).all()
 
 
-def test_op3_learns_pairs():
-    """Neither term alone tells the classes apart; both together do."""
+@pytest.mark.parametrize("together", [np.logical_and, np.logical_xor])
+def test_op3_learns_pairs(together):
+    """With XOR neither term alone tells anything about the classes; both together tell all."""
     rng = np.random.default_rng(0)
     docs, labels = [], []
     for _ in range(4000):
         a, b = rng.random(2) < 0.5
-        docs.append(([10] if a else [11]) + ([20] if b else [21]) + [30 + int(x) for x in rng.integers(0, 5, 2)])
-        labels.append(int(a and b))
+        docs.append(([10] if a else [11]) + ([20] if b else [21]) + sorted({30 + int(x) for x in rng.integers(0, 5, 2)}))
+        labels.append(int(together(a, b)))
     labels = np.array(labels)
     flat = np.array([t for x in docs for t in x])
     machine = toxicity.fit_machine(labels, np.array([len(x) for x in docs]), flat)
     place = {b: i for i, b in enumerate(machine.buckets.tolist())}
     got = np.array([machine.margin(np.array([place[t] for t in x if t in place])) > 0 for x in docs])
     assert (got == labels).mean() > 0.98
-    v = machine.factors[[place[10], place[20]]]
-    assert v[0] @ v[1] > 0.1
+    v = machine.factors[[place[10], place[20], place[21]]]
+    assert (v[0] @ v[1] > 0.1) if together is np.logical_and else (v[0] @ v[1] < -0.1 < 0.1 < v[0] @ v[2])
+
+
+def test_op3_margin_is_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    machine = toxicity.Machine(-0.3, np.arange(12), rng.normal(size=12), rng.normal(size=(12, 8)))
+    for n in (0, 1, 2, 7, 12):
+        t = rng.permutation(12)[:n]
+        pairs = sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(t) for j in t[:k])
+        assert machine.margin(t) == pytest.approx(-0.3 + machine.weights[t].sum() + pairs)
 
 
 def test_op3_learns_from_its_fold_only(spark):

@@ -123,6 +123,21 @@ def check_packing(rows, docs, capacity):
     return len(bins), -(-sum(r.length for r in rows) // capacity)
 
 
+def test_words_of_every_low_character():
+    """Alone, between letters and doubled; some leave the fast range when lower-cased."""
+    own, library = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    for c in map(chr, range(0x300)):
+        for t in (c, f"a{c}b", f"A{c}{c} {c}1", f"x {c}'s"):
+            assert own.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_codec_keeps_to_the_pattern_given(tik):
+    own = bpe_codec.TreeCodec(RANKS, r"\S+|\s+")
+    enc = tiktoken.Encoding("other", pat_str=r"\S+|\s+", mergeable_ranks=tik._mergeable_ranks, special_tokens={})
+    for t in strange(200, 6):
+        assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == enc.encode_ordinary(t)
+
+
 def test_op9(spark, sf_dir, texts):
     n, least = check_packing(packing.query(spark, sf_dir).collect(), texts.items(), 4096)
     assert n <= least * 1.02 + 1
