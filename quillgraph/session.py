@@ -22,11 +22,18 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """``spark.checkpoint.dir`` names the folder all machines share; only where it is unset
-    (one machine, tests) a temporary folder takes its place."""
+    """``spark.checkpoint.dir`` names the folder all machines share; only where it is unset on
+    one machine (tests) a temporary folder takes its place."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillgraph-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not _one_machine(sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgraph-"))
+
+
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
