@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillgraph.session import ensure_checkpoint_dir
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries
+    _trim = None
+
 #: More files than this and the file offsets are joined by shuffle instead of broadcast.
 MAX_BROADCAST_FILES = 50_000
 
@@ -19,19 +29,59 @@ MAX_BROADCAST_FILES = 50_000
 ARROW_ROWS = 256
 
 
+#: The operator whose tables this Python worker holds, and its tables.
+_HELD: dict = {"owner": None, "tables": {}}
+
+
+def worker_table(owner: str, key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, kept in this worker while it works for ``owner``."""
+    _own(owner)
+    if key not in _HELD["tables"]:
+        _HELD["tables"][key] = make()
+    return _HELD["tables"][key]
+
+
+def _own(owner: str) -> None:
+    """Workers live on from stage to stage, so another operator's tables go first."""
+    if _HELD["owner"] != owner:
+        _HELD["owner"], _HELD["tables"] = owner, {}
+        trim()
+
+
+def trim() -> None:
+    """Give memory that nothing uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def worker(owner: str, trims: bool = False) -> Callable:
+    """Marks a function over Arrow batches as work for ``owner``; with ``trims`` it held much."""
+
+    def wrap(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+        def own(batches: Iterator) -> Iterator:
+            _own(owner)
+            yield from run(batches)
+            if trims:
+                trim()
+
+        return own
+
+    return wrap
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Where that is unset (tests on one machine) a
-    temporary folder is made and set as the checkpoint directory.
+    ``spark.checkpoint.dir`` names it, or else the checkpoint directory that was set. Where both
+    are missing on one machine (tests) a temporary folder is made; on a cluster that is an error.
     """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
-    return sc.getCheckpointDir().rstrip("/")
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

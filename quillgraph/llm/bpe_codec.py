@@ -14,7 +14,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,9 +139,8 @@ class TreeCodec:
         return level[0] if level else b""
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> TreeCodec:
-    return TreeCodec(path, pattern)
+    return _shared.worker_table("bpe_codec", (path, pattern), lambda: TreeCodec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:

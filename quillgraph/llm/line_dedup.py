@@ -104,6 +104,7 @@ def repeated_runs(rows: DataFrame, gram_words: int, window_words: int) -> DataFr
     spread over SALTS keys, and each first place is there once a salt.
     """
 
+    @_shared.worker("line_dedup")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
@@ -118,6 +119,7 @@ def repeated_runs(rows: DataFrame, gram_words: int, window_words: int) -> DataFr
             kinds = [pa.list_(k) for k in (pa.int64(), pa.int32(), pa.binary(), pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], ["_row", "hashes", "words", "grams", "at"])
 
+    @_shared.worker("line_dedup")
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, low, high, start_word, end_word = [], [], [], [], []
@@ -177,7 +179,7 @@ MARKS = 1 << 26
 #: Characters hashed at once; words of more than LONG_WORD bytes are hashed by the library instead.
 PIECE, LONG_WORD = 1 << 17, 1 << 10
 #: Places that a task combines by key before they are shuffled.
-COMBINED = 1 << 20
+COMBINED = 1 << 18
 
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([c])) for c in range(256)], dtype=np.uint64)
@@ -367,6 +369,7 @@ def repeated_words(rows: DataFrame, runs: DataFrame, gram_words: int, window_wor
     """
     spark = rows.sparkSession
 
+    @_shared.worker("line_dedup", trims=True)
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             words, first = word_hashes(batch.column(1))
@@ -374,6 +377,7 @@ def repeated_words(rows: DataFrame, runs: DataFrame, gram_words: int, window_wor
             text = np.searchsorted(first, at, "right") - 1
             yield found, batch.column(0).to_numpy()[text], at - first[text]
 
+    @_shared.worker("line_dedup", trims=True)
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             words, first = word_hashes(batch.column(1))

@@ -4,7 +4,8 @@
 2. Equal fingerprints collapse to one representative, combined before the shuffle.
 3. A vantage-point tree over a sample (some rows for each shard) splits the space of fingerprints into shards of
    bounded size. A fingerprint goes to its home shard and, as a visitor, to every shard its
-   ball of the link radius reaches by the triangle bound |d(v,p) - d(v,q)| <= d(p,q).
+   ball of the link radius reaches by the triangle bound |d(v,p) - d(v,q)| <= d(p,q). What a shard
+   really holds is counted, and one with more than a block of rows or visitors becomes several tasks.
 4. Each shard joins its members with a vantage-point recursion of the same bound and gives
    back a spanning forest of its links: as many rows as fingerprints at most, also where
    thousands lie within the radius of each other.
@@ -31,6 +32,8 @@ SEED = 42
 #: or, with many shards, so many a shard (one fingerprint of thousands at any size).
 SHARD = 1 << 16
 SAMPLE, SAMPLE_PER_SHARD = 1 << 13, 8
+#: Shingles of a block of documents whose sets are compared.
+SHINGLES = 1 << 21
 #: Pairs compared at once without a further split.
 BLOCK = 1 << 18
 
@@ -93,6 +96,7 @@ def set_prints(rows: DataFrame, k: int, words: int) -> DataFrame:
     fingerprint of the distinct shingles."""
     names = ["_row", "n_shingles", "s0", "s1", *[f"w{i}" for i in range(words)]]
 
+    @_shared.worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, out = [], []
@@ -113,6 +117,7 @@ def fingerprints(rows: DataFrame, k: int, words: int) -> DataFrame:
     words as signed longs."""
     names = [f"w{i}" for i in range(words)]
 
+    @_shared.worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, n = [], []
@@ -351,7 +356,7 @@ def near_components(prints: DataFrame, radius: int, words: int, shard_size: int
     names = [f"w{i}" for i in range(words)]
     keys = [*names, "n_shingles"] if ratio else names
     reps = _shared.materialize(prints.groupBy(*keys).agg(F.min("_row").alias("node")), "prints")
-    return connected_components(_links(reps, _tree(reps, radius, words, shard_size, ratio), words))
+    return connected_components(_links(reps, _tree(reps, radius, words, shard_size, ratio), words, shard_size))
 
 
 def _tree(reps: DataFrame, radius: int, words: int, shard_size: int, ratio: float) -> VantageTree:
@@ -368,43 +373,94 @@ def _tree(reps: DataFrame, radius: int, words: int, shard_size: int, ratio: floa
     return VantageTree(np.ascontiguousarray(table[:, :words]).view(np.uint64), table[:, words], shards, radius, ratio)
 
 
-def _links(reps: DataFrame, tree: VantageTree, words: int, share: Fraction | None = None) -> DataFrame:
+def dealt(at: np.ndarray, shard: np.ndarray, home: np.ndarray, spread: np.ndarray, homes: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(index, shard, x, y, side) of every task that a routed row takes part in.
+
+    A shard with ``homes`` blocks of its own rows and ``visits`` blocks of visitors is the tasks
+    (x, y), x <= y < homes: block x meets block y, or itself; and (x, homes + j): block x meets the
+    visitors' block j. The first block of visitors comes to (x, x) instead. ``side`` 0 is block
+    x, 1 the other. ``spread`` deals rows to blocks.
+    """
+    a, b = homes[shard], visits[shard]
+    block = (spread % np.where(home, a, np.maximum(b, 1)).astype(np.uint64)).astype(np.int64)
+    copies = np.where(home, a + np.maximum(b - 1, 0), a)
+    row = np.repeat(np.arange(len(at)), copies)
+    c = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+    own, i, n = home[row], block[row], a[row]
+    among = own & (c < n)
+    x = np.where(among, np.minimum(i, c), np.where(own, i, c))
+    y = np.where(among, np.maximum(i, c), np.where(own, c + 1, np.where(i == 0, c, n + i)))
+    side = np.where(own, among & (c < i), True)
+    return at[row], shard[row], x, y, side
+
+
+def _links(reps: DataFrame, tree: VantageTree, words: int, block: int, share: Fraction | None = None) -> DataFrame:
     """(src, dst): the shards' spanning forests. With ``share`` the representatives carry their
-    ``shingles``, and only pairs of that similarity link."""
+    ``shingles``, and only pairs of that similarity link.
+
+    What each shard really holds, visitors included, is counted first; a shard of more than
+    ``block`` (rows, or shingles where they are carried) is cut into tasks of two blocks at most.
+    """
     names, radius, ratio = [f"w{i}" for i in range(words)], tree.radius, tree.ratio
     extra = [*(["n_shingles"] if ratio else []), *(["shingles"] if share else [])]
 
+    def routed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        points = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).view(np.uint64)
+        return tree.route(points, batch.column("n_shingles").to_numpy() if ratio else np.zeros(len(points), dtype=np.int64))
+
+    @_shared.worker("near_dedup")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, tree.leaves), dtype=np.int64)
+        for batch in batches:
+            at, shard, home = routed(batch)
+            weight = batch.column("n_shingles").to_numpy()[at] + 1 if share else np.ones(len(at), dtype=np.int64)
+            np.add.at(held, (home.astype(np.int64), shard), weight)
+        own, shard = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(own == 1), pa.array(held[own, shard])], ["shard", "home", "n"])
+
+    # Two rows a shard, one for some ten thousand fingerprints.
+    held = np.zeros((2, tree.leaves), dtype=np.int64)
+    for r in reps.select(*names, *(["n_shingles"] if ratio or share else [])).mapInArrow(count, "shard long, home boolean, n long").groupBy("shard", "home").agg(F.sum("n").alias("n")).collect():
+        held[int(r["home"]), r["shard"]] = r["n"]
+    visits, homes = -(-held[0] // block), np.maximum(-(-held[1] // block), 1)
+
+    @_shared.worker("near_dedup")
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).view(np.uint64)
-            sizes = batch.column("n_shingles").to_numpy() if ratio else np.zeros(len(points), dtype=np.int64)
-            at, shard, home = tree.route(points, sizes)
-            chosen = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(home), *chosen.columns], ["shard", "home", *batch.schema.names])
+            at, shard, home = routed(batch)
+            spread = _spread(batch.column("node").to_numpy().view(np.uint64), 1)[at]
+            at, shard, x, y, side = dealt(at, shard, home, spread, homes, visits)
+            # Rows with their shingles go out in small batches.
+            step = 256 if share else 1 << 14
+            for s in range(0, len(at), step):
+                e = s + step
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[s:e]) for c in (shard, x, y, side)], *batch.take(pa.array(at[s:e])).columns], ["shard", "x", "y", "side", *batch.schema.names])
 
     def link(table: pa.Table) -> pa.Table:
-        # Points of the shard in a fixed order: homes first, so that a forest's roots are.
-        order = pa.compute.sort_indices(table.select(["home", "node"]), sort_keys=[("home", "descending"), ("node", "ascending")])
+        _shared.worker_table("near_dedup", (), dict)
+        # Points in a fixed order, block x first, so that a forest's roots are there.
+        order = pa.compute.sort_indices(table.select(["side", "node"]), sort_keys=[("side", "ascending"), ("node", "ascending")])
         sets = None
         if share:
             held = [x for c in table.column("shingles").chunks for x in (c[i].values.to_numpy() for i in range(len(c)))]
             sets = [held[i] for i in order.to_pylist()]
             table = table.drop_columns(["shingles"])
+        diagonal = table.column("x")[0] == table.column("y")[0]
         table = table.take(order)
         points = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
         sizes = table.column("n_shingles").to_numpy() if ratio else None
         linker = Linker(points, radius, sizes, ratio, sets, share)
-        homes = int(pa.compute.sum(table.column("home")).as_py() or 0)
-        own, visitors = np.arange(homes), np.arange(homes, len(points))
-        linker.alone(own)
-        linker.across(visitors, own)
+        first = len(points) - int(pa.compute.sum(table.column("side")).as_py() or 0)
+        if diagonal:
+            linker.alone(np.arange(first))
+        linker.across(np.arange(first, len(points)), np.arange(first))
         child, root = linker.forest()
         node = table.column("node").to_numpy()
         return pa.table({"src": pa.array(node[child], pa.int64()), "dst": pa.array(node[root], pa.int64())})
 
     columns = ", ".join(f"{c} {'array<long>' if c == 'shingles' else 'long'}" for c in [*names, *extra, "node"])
-    placed = reps.select(*names, *extra, "node").mapInArrow(route, f"shard long, home boolean, {columns}")
-    return _shared.materialize(placed.groupBy("shard").applyInArrow(link, "src long, dst long"), "links")
+    placed = reps.select(*names, *extra, "node").mapInArrow(route, f"shard long, x long, y long, side boolean, {columns}")
+    return _shared.materialize(placed.groupBy("shard", "x", "y").applyInArrow(link, "src long, dst long"), "links")
 
 
 def similar_classes(rows: DataFrame, k: int, radius: int, words: int, shard_size: int, share: Fraction) -> DataFrame:
@@ -420,9 +476,10 @@ def similar_classes(rows: DataFrame, k: int, radius: int, words: int, shard_size
     reps = _shared.materialize(prints.groupBy("s0", "s1").agg(F.min("_row").alias("node"), *[F.first(c).alias(c) for c in ["n_shingles", *names]]), "prints")
     # A similarity bounds the ratio of the sets' sizes by itself.
     tree = _tree(reps, radius, words, shard_size, float(share) * (1 - 1e-9))
-    proposed = _links(reps, tree, words)
+    proposed = _links(reps, tree, words, shard_size)
     nodes = _shared.materialize(proposed.select(F.explode(F.array("src", "dst")).alias("_row")).distinct(), "proposed")
 
+    @_shared.worker("near_dedup")
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [shingle_set(text, k) for text in batch.column(1).to_pylist()]
@@ -433,7 +490,7 @@ def similar_classes(rows: DataFrame, k: int, radius: int, words: int, shard_size
     # A merge join at every size, as below.
     chosen = rows.join(nodes.hint("merge"), "_row", "left_semi").select("_row", "text")
     full = chosen.mapInArrow(sets, f"node long, n_shingles long, {', '.join(f'{n} long' for n in names)}, shingles array<long>")
-    linked = connected_components(_links(full, tree, words, share))
+    linked = connected_components(_links(full, tree, words, SHINGLES, share))
     labels = reps.select("s0", "s1", "node").join(linked, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("component"))
     return prints.select("_row", "s0", "s1").join(labels, ["s0", "s1"]).select("_row", "component")
 

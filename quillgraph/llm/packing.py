@@ -13,7 +13,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from quillgraph.llm import _shared
 #: Documents of a packing group; more groups, not larger ones, as the input grows.
 GROUP_DOCUMENTS = 40_000
 #: Pre-tokens whose ids a worker remembers before the table starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 #: Characters from here on, and those whose lower case is one of them, need the library's normalization.
 BELOW = 0x300
@@ -78,9 +77,8 @@ class WordIds:
         return {w: ids[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return _shared.worker_table("packing", (path,), lambda: WordIds(path))
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> tuple[DataFrame, int]:

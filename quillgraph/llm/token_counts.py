@@ -188,9 +188,8 @@ class RankMerger:
         return out
 
 
-@lru_cache(maxsize=2)
 def merger(path: str) -> RankMerger:
-    return RankMerger(path)
+    return _shared.worker_table("token_counts", (path,), lambda: RankMerger(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:

@@ -19,7 +19,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
 FACTORS, EPOCHS, BATCH, STEP = 8, 8, 256, 0.5
 #: Words remembered by a worker before its tables start afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 #: ASCII letters fold to lower case; other ASCII but digits parts words.
 _FOLD = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() and c < 0x80 else 32 for c in range(256))
@@ -167,7 +166,6 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
-@lru_cache(maxsize=2)
 def _scorer(packed: tuple[float, bytes, bytes, bytes]) -> Scorer:
     bias, buckets, weights, factors = packed
     v = np.frombuffer(factors).reshape(-1, FACTORS)
@@ -189,12 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     one = usable.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
+    @_shared.worker("toxicity")
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted({b for w in words_of(t) for b in term_buckets(w)}) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
     def learn(table: pa.Table) -> pa.Table:
+        _shared.trim()
         lists = table.column("terms").combine_chunks()
         # The same order of documents on every run; their terms stay where they are.
         order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
@@ -202,6 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         del table
         machine = fit_machine(labels[order], np.diff(starts)[order], lists.values.to_numpy(), starts[:-1][order])
         rows = [[machine.bias], [machine.buckets.astype(np.int64).tobytes()], [machine.weights.tobytes()], [machine.factors.tobytes()]]
+        del lists
+        _shared.trim()
         kinds = [pa.float64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table({n: pa.array(r, k) for n, r, k in zip(["bias", "buckets", "weights", "factors"], rows, kinds, strict=True)})
 
@@ -224,7 +226,7 @@ def scorer(machine: Machine) -> Callable[[Column], Column]:
 
     @F.arrow_udf(T.DoubleType())
     def score(text: pa.Array) -> pa.Array:
-        own = _scorer(packed).score
+        own = _shared.worker_table("toxicity", packed, lambda: _scorer(packed)).score
         return pa.array([own(t) for t in text.to_pylist()], pa.float64())
 
     return lambda text: score(F.coalesce(text, F.lit("")))

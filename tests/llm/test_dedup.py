@@ -88,6 +88,39 @@ def test_shards_and_bounds_lose_no_link(spark, shard_size):
         assert all(got.get(first[p], first[p]) == want[i] for i, p in enumerate(prints))
 
 
+def test_tasks_of_a_thousand_shards_stay_bounded():
+    """Two blocks at most meet in a task, however many visitors a shard has, and no pair is lost."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, 1 << 15, dtype=np.uint64)
+    points = np.concatenate([base, base ^ (np.uint64(5) << rng.integers(0, 60, 1 << 15, dtype=np.uint64))])[:, None]
+    none = np.zeros(len(points), dtype=np.int64)
+    tree = near_dedup.VantageTree(points[::8], none[::8], 1024, 3)
+    assert tree.leaves == 1024
+    at, shard, home = tree.route(points, none)
+    visits, homes = (-(-np.bincount(shard[home == own], minlength=tree.leaves) // 64) for own in (False, True))
+    task = near_dedup.dealt(at, shard, home, near_dedup._spread(points[at, 0], 1), np.maximum(homes, 1), visits)
+    _, which, held = np.unique(np.stack(task[1:4]), axis=1, return_inverse=True, return_counts=True)
+    assert held.max() <= 4 * 64
+    # The two copies of a print meet in exactly one task.
+    keys = np.stack((which, task[0] % (1 << 15)))
+    twins = np.unique(keys, axis=1, return_counts=True)
+    both = twins[0][1][twins[1] == 2]
+    assert len(np.unique(both)) == 1 << 15
+
+
+@pytest.mark.parametrize("radius", [0, 3, 14])
+def test_blocks_lose_no_link(spark, radius):
+    """Shards of far more visitors and rows than a block."""
+    rng = random.Random(radius)
+    centres = [rng.getrandbits(64) for _ in range(80)]
+    prints = [c ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (2**64 - 1) for c in centres for _ in range(8)]
+    reps = spark.createDataFrame([(i, int(np.uint64(p).view(np.int64))) for i, p in enumerate(prints)], "node long, w0 long")
+    tree = near_dedup.VantageTree(np.array(prints, dtype=np.uint64)[::4, None], np.zeros(160, dtype=np.int64), 8, radius)
+    links = near_dedup._links(reps, tree, 1, 7)
+    got = {r.node: r.component for r in near_dedup.connected_components(links).collect()}
+    assert [got.get(i, i) for i in range(len(prints))] == brute_components(prints, radius)
+
+
 def test_linker_recursion_equals_brute_force():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
