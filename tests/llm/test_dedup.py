@@ -39,6 +39,32 @@ def test_op8_compares_content_when_digests_collide(spark, sf_dir):
     assert sorted(map(tuple, short.select(*columns).collect())) == sorted(map(tuple, exact_dedup.deduplicate(docs).select(*columns).collect()))
 
 
+def test_op8_keeps_one_row_a_group(odd_docs, no_docs):
+    """Also of repeated rows and of rows without an id."""
+    kept = exact_dedup.kept_documents(odd_docs)
+    assert kept.columns == odd_docs.columns
+    norm = lambda t: re.sub("[ \t-\r]", "", t or "")
+    assert sorted(norm(r.text) for r in kept.collect()) == sorted({norm(r.text) for r in odd_docs.collect()})
+    assert exact_dedup.kept_documents(no_docs).collect() == []
+
+
+def test_op8_with_a_third_of_all_rows_in_one_group(spark):
+    """Without adaptive execution the hot group's rows still don't meet in one task."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the hot text")).otherwise(F.concat(F.lit("t"), F.col("id") % 1500)).alias("text")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = exact_dedup.deduplicate(docs)
+        rows = out.collect()
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == len(by) == 6000 and sum(r.kept for r in rows) == len({r.text_sha256 for r in rows}) == 1001
+    assert all((by[i].keep_id, by[i].group_size) == (0, 2000) for i in range(0, 6000, 3))
+    assert all(by[i].keep_id == min(j for j in range(i % 1500, 6000, 1500) if j % 3) for i in range(1, 6000, 7) if i % 3)
+    assert max(sizes) < 6000 / 5
+
+
 def brute_print(text):
     words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if w]
     if not words:

@@ -36,6 +36,32 @@ def test_op2_corner_cases(spark):
     assert exact_topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_op2_with_a_third_of_all_vectors_equal(spark):
+    """Equal vectors are cut into blocks; other lengths keep to themselves; few shards are visited."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 6)) * 3
+    rows = [(i, [0.5] * 6 if i % 3 == 0 else (centres[i % 20] + rng.normal(size=6) * 0.1).tolist()[: 6 if i % 17 else 4]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in rows}
+    got = {}
+    for r in exact_topk.top_k(df, F.col("vec_id") % 50 == 0, shard_size=60).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 1500, 50):
+        best = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:10]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_op2_deals_by_space():
+    points = np.random.default_rng(6).integers(-1000, 1000, (40_000, 5))
+    dealer = exact_topk.Dealer(points[::10], 64)
+    leaf = dealer.leaf(points)
+    assert dealer.leaves == 64 and np.bincount(leaf, minlength=64).max() < 2 * 40_000 / 64
+    boxes = sum(np.prod((points[leaf == i].max(axis=0) - points[leaf == i].min(axis=0)).astype(float)) for i in range(64))
+    assert boxes < 1.01 * 2000.0**5  # they share the space and don't overlap
+    same = exact_topk.Dealer(np.ones((50, 3), dtype=np.int64), 8)
+    assert same.leaves == 1
+
+
 def test_op2_large_numbers_stay_exact(spark):
     rng = random.Random(1)
     rows = [(i, [float(rng.randrange(-(2**28), 2**28)) for _ in range(3)]) for i in range(120)]
@@ -144,6 +170,46 @@ def test_op6_spans_survive_edits(spark):
     assert len(got[4].spans) == 3
 
 
+def test_op6_with_a_word_put_in_or_left_out_anywhere(spark):
+    """One span of the license whole, wherever the edit is; five words more in one place don't split it."""
+    whole = [t for label, t in license_scan.TEMPLATES if label == "mit"][-1].split()
+    rows = [(i, " ".join(["before", "it", *whole[:i], "inserted", *whole[i:], "after", "it"])) for i in range(len(whole) + 1)]
+    rows += [(1000 + i, " ".join(whole[:i] + whole[i + 1 :])) for i in range(len(whole))]
+    rows += [(2000 + i, " ".join([*whole[:i], *[f"n{k}" for k in range(5)], *whole[i:]])) for i in range(len(whole))]
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.labels == "mit" and len(r.spans) == 1 and r.spans[0].cover >= 0.95, (r.doc_id, r.spans)
+
+
+def test_op6_votes_and_overlaps(spark):
+    """Each template names its own license, also where another one's wording is almost the same."""
+    rows = [(i, f"x y z {t} and more words") for i, (_, t) in enumerate(license_scan.TEMPLATES)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, t) in enumerate(license_scan.TEMPLATES):
+        assert {s.label for s in got[i].spans} == {label} and max(s.cover for s in got[i].spans) == 1.0, (label, got[i].spans)
+    assert len({label for label, _ in license_scan.TEMPLATES}) >= 12
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_op6_spans_equal_brute_force(spark, seed):
+    """Copies with some words changed: found where the best alignment of a template covers enough."""
+    rng = random.Random(seed)
+    noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(60):
+        label, text = rng.choice([x for x in license_scan.TEMPLATES if len(x[1].split()) > 40])
+        words = [w.decode() for w in license_scan.words_of(text)]
+        share = rng.choice([0.0, 0.05, 0.5])
+        changed = {k for k in range(len(words)) if rng.random() < share}
+        rows.append((i, " ".join(noise(30) + [f"c{k}" if k in changed else w for k, w in enumerate(words)] + noise(30))))
+        cover = 1 - len(changed) / len(words)
+        want[i] = (label, cover) if cover >= 0.85 else None
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if want[r.doc_id]:
+            assert {s.label for s in r.spans} == {want[r.doc_id][0]} and max(s.cover for s in r.spans) > want[r.doc_id][1] - 0.06
+        else:
+            assert not any(s.cover >= 0.8 for s in r.spans if s.end - s.start > 30)
+
+
 def test_op6_corner_cases(odd_docs, no_docs):
     rows = license_scan.scan(odd_docs).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted((str(r.doc_id), brute_license(r.text)[0]) for r in odd_docs.collect())
