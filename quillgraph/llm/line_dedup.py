@@ -97,6 +97,12 @@ def cut_text(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "\n".join(kept), len(gone), sum(held[k][2] for k in gone)
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays; NULL is empty."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+    return np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
+
+
 def repeated_runs(rows: DataFrame, gram_words: int, window_words: int) -> DataFrame:
     """(_row, cuts): runs of lines to delete, with their words, from rows of (_row, text).
 
@@ -123,17 +129,16 @@ def repeated_runs(rows: DataFrame, gram_words: int, window_words: int) -> DataFr
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, low, high, start_word, end_word = [], [], [], [], []
-            names = batch.schema.names
-            for r, start, other, own, words in zip(*[batch.column(names.index(n)).to_pylist() for n in ("_row", "start", "other", "hashes", "words")], strict=True):
-                n = len(other)
-                aligned = [np.array(x, dtype=np.int64) for x in (own[start : start + n], other, words[start : start + n])]
-                total = np.concatenate(([0], np.cumsum(words)))
-                for a, b in equal_runs(*aligned, gram_words):
+            own, other, words = (_lists(batch.column(n)) for n in ("hashes", "other", "words"))
+            for r, start, a, theirs, w in zip(batch.column("_row").to_pylist(), batch.column("start").to_pylist(), own, other, words, strict=True):
+                along = slice(start, start + len(theirs))
+                total = np.concatenate(([0], np.cumsum(w)))
+                for x, y in equal_runs(a[along], theirs, w[along], gram_words):
                     row.append(r)
-                    low.append(start + a)
-                    high.append(start + b)
-                    start_word.append(total[start + a])
-                    end_word.append(total[start + b])
+                    low.append(start + x)
+                    high.append(start + y)
+                    start_word.append(total[start + x])
+                    end_word.append(total[start + y])
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *[pa.array(x, pa.int32()) for x in (low, high, start_word, end_word)]], ["_row", "low", "high", "from", "to"])
 
     # Hashes only: a small share of the text, read several times below.
@@ -308,7 +313,7 @@ def marked(spark: SparkSession, rows: DataFrame):
     return held("_row")
 
 
-_PLACES = "key long, known boolean, _row long, at int"
+_PLACES = "key long, _row long, at int"
 
 
 def _blocks(places: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -317,7 +322,8 @@ def _blocks(places: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iter
 
     def joined():
         key, row, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((at, row, key))
+        in_order = ((row[1:] > row[:-1]) | ((row[1:] == row[:-1]) & (at[1:] >= at[:-1]))).all()
+        order = np.argsort(key, kind="stable") if in_order else np.lexsort((at, row, key))
         return key[order], row[order], at[order]
 
     for x in places:
@@ -331,11 +337,13 @@ def _blocks(places: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iter
 
 
 def _placed(key: np.ndarray, known: np.ndarray, row: np.ndarray, at: np.ndarray, marker: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Places as rows. Known ones are dealt by place, as they needn't meet others; a marker has no row."""
-    dealt = np.where(known, _mixed(row.view(np.uint64) * np.uint64(_FACTOR) + at.astype(np.uint64)), key).view(np.int64)
+    """Places as rows. A key's last bit tells known ones, which are dealt by place, as they needn't
+    meet others; a marker has no row."""
+    spread = _mixed(row.view(np.uint64) * np.uint64(_FACTOR) + at.astype(np.uint64))
+    dealt = np.where(known, spread | np.uint64(1), key & ~np.uint64(1)).view(np.int64)
     for s in range(0, len(key), 1 << 16):
         e = s + (1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(dealt[s:e]), pa.array(known[s:e]), pa.array(row[s:e], mask=marker[s:e]), pa.array(at[s:e].astype(np.int32))], ["key", "known", "_row", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(dealt[s:e]), pa.array(row[s:e], mask=marker[s:e]), pa.array(at[s:e].astype(np.int32))], ["key", "_row", "at"])
 
 
 def _repeated(places: Iterator) -> Iterator[pa.RecordBatch]:
@@ -395,18 +403,17 @@ def repeated_words(rows: DataFrame, runs: DataFrame, gram_words: int, window_wor
             text = np.searchsorted(first, chosen, "right") - 1
             yield keys[chosen], batch.column(0).to_numpy()[text], chosen - first[text]
 
-    found = rows.mapInArrow(lambda batches: _repeated(grams(batches)), _PLACES)
+    found, known = rows.mapInArrow(lambda batches: _repeated(grams(batches)), _PLACES), F.col("key").bitwiseAND(1) == 1
     # A marker stands for two places or more.
-    weight = F.sum(F.when(F.col("_row").isNull(), 2).otherwise(1)).over(Window.partitionBy("key", "known"))
-    twice = found.withColumn("weight", weight).where((F.col("known") | (F.col("weight") > 1)) & F.col("_row").isNotNull())
+    weight = F.sum(F.when(F.col("_row").isNull(), 2).otherwise(1)).over(Window.partitionBy("key"))
+    twice = found.withColumn("weight", weight).where((known | (F.col("weight") > 1)) & F.col("_row").isNotNull())
     near = _shared.materialize(twice.groupBy("_row").agg(F.collect_list("at").alias("near")), "near")
     # Merge joins at every size: what repeats grows with the corpus, so it is never broadcast.
     around = near.join(runs.hint("merge"), "_row", "left").select("_row", "near", "cuts")
     texts = rows.where(marked(spark, near)).join(around.hint("merge"), "_row").select("_row", "text", "near", "cuts")
     keyed = texts.mapInArrow(lambda batches: _later(windows(batches), window_words), _PLACES)
-    order = Window.partitionBy("key", "known").orderBy("_row", "at")
-    first = keyed.withColumn("first", F.first(F.struct("_row", "at")).over(order))
-    later = F.col("known") | (F.col("_row") > F.col("first._row")) | (F.col("at") >= F.col("first.at") + window_words)
+    first = keyed.withColumn("first", F.min(F.struct("_row", "at")).over(Window.partitionBy("key")))
+    later = known | (F.col("_row") > F.col("first._row")) | (F.col("at") >= F.col("first.at") + window_words)
     return first.where(later).groupBy("_row").agg(F.collect_list("at").alias("places"))
 
 
