@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,19 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             found = [sorted({b for w in words_of(t) for b in term_buckets(w)}) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
-    def learn(table: pa.Table) -> pa.Table:
-        _shared.trim()
-        lists = table.column("terms").combine_chunks()
+    @_shared.worker("toxicity", trims=True)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), pa.compute.list_value_length(b.column(2)).to_numpy(), b.column(2).flatten().to_numpy()) for b in batches]
+        if not held:
+            return
+        ids, labels, sizes, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
         # The same order of documents on every run; their terms stay where they are.
-        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-        labels, starts = table.column("toxic").to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
-        del table
-        machine = fit_machine(labels[order], np.diff(starts)[order], lists.values.to_numpy(), starts[:-1][order])
+        order, starts = np.argsort(ids, kind="stable"), np.cumsum(sizes) - sizes
+        machine = fit_machine(labels[order].astype(np.int64), sizes[order], flat, starts[order])
         rows = [[machine.bias], [machine.buckets.astype(np.int64).tobytes()], [machine.weights.tobytes()], [machine.factors.tobytes()]]
-        del lists
-        _shared.trim()
         kinds = [pa.float64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table({n: pa.array(r, k) for n, r, k in zip(["bias", "buckets", "weights", "factors"], rows, kinds, strict=True)})
+        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["bias", "buckets", "weights", "factors"])
 
     _shared.set_batches(docs.sparkSession)
     # The chosen labels are SAMPLE rows of two numbers at most, so they may be broadcast; a
@@ -213,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     rows = docs.select(_shared.column_or_null(docs, "doc_id", "long").alias("doc_id"), _shared.text_or_empty().alias("text"))
     joined = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     features = joined.mapInArrow(terms, "doc_id long, toxic int, terms array<int>").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max("terms").alias("terms"))
-    model = features.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "bias double, buckets binary, weights binary, factors binary").collect()
+    # One task: SAMPLE rows, whatever the table.
+    model = features.repartition(1).mapInArrow(learn, "bias double, buckets binary, weights binary, factors binary").collect()
     if not model:
         return Machine(-5.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     r = model[0]
