@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.providers import Retry
+from quillgraph.session import cut_lineage
+
 BATCH = 20
 
 
@@ -22,9 +25,13 @@ def hashed_embeddings(rows: DataFrame, text: str = "embed_text", out: str = "vec
     return unit.withColumn(out, vector_to_array("_unit")).drop("_words", "_tf", "_unit")
 
 
-def provided_embeddings(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "embed_text", out: str = "vec", attempts: int = 6) -> DataFrame:
+#: Attempts, first and longest pause of an embedding batch.
+EMBED_RETRY = Retry(6, 2.0, 60.0)
+
+
+def provided_embeddings(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "embed_text", out: str = "vec", retry: Retry = EMBED_RETRY) -> DataFrame:
     """Vectors of a service in batches of 20; a batch that keeps failing gives NULL vectors,
-    which join nothing."""
+    which join nothing. Checkpointed at once, so that no later step calls again."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{out}` array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,13 +39,8 @@ def provided_embeddings(rows: DataFrame, embed: Callable[[list[str]], list[list[
             vectors: list = []
             for a in range(0, len(batch), BATCH):
                 part = batch[text].iloc[a : a + BATCH].tolist()
-                for attempt in range(attempts):
-                    try:
-                        vectors += embed(part)
-                        break
-                    except Exception:
-                        if attempt + 1 == attempts:
-                            vectors += [None] * len(part)
+                found = retry.call(lambda *_, part=part: embed(part), "embed", "", "")
+                vectors += [None] * len(part) if found is None else list(found)
             yield batch.assign(**{out: pd.Series(vectors, index=batch.index, dtype=object)})
 
-    return rows.mapInPandas(run, schema)
+    return cut_lineage(rows.mapInPandas(run, schema))

@@ -25,6 +25,7 @@ Provider = Callable[[str, str, str], str]
 
 @dataclass(frozen=True)
 class Retry:
+    # Attempts, first and longest pause of a provider call.
     attempts: int = 12
     first_delay: float = 4.0
     longest_delay: float = 120.0
@@ -51,7 +52,7 @@ def call(df: DataFrame, provider: Provider, step: str, prompt: str = "prompt", d
             answers = [retry.call(provider, step, p or "", d or "") for p, d in zip(batch[prompt], batch[data], strict=True)]
             yield batch.assign(**{out: pd.Series(answers, index=batch.index, dtype=object)})
 
-    rows = df if concurrency is None else df.coalesce(concurrency)
+    rows = df if concurrency is None else df.repartition(concurrency)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` string"
     return cut_lineage(rows.mapInPandas(run, schema).select(*names, out))
 

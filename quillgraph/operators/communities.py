@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def louvain(edges: list[tuple[int, int, float]], nodes: list[int], seed: int = 0) -> dict[int, int]:
@@ -71,9 +72,9 @@ def thread_communities(members: DataFrame, edges: DataFrame, seed: int = 0) -> D
 
     def group(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(left["id"].tolist())
-        found = louvain(list(zip(right["id"], right["target"], right["weight"], strict=True)), nodes, seed)
+        found = louvain(list(zip(right["from"], right["target"], right["weight"], strict=True)), nodes, seed)
         return pd.DataFrame({"source": key[0], "id": nodes, "community": [found[n] for n in nodes]})
 
     left = members.select("source", "id").distinct().groupBy("source")
-    right = edges.select("source", "id", "target", "weight").groupBy("source")
+    right = edges.select(F.col("source").alias("of"), F.col("id").alias("from"), "target", "weight").groupBy("of")
     return left.cogroup(right).applyInPandas(group, "source string, id long, community long")

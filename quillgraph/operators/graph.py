@@ -6,10 +6,12 @@ evidence, seq). ``seq`` is insertion order, on which results depend.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,9 +20,6 @@ from quillgraph.functions import text as text_fn
 from quillgraph.operators.components import connected_components
 from quillgraph.session import cut_lineage
 
-#: Merge actions come from reviews of candidate clusters and are folded on the driver.
-MAX_ACTIONS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Graph:
@@ -48,7 +47,9 @@ def union_subgraphs(subgraphs: DataFrame) -> Graph:
     nodes = subgraphs.select("seq", F.posexplode("nodes").alias("pos", "n")).select("n.*", F.col("seq").alias("g"), "pos")
     nodes = keep_first(nodes, ("g", "pos"))
     edges = subgraphs.select("seq", F.posexplode("edges").alias("pos", "e")).select("e.*", F.col("seq").alias("g"), "pos")
-    order = lambda df: df.withColumn("seq", F.col("g").cast("bigint") * (1 << 24) + F.col("pos")).drop("g", "pos")
+    # Places are as wide apart as the largest subgraph is.
+    width = subgraphs.agg(F.max(F.greatest(F.size("nodes"), F.size("edges")))).first()[0] or 1
+    order = lambda df: df.withColumn("seq", F.col("g").cast("bigint") * F.lit(max(width, 1)).cast("bigint") + F.col("pos")).drop("g", "pos")
     return Graph(order(nodes), order(edges))
 
 
@@ -103,24 +104,22 @@ def duplicate_clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFram
     return connected_components(pairs, a, b).withColumnRenamed("component", "cluster")
 
 
-def fold_actions(actions: Sequence[Row], present: set[str]) -> tuple[dict[str, str], dict[str, tuple[str, str, str]]]:
-    """(old id -> final id, created id -> (base id, name, description)) of ordered actions.
+def fold_actions(actions: Iterable[Any], present: set[str]) -> tuple[dict[str, str], dict[str, tuple[str, str, str, int]]]:
+    """(old id -> final id, created id -> (base id, name, description, ord)) of ordered actions.
 
     Later actions see what earlier ones did: ids that are gone are passed over, an existing
     unified id keeps its attributes, a new one takes those of its first id.
     """
     alive, parent, created = set(present), {}, {}
     for action in actions:
-        ids = list(action["ids_to_merge"] or [])
-        if not action["is_duplicate"] or len(ids) < 2:
-            continue
-        valid = [i for i in ids if i in alive]
+        valid = [i for i in action.ids_to_merge if i in alive]
         if not valid:
             continue
-        primary = action["unified_id"]
+        primary = action.unified_id
         if primary not in alive:
             base = valid[0]
-            created[primary] = (created[base][0] if base in created else base, action["unified_name"], action["unified_desc"])
+            ord_ = created[primary][3] if primary in created else action.ord
+            created[primary] = (created[base][0] if base in created else base, action.unified_name, action.unified_desc, ord_)
             alive.add(primary)
             parent.pop(primary, None)
         for old in valid:
@@ -136,26 +135,33 @@ def fold_actions(actions: Sequence[Row], present: set[str]) -> tuple[dict[str, s
     return final, {i: c for i, c in created.items() if i in alive}
 
 
+def _fold(actions: pd.DataFrame, present: pd.DataFrame) -> pd.DataFrame:
+    final, created = fold_actions(actions.sort_values("ord").itertuples(), set(present["id"]))
+    rows = [(i, f, None, None, None, None) for i, f in final.items()] + [(base, None, i, name, desc, ord_) for i, (base, name, desc, ord_) in created.items()]
+    return pd.DataFrame(rows, columns=["id", "final", "new_id", "new_name", "new_desc", "ord"]).astype({"ord": "Int64"})
+
+
 def merge_nodes(graph: Graph, actions: DataFrame) -> Graph:
     """Apply ordered merge actions (schema MERGE_ACTION and ``seq``): edges keep their number,
-    self-loops that arise stay and are flagged by ``merged_loop``."""
-    rows = actions.where("is_duplicate and size(ids_to_merge) > 1").orderBy("seq").limit(MAX_ACTIONS + 1).collect()
-    if len(rows) > MAX_ACTIONS:
-        raise ValueError(f"more than {MAX_ACTIONS} merge actions in one batch; apply them in several")
-    spark = graph.nodes.sparkSession
-    named = sorted({i for r in rows for i in [*(r["ids_to_merge"] or []), r["unified_id"]]})
-    asked = spark.createDataFrame([(i,) for i in named], "id string")
-    present = {r["id"] for r in graph.nodes.join(F.broadcast(asked), "id", "left_semi").select("id").collect()}
-    final, created = fold_actions(rows, present)
-    idmap = spark.createDataFrame(sorted(final.items()), "id string, final string")
-    edges = relabel(graph.edges, idmap)
-    moved = spark.createDataFrame([(i, base, name, desc, k) for k, (i, (base, name, desc)) in enumerate(created.items())], "new_id string, id string, new_name string, new_desc string, k bigint")
+    self-loops that arise stay and are flagged by ``merged_loop``.
+
+    Actions that share no id don't see each other, so each component of ids is folded by itself,
+    in order. An action without a unified id is passed over.
+    """
+    asked = global_number(actions.where("is_duplicate and size(ids_to_merge) > 1 and unified_id is not null"), ["seq"], "ord")
+    asked = cut_lineage(asked.select("ord", "ids_to_merge", "unified_id", "unified_name", "unified_desc"))
+    named = asked.select(F.col("unified_id").alias("src"), F.explode(F.array_union("ids_to_merge", F.array("unified_id"))).alias("dst"))
+    groups = cut_lineage(connected_components(named))
+    present = graph.nodes.select("id").join(groups.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
+    grouped = asked.join(groups.select(F.col("node").alias("unified_id"), "component"), "unified_id").groupBy("component")
+    folded = cut_lineage(grouped.cogroup(present.groupBy("part")).applyInPandas(_fold, "id string, final string, new_id string, new_name string, new_desc string, ord bigint"))
+    idmap = folded.where("final is not null").select("id", "final")
+    moved = folded.where("new_id is not null").drop("final")
     last = graph.nodes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    fresh = graph.nodes.join(F.broadcast(moved), "id").crossJoin(F.broadcast(last))
-    changed = {"id": F.col("new_id"), "name": F.col("new_name"), "description": F.col("new_desc"), "seq": F.col("last") + 1 + F.col("k")}
+    fresh = graph.nodes.join(moved, "id").crossJoin(F.broadcast(last))
+    changed = {"id": F.col("new_id"), "name": F.col("new_name"), "description": F.col("new_desc"), "seq": F.col("last") + 1 + F.col("ord")}
     fresh = fresh.select(*[changed.get(c, F.col(c)).alias(c) for c in graph.nodes.columns])
-    kept = graph.nodes.join(F.broadcast(idmap), "id", "left_anti")
-    return Graph(kept.unionByName(fresh), edges)
+    return Graph(graph.nodes.join(idmap, "id", "left_anti").unionByName(fresh), relabel(graph.edges, idmap))
 
 
 def relabel(edges: DataFrame, idmap: DataFrame) -> DataFrame:
@@ -190,7 +196,7 @@ def finalize(graph: Graph) -> tuple[Graph, DataFrame]:
     return Graph(nodes.where(good), graph.edges.where(fine)), nodes.where(~good)
 
 
-def global_number(rows: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:
+def global_number(rows: DataFrame, order: Sequence[str | Column], name: str = "n") -> DataFrame:
     """Number all rows from 0 by ``order`` without bringing them into one partition: range
     partitions are sorted and numbered each, and a partition's offset is added."""
     dealt = cut_lineage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))

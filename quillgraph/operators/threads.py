@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quillgraph.functions import text as text_fn
 from quillgraph.functions.vectors import cosine, norm
 from quillgraph.operators.components import connected_components
+from quillgraph.operators.graph import global_number
 
 # Rows looked back, largest gap, weight of a reply, least similarity.
 LOOKBACK = 20
@@ -100,6 +101,8 @@ def order_threads(members: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "thread").orderBy(F.asc_nulls_last("ts"), "pos")
     numbered = members.withColumn("rn", F.row_number().over(inside).cast("bigint"))
     heads = numbered.where("rn = 1").select("source", "thread", F.col("ts").alias("start"), F.col("pos").alias("start_pos"))
-    among = Window.partitionBy("source").orderBy(F.asc_nulls_last("start"), "start_pos")
-    index = heads.select("source", "thread", (F.row_number().over(among) - 1).cast("bigint").alias("thread_idx"))
+    # Numbered over all sources by range, then from each source's first: no source is one task.
+    among = global_number(heads, ["source", F.asc_nulls_last("start"), F.col("start_pos")], "_n")
+    first = among.groupBy("source").agg(F.min("_n").alias("_first"))
+    index = among.join(first, "source").select("source", "thread", (F.col("_n") - F.col("_first")).alias("thread_idx"))
     return numbered.join(index, ["source", "thread"])

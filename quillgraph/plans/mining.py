@@ -72,36 +72,37 @@ def mine_in_order(windows_df: DataFrame, provider: providers.Provider, retry: pr
         glossary: dict[str, dict] = {}
         memory: dict = {}
         out = []
+
+        def ask(step: str, prompt: str, data: str) -> dict:
+            """The provider's answer; one that fails or is no JSON object is empty."""
+            try:
+                found = json.loads(retry.call(provider, step, prompt, data) or "{}")
+            except ValueError:
+                return {}
+            return found if isinstance(found, dict) else {}
+
         for row in pdf.sort_values(["source_seq", "thread_idx", "window_idx"]).itertuples():
-            raw = retry.call(provider, "entities", "", row.window_text)
-            for entity in json.loads(raw)["entities"] if raw else []:
-                own = entity["name"].lower().replace(" ", "_").replace("-", "_")
-                target = own
-                if glossary:
-                    link = json.loads(retry.call(provider, "link", "", json.dumps([entity["name"], sorted(glossary)], ensure_ascii=False)) or "{}")
-                    target = link.get("target_global_id") if link.get("is_duplicate") and link.get("target_global_id") else own
-                if target == own:
+            for entity in ask("entities", "", row.window_text).get("entities") or []:
+                own = str(entity.get("name") or "").lower().replace(" ", "_").replace("-", "_")
+                link = ask("link", "", json.dumps([entity.get("name"), sorted(glossary)], ensure_ascii=False)) if glossary and own else {}
+                # What the provider knows by another name, or by its own, keeps its entry.
+                if own and not (link.get("is_duplicate") and link.get("target_global_id")):
                     glossary[own] = {"id": own, **entity}
-            context = json.dumps({"glossary": list(glossary), "memory": memory}, ensure_ascii=False)
-            raw = retry.call(provider, "graph", context, row.window_text)
-            if not raw:
+            graph = ask("graph", json.dumps({"glossary": list(glossary), "memory": memory}, ensure_ascii=False), row.window_text)
+            if "nodes" not in graph or "edges" not in graph:
                 continue
-            graph = json.loads(raw)
-            fixes = json.loads(retry.call(provider, "critique", "", raw) or '{"fixes": []}')["fixes"]
-            for fix in fixes:
-                if fix["action"] == "remove_node":
-                    graph["nodes"] = [n for n in graph["nodes"] if n["id"] != fix["node_id"]]
-                    graph["edges"] = [e for e in graph["edges"] if fix["node_id"] not in (e["source"], e["target"])]
-                elif fix["action"] == "remove_edge":
-                    graph["edges"] = [e for e in graph["edges"] if (e["source"], e["target"]) != (fix["edge_source"], fix["edge_target"])]
-            memory = json.loads(retry.call(provider, "memory", "", json.dumps(graph, ensure_ascii=False)) or "{}")
-            for n in graph["nodes"]:
-                if n["label"] == "Decision":  # decisions name themselves
-                    glossary.setdefault(n["id"], {"id": n["id"], "name": n["name"], "label": n["label"], "description": n["description"]})
-            nodes = [n for n in graph["nodes"] if n["id"] in glossary]
+            fixes = [x for x in ask("critique", "", json.dumps(graph, ensure_ascii=False)).get("fixes") or [] if isinstance(x, dict)]
+            gone = {x.get("node_id") for x in fixes if x.get("action") == "remove_node"}
+            cut = {(x.get("edge_source"), x.get("edge_target")) for x in fixes if x.get("action") == "remove_edge"}
+            kept = [n for n in graph["nodes"] if n["id"] not in gone]
+            memory = ask("memory", "", json.dumps({**graph, "nodes": kept}, ensure_ascii=False))
+            for n in kept:
+                if n.get("label") == "Decision":  # decisions name themselves
+                    glossary.setdefault(n["id"], {k: n.get(k) for k in ("id", "name", "label", "description")})
+            nodes = [n for n in kept if n["id"] in glossary]
             ids = {n["id"] for n in nodes}
-            edges = [e for e in graph["edges"] if e["source"] != e["target"] and e["source"] in ids and e["target"] in ids]
-            out.append((row.source, row.window_ref, row.thread_idx, row.window_idx, json.dumps(nodes, ensure_ascii=False), json.dumps(edges, ensure_ascii=False), json.dumps(fixes, ensure_ascii=False)))
+            edges = [e for e in graph["edges"] if e["source"] != e["target"] and {e["source"], e["target"]} <= ids and (e["source"], e["target"]) not in cut]
+            out.append((row.source, row.window_ref, row.thread_idx, row.window_idx, *[json.dumps(x, ensure_ascii=False) for x in (nodes, edges, fixes)]))
         return pd.DataFrame(out, columns=["source", "window_ref", "thread_idx", "window_idx", "nodes", "edges", "fixes"])
 
     rows = windows_df.groupBy("project").applyInPandas(project, "source string, window_ref string, thread_idx bigint, window_idx bigint, nodes string, edges string, fixes string")

@@ -48,7 +48,7 @@ def candidate_actions(graph: graph_ops.Graph, provider: providers.Provider, embe
     member = F.struct("seq", "id", "name", "description")
     data = full.groupBy("cluster").agg(F.min("seq").alias("seq"), F.to_json(F.array_sort(F.collect_list(member))).alias("data")).withColumn("prompt", F.lit(""))
     verdicts = providers.parsed(providers.call(data, provider, "cluster", retry=retry), ACTIONS, out="v")
-    return verdicts.select("seq", F.posexplode("v.actions").alias("n", "a")).select((F.col("seq") * 1000 + F.col("n")).alias("seq"), "a.*")
+    return verdicts.select("seq", F.posexplode("v.actions").alias("n", "a")).select(F.struct("seq", "n").alias("seq"), "a.*")
 
 
 def detect_conflicts(graph: graph_ops.Graph, provider: providers.Provider, retry: providers.Retry = providers.Retry()) -> DataFrame:

@@ -122,18 +122,42 @@ def vote_flags_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.alias("text")), votes.ENGLISH)
 
 
-@query(
-    f"""WITH src AS ({_LITERALS}),
+def _short_sql(rows: str) -> str:
+    return f"""WITH src AS ({rows}),
 a AS (SELECT *, regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '^[,.!?:]+|[,.!?:]+$', '', 'g') AS answer FROM src)
 SELECT CAST(id AS BIGINT) AS id, CASE WHEN answer IN ({", ".join(f"'{w}'" for w in votes.RUSSIAN.confirmations)}) THEN '[FLAG: CONFIRMATION]'
   WHEN answer IN ({", ".join(f"'{w}'" for w in votes.RUSSIAN.rejections)}) THEN '[FLAG: REJECTION]' ELSE text END AS normalized FROM a"""
-)
+
+
+@query(_short_sql(_LITERALS))
 def short_answer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T6."""
+    """T6 on literals."""
     d = spark.createDataFrame(list(enumerate(_VOTES)), "id bigint, text string")
     return d.select("id", votes.short_answer(F.col("text")).alias("normalized"))
 
 
+#: Every event with a literal, and every message of the conversations with its own text.
+_TALK = f"""SELECT event_id AS id, l.text FROM events JOIN ({_LITERALS}) l ON l.id = event_id % {len(_VOTES)}
+  UNION ALL SELECT 1000000000000 + conv_id * 1000 + turn, text FROM conversations"""
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("event_id").cast("bigint").alias("id"), F.get(F.array(*map(F.lit, _VOTES)), F.pmod("event_id", F.lit(len(_VOTES))).cast("int")).alias("text"))
+    return events.unionByName(table(spark, sf_dir, "conversations").select((F.lit(10**12) + F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("id"), "text"))
+
+
+@query(_short_sql(_TALK))
+def short_answers_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6 on all events and conversations."""
+    return _talk(spark, sf_dir).select("id", votes.short_answer(F.col("text")).alias("normalized"))
+
+
+@query(_vote_sql(votes.RUSSIAN, "text", _TALK) + _FLAG_SQL)
+def vote_flags_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7, T8 on all events and conversations."""
+    return _flags(_talk(spark, sf_dir), votes.RUSSIAN)
+
+
 @query("""SELECT p_partkey, replace(replace(lower(p_name), ' ', '_'), '-', '_') AS slug, left('custom_' || p_name || p_type, 30) AS custom_id FROM part""")
 def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T9, T13."""
@@ -271,13 +295,39 @@ def window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_text(placed.join(lines, ["source", "id"]), ["source"])
 
 
-@query()
+@query("""SELECT 'group_' || c_custkey // 100 AS source, c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_custkey // 10) AS community FROM customer""")
 def louvain_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: seeded communities of the look-back similarity graph, a source a label."""
-    v = _vectors(spark, sf_dir)
-    edges = similarity.similar_pairs(v, 0.25).select(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("source"), F.col("a").alias("id"), F.col("b").alias("target"), F.col("similarity").alias("weight"))
-    members = v.select(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("source"), "id")
-    return communities.thread_communities(members, edges)
+    """A1: seeded communities; tens of customers hang together closely, and each to the next loosely."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("id"))
+    c = c.select(F.concat(F.lit("group_"), F.expr("id div 100")).alias("source"), "id", F.expr("id div 10").alias("ten"))
+    others = c.select(F.col("id").alias("target"), F.col("ten").alias("near"))
+    close = c.join(others, F.col("ten") == F.col("near")).where("id > target").withColumn("weight", F.lit(1.0))
+    loose = c.where("id % 10 = 0 and id % 100 > 0").withColumn("target", F.col("id") - 1).withColumn("weight", F.lit(0.1))
+    edges = close.select("source", "id", "target", "weight").unionByName(loose.select("source", "id", "target", "weight"))
+    return communities.thread_communities(c.select("source", "id"), edges)
+
+
+@query("""WITH e AS (SELECT label, vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN vec_id - 40 END AS reply_to, CAST(embedding AS DOUBLE[]) AS v,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+r AS (SELECT x.label, x.id, y.id AS target, CAST(15.0 AS DOUBLE) AS weight FROM e x JOIN e y ON x.label = y.label AND x.reply_to = y.id),
+p AS (SELECT x.label, x.id, y.id AS target, y.rn AS yr, list_cosine_similarity(x.v, y.v) AS s FROM e x JOIN e y ON x.label = y.label AND y.rn < x.rn AND y.rn >= x.rn - 20
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.label = x.label AND r.id = x.id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY label, id ORDER BY s DESC, yr) AS k FROM p WHERE s > 0),
+a AS (SELECT label, id, target, weight FROM r UNION ALL SELECT label, id, target, s FROM b WHERE k = 1 AND s >= 0.25),
+l AS (SELECT *, row_number() OVER (PARTITION BY label, least(id, target), greatest(id, target) ORDER BY id DESC) AS k FROM a)
+SELECT label AS source, id, target, round(weight, 6) AS weight FROM l WHERE k = 1""")
+def thread_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply edges hide the similarity of their message; others have their best look-back edge."""
+    e = table(spark, sf_dir, "embeddings")
+    m = e.select(
+        F.col("label").alias("source"),
+        F.col("vec_id").alias("pos"),
+        F.col("vec_id").alias("id"),
+        F.timestamp_seconds(F.lit(0)).alias("ts"),
+        F.when(F.col("vec_id") % 4 == 0, F.col("vec_id") - 40).alias("reply_to_message_id"),
+        F.col("embedding").cast("array<double>").alias("vec"),
+    )
+    return threads.thread_edges(m, least=0.25).select("source", "id", "target", F.round("weight", 6).alias("weight"))
 
 
 @query()

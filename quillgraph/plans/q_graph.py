@@ -75,8 +75,29 @@ def keep_first_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EDGES} SELECT source, relation, count(*) AS n_edges, count(DISTINCT target) AS n_targets FROM edges GROUP BY source, relation")
 def edge_bag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parallel edges stay."""
-    return _edges(spark, sf_dir).groupBy("source", "relation").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("target").alias("n_targets"))
+    """Parallel edges stay; one subgraph an order, one a region."""
+    return _united(spark, sf_dir).edges.groupBy("source", "relation").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("target").alias("n_targets"))
+
+
+def _united(spark: SparkSession, sf_dir: str) -> g.Graph:
+    """The union of a subgraph an order (its parts and their sources) and one a region."""
+    edge = F.struct("source", "target", "relation", "evidence")
+    node = F.struct(F.col("target").alias("id"), F.lit("Concept").alias("label"), F.concat(F.lit("order "), F.col("g").cast("string")).alias("name"))
+    rows = _edges(spark, sf_dir).withColumn("g", F.when(F.col("relation") == "MENTIONS", F.expr("seq div 10")).otherwise(-1))
+    sorted_ = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("seq", x.alias("x")))), lambda y: y["x"])
+    return g.union_subgraphs(rows.groupBy(F.col("g").alias("seq_")).agg(sorted_(node).alias("nodes"), sorted_(edge).alias("edges")).withColumnRenamed("seq_", "seq"))
+
+
+@query("""WITH n AS (SELECT 'part_' || l_partkey AS id, 'order ' || l_orderkey AS name, l_orderkey AS g,
+  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem)
+SELECT id, 'Concept' AS label, name, dense_rank() OVER (ORDER BY g) AS nth FROM n WHERE k = 1
+UNION ALL SELECT DISTINCT 'region_' || n_regionkey, 'Concept', 'order -1', CAST(0 AS BIGINT) FROM nation""")
+def union_first_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal ids the first subgraph's node stands, in the subgraphs' order."""
+    nodes = _united(spark, sf_dir).nodes
+    orders = nodes.select("name").distinct().where("name <> 'order -1'")
+    nth = g.global_number(orders.withColumn("k", F.substring("name", 7, 20).cast("bigint")), ["k"], "nth").select("name", (F.col("nth") + 1).alias("nth"))
+    return nodes.join(nth, "name", "left").select("id", "label", "name", F.coalesce("nth", F.lit(0).cast("bigint")).alias("nth"))
 
 
 @query("SELECT 'customer_' || c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
