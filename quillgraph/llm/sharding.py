@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ from quillgraph.llm import _shared
 
 #: A prime below 2^31: products of two residues stay within 63 bits.
 PRIME = 2_147_483_647
-#: Steps of a walk that are unrolled; a longer walk raises an error instead of a wrong slot.
-WALK = 64
 
 
 def round_keys(seed: int, rounds: int) -> list[tuple[int, int]]:
@@ -38,17 +37,37 @@ def grid(n: int) -> tuple[int, int]:
     return a, -(-max(n, 1) // a)
 
 
+def _once(row: np.ndarray, n: int, seed: int, rounds: int) -> np.ndarray:
+    """One pass of the network over the grid."""
+    a, b = grid(n)
+    x, y, p, q = row // b, row % b, a, b
+    for mul, add in round_keys(seed, rounds):
+        u = (y * mul + add) % PRIME
+        x, y, p, q = y, (x + ((u * u + add) % PRIME ^ u)) % p, q, p
+    return x * b + y
+
+
 def position(row: int, n: int, seed: int = 1, rounds: int = 8) -> int:
-    """The permuted position of one row number, in plain integers."""
+    """The permuted position of one row number."""
+    at = _once(np.array([row], dtype=np.int64), n, seed, rounds)
+    while at[0] >= n:
+        at = _once(at, n, seed, rounds)
+    return int(at[0])
+
+
+def longest_walk(n: int, seed: int = 1, rounds: int = 8) -> int:
+    """Passes that the longest cycle walk needs after its first.
+
+    Walks pass through numbers from n on only, fewer than the square root of n plus one; all
+    that a row can come to first are walked to their ends.
+    """
     a, b = grid(n)
-    while True:
-        x, y, p, q = row // b, row % b, a, b
-        for mul, add in round_keys(seed, rounds):
-            u = (y * mul + add) % PRIME
-            x, y, p, q = y, (x + ((u * u + add) % PRIME ^ u)) % p, q, p
-        row = x * b + y
-        if row < n:
-            return row
+    outside = np.arange(n, a * b, dtype=np.int64)
+    walked, steps = np.setdiff1d(outside, _once(outside, n, seed, rounds)), 0
+    while len(walked):
+        walked, steps = _once(walked, n, seed, rounds), steps + 1
+        walked = walked[walked >= n]
+    return steps
 
 
 def _permuted(row: Column, a: int, b: int, seed: int, rounds: int) -> Column:
@@ -79,15 +98,8 @@ def permuted(row: Column, n: int, seed: int = 1, rounds: int = 8) -> Column:
     def walk(acc: Column, _: Column) -> Column:
         return F.when(acc < end, acc).otherwise(_permuted(acc, a, b, seed, rounds))
 
-    def checked(acc: Column) -> Column:
-        return F.when(acc < end, acc).otherwise(F.raise_error(F.lit("the cycle walk did not end")).cast("long"))
-
-    first = _permuted(row, a, b, seed, rounds)
-    # At most a*b-n numbers lie outside, so no walk is longer than that.
-    steps = min(WALK, a * b - n)
-    if steps == 0:
-        return first
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, walk, checked)
+    first, steps = _permuted(row, a, b, seed, rounds), longest_walk(n, seed, rounds)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, walk) if steps else first
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 1, rounds: int = 8) -> DataFrame:
@@ -116,7 +128,11 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 1, rounds: int = 8) ->
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 1) -> None:
-    """Write one folder a shard, each sorted by slot within its files."""
+    """Write one folder a shard, each sorted by slot within its files.
+
+    Every row is written, also repeated rows and those with a NULL id or text (which stay NULL);
+    an empty table leaves a folder without shards; a folder that exists is an error and stays.
+    """
     out = shard(docs, shards, seed)
     out.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 

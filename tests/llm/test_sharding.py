@@ -3,6 +3,7 @@
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from quillgraph.llm import _shared, sharding
@@ -60,3 +61,26 @@ def test_written_shards(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 10, 50, 97, 1000, 4097])
+def test_walks_end(n):
+    """The longest walk is exact: positions are a permutation, and a shorter one wouldn't do."""
+    for seed in range(4):
+        assert sorted(sharding.position(i, n, seed) for i in range(n)) == list(range(n))
+        steps, rows = sharding.longest_walk(n, seed), np.arange(n, dtype=np.int64)
+        walks = []
+        for _ in range(steps + 1):
+            rows = sharding._once(rows, n, seed, 8)
+            walks.append(bool((rows >= n).any()))
+            rows = rows[rows >= n]
+        assert walks == [True] * steps + [False]
+
+
+def test_write_shards_keeps_every_row(spark, odd_docs, no_docs, tmp_path):
+    sharding.write_shards(odd_docs, str(tmp_path / "s"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    want = sorted((str(r.doc_id), str(r.text)) for r in odd_docs.collect())
+    assert sorted((str(r.doc_id), str(r.text)) for r in back.collect()) == want
+    sharding.write_shards(no_docs, str(tmp_path / "none"))
+    assert (tmp_path / "none" / "_SUCCESS").exists() and not list((tmp_path / "none").glob("shard=*"))
