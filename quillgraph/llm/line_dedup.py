@@ -13,8 +13,9 @@ of GRAM_WORDS words or more is deleted from the later place. First places stay.
 
 Passages that don't keep to lines are found by words (``repeated_words``): winnowing over grams of
 GRAM_WORDS words proposes places, since two equal runs of WINDOW_WORDS words hold the same least gram;
-around the grams with two places or more every run of WINDOW_WORDS words is then held against all
-others, and the words of each that an earlier place holds are deleted, whatever the line breaks.
+every run of WINDOW_WORDS words whose least gram is repeated is then held against all others, and the
+words of each that an earlier place holds are deleted, whatever the line breaks. 63 bits of hash decide
+on equality there.
 """
 
 from __future__ import annotations

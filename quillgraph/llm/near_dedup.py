@@ -114,7 +114,11 @@ def set_prints(rows: DataFrame, k: int, words: int) -> DataFrame:
 
 def fingerprints(rows: DataFrame, k: int, words: int) -> DataFrame:
     """(doc_id, _row, n_shingles, w0, w1, ...) of rows of (doc_id, _row, text); fingerprint
-    words as signed longs."""
+    words as signed longs.
+
+    Texts must not be NULL (callers make them empty, whose fingerprint is zero); a NULL doc_id stays
+    NULL, repeated rows are kept, further columns are dropped, an empty table stays empty.
+    """
     names = [f"w{i}" for i in range(words)]
 
     @_shared.worker("near_dedup")
@@ -352,7 +356,11 @@ class Linker:
 def near_components(prints: DataFrame, radius: int, words: int, shard_size: int = SHARD, ratio: float = 0.0) -> DataFrame:
     """(node, component) of representatives with a link; a representative is the smallest
     ``_row`` of its fingerprint. ``ratio`` > 0 also asks that the smaller shingle count be
-    at least that share of the larger."""
+    at least that share of the larger.
+
+    ``prints`` has _row and w0, w1, ... (with ``ratio`` n_shingles too), none NULL; repeated
+    fingerprints count once, further columns are ignored, and an empty table gives an empty result.
+    """
     names = [f"w{i}" for i in range(words)]
     keys = [*names, "n_shingles"] if ratio else names
     reps = _shared.materialize(prints.groupBy(*keys).agg(F.min("_row").alias("node")), "prints")

@@ -181,8 +181,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fit on at most ``sample`` labelled documents outside the held-out fold (NULL texts count as empty).
 
-    Repeated labels of a document count once (toxic if any says so). Without a label, or
-    with a single class, the machine is a bias alone.
+    Repeated labels of a document count once (toxic if any says so); labels without an id or a value
+    and documents without an id teach nothing, and of documents with one id one text does. Other
+    columns are ignored whatever their names. Without a label (or with empty tables), or with a
+    single class, the machine is a bias alone.
     """
     usable = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     one = usable.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
