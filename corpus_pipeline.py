@@ -17,6 +17,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, fitted on the labelled ones, finds clean.
 
     A NULL or empty text has the score of the bias alone, so it stays where most labels say clean.
+    Repeated rows stay or go together; columns pass through; an empty table stays empty.
     """
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.scorer(machine)(F.col("text")) < 0.5)
@@ -35,7 +36,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences, a row a piece; a text without words is its end id."""
+    """Token sequences, a row a piece; a text without words is its end id. Repeated rows are packed
+    each, other columns are ignored whatever their names, an empty table gives an empty result."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
