@@ -96,7 +96,7 @@ def set_prints(rows: DataFrame, k: int, words: int) -> DataFrame:
     fingerprint of the distinct shingles."""
     names = ["_row", "n_shingles", "s0", "s1", *[f"w{i}" for i in range(words)]]
 
-    @_shared.worker("near_dedup")
+    @_shared.worker("near_dedup", trims=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, out = [], []
@@ -121,7 +121,7 @@ def fingerprints(rows: DataFrame, k: int, words: int) -> DataFrame:
     """
     names = [f"w{i}" for i in range(words)]
 
-    @_shared.worker("near_dedup")
+    @_shared.worker("near_dedup", trims=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, n = [], []
@@ -416,7 +416,7 @@ def _links(reps: DataFrame, tree: VantageTree, words: int, block: int, share: Fr
         points = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).view(np.uint64)
         return tree.route(points, batch.column("n_shingles").to_numpy() if ratio else np.zeros(len(points), dtype=np.int64))
 
-    @_shared.worker("near_dedup")
+    @_shared.worker("near_dedup", trims=True)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, tree.leaves), dtype=np.int64)
         for batch in batches:
@@ -432,7 +432,7 @@ def _links(reps: DataFrame, tree: VantageTree, words: int, block: int, share: Fr
         held[int(r["home"]), r["shard"]] = r["n"]
     visits, homes = -(-held[0] // block), np.maximum(-(-held[1] // block), 1)
 
-    @_shared.worker("near_dedup")
+    @_shared.worker("near_dedup", trims=True)
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, shard, home = routed(batch)
@@ -487,7 +487,7 @@ def similar_classes(rows: DataFrame, k: int, radius: int, words: int, shard_size
     proposed = _links(reps, tree, words, shard_size)
     nodes = _shared.materialize(proposed.select(F.explode(F.array("src", "dst")).alias("_row")).distinct(), "proposed")
 
-    @_shared.worker("near_dedup")
+    @_shared.worker("near_dedup", trims=True)
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [shingle_set(text, k) for text in batch.column(1).to_pylist()]
