@@ -57,7 +57,8 @@ def trim() -> None:
 
 
 def worker(owner: str, trims: bool = False) -> Callable:
-    """Marks a function over Arrow batches as work for ``owner``; with ``trims`` it held much."""
+    """Marks a function over Arrow batches as work for ``owner``; with ``trims`` it gives
+    its memory back after each task, as a worker may stay idle beside those of the next stage."""
 
     def wrap(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         def own(batches: Iterator) -> Iterator:
