@@ -15,7 +15,7 @@ Passages that don't keep to lines are found by words (``repeated_words``): winno
 GRAM_WORDS words proposes places, since two equal runs of WINDOW_WORDS words hold the same least gram;
 every run of WINDOW_WORDS words whose least gram is repeated is then held against all others, and the
 words of each that an earlier place holds are deleted, whatever the line breaks. 63 bits of hash decide
-on equality there.
+on equality there, 64 on that of lines and their grams. Lines and words are hashed in one pass.
 """
 
 from __future__ import annotations
@@ -60,22 +60,32 @@ def run_ends(words: list[int], least: int) -> list[int]:
     return out
 
 
-def winnow(lines: list[bytes], words: list[int], gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> list[tuple[bytes, int]]:
-    """(gram digest, first line) of the fingerprints. Of equal minima the last is taken."""
-    gram_end = run_ends(words, gram_words)
-    window_end = run_ends(words, window_words)
-    digest = [xxhash.xxh3_128_digest(b"\n".join(lines[i : e + 1])) if e >= 0 else b"" for i, e in enumerate(gram_end)]
+def window_minima(digest: list[int], gram_end: list[int], window_end: list[int]) -> list[int]:
+    """Lines whose gram is the least of a window, in order; of equal minima the last is taken. Ends are
+    the last lines of runs that stay inside their text, -1: none."""
     chosen: dict[int, None] = {}
     for i, e in enumerate(window_end):
         if e < 0:
-            break
+            continue
         inside, j = i, i + 1
         while j <= e and 0 <= gram_end[j] <= e:
             if digest[j] <= digest[inside]:
                 inside = j
             j += 1
         chosen[inside] = None
-    return [(digest[i], i) for i in chosen]
+    return sorted(chosen)
+
+
+def winnow(lines: list[bytes], words: list[int], gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> list[tuple[int, int]]:
+    """(gram hash, first line) of the fingerprints of one text's lines with words."""
+    gram_end, window_end = run_ends(words, gram_words), run_ends(words, window_words)
+    hashes, first = word_hashes(pa.array(lines, pa.binary()).cast(pa.string()))
+    own = run_hashes(hashes, first[:-1], first[1:])
+    held = [i for i, e in enumerate(gram_end) if e >= 0]
+    digest = [0] * len(lines)
+    for i, h in zip(held, run_hashes(own, np.array(held, dtype=np.int64), np.array([gram_end[i] + 1 for i in held], dtype=np.int64)).tolist(), strict=True):
+        digest[i] = h
+    return [(digest[i], i) for i in window_minima(digest, gram_end, window_end)]
 
 
 def equal_runs(own: np.ndarray, other: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -104,27 +114,57 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
 
 
-def repeated_runs(rows: DataFrame, gram_words: int, window_words: int) -> DataFrame:
-    """(_row, cuts): runs of lines to delete, with their words, from rows of (_row, text).
-
-    Joins on a first place are salted by the later row: a line that a third of all rows hold is
-    spread over SALTS keys, and each first place is there once a salt.
-    """
+def text_hashes(rows: DataFrame, gram_words: int, window_words: int) -> DataFrame:
+    """One pass over the texts of (_row, text), written as a table: hashes and words of the lines with
+    words, grams and first lines of their fingerprints, and grams and first words of the least word grams."""
 
     @_shared.worker("line_dedup", trims=True)
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                held = lines_of(text)
-                lines, words = [x[1] for x in held], [x[2] for x in held]
-                prints = winnow(lines, words, gram_words, window_words)
-                out[0].append(np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64).view(np.int64))
-                out[1].append(words)
-                out[2].append([g for g, _ in prints])
-                out[3].append([i for _, i in prints])
-            kinds = [pa.list_(k) for k in (pa.int64(), pa.int32(), pa.binary(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], ["_row", "hashes", "words", "grams", "at"])
+            data, offsets, starts, ends = word_bounds(batch.column(1))
+            words, first = hashes_within(data, starts, ends), np.searchsorted(starts, offsets)
+            begin, line = lines_within(data, first, starts)
+            end = np.append(begin[1:], len(words))
+            hashes = run_hashes(words, begin, end)
+            # Ends may lie beyond a text's last line, or beyond all lines: then a text holds no such run.
+            gram_end, window_end = (np.searchsorted(end, begin + n) for n in (gram_words, window_words))
+            after = np.repeat(line[1:], np.diff(line))
+            grams = np.zeros(len(begin), dtype=np.uint64)
+            full = np.nonzero(gram_end < after)[0]
+            grams[full] = run_hashes(hashes, full, gram_end[full] + 1)
+            at = np.array(window_minima(grams.tolist(), _ends(gram_end, after), _ends(window_end, after)), dtype=np.int64)
+            size = np.searchsorted(at, line)
+            word_at, word_grams = least_grams(words, first, gram_words, window_words)
+            word_size = np.searchsorted(word_at, first)
+            inside = word_at - np.repeat(first[:-1], np.diff(word_size))
+            columns = [
+                _list_array(line, hashes.view(np.int64)),
+                _list_array(line, (end - begin).astype(np.int32)),
+                _list_array(size, grams[at].view(np.int64)),
+                _list_array(size, (at - np.repeat(line[:-1], np.diff(size))).astype(np.int32)),
+                _list_array(word_size, word_grams.view(np.int64)),
+                _list_array(word_size, inside.astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_row", "hashes", "words", "grams", "at", "word_grams", "word_at"])
+
+    schema = "_row long, hashes array<long>, words array<int>, grams array<long>, at array<int>, word_grams array<long>, word_at array<int>"
+    return _shared.materialize(rows.mapInArrow(read, schema), "hashes")
+
+
+def _ends(end: np.ndarray, after: np.ndarray) -> list[int]:
+    return np.where(end < after, end, -1).tolist()
+
+
+def _list_array(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+def repeated_runs(lines: DataFrame, gram_words: int) -> DataFrame:
+    """(_row, cuts): runs of lines to delete, with their words, from the table of ``text_hashes``.
+
+    Joins on a first place are salted by the later row: a line that a third of all rows hold is
+    spread over SALTS keys, and each first place is there once a salt.
+    """
 
     @_shared.worker("line_dedup", trims=True)
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +182,6 @@ def repeated_runs(rows: DataFrame, gram_words: int, window_words: int) -> DataFr
                     end_word.append(total[start + y])
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *[pa.array(x, pa.int32()) for x in (low, high, start_word, end_word)]], ["_row", "low", "high", "from", "to"])
 
-    # Hashes only: a small share of the text, read several times below.
-    lines = _shared.materialize(rows.mapInArrow(read, "_row long, hashes array<long>, words array<int>, grams array<binary>, at array<int>"), "lines")
     prints = lines.select("_row", F.size("hashes").alias("n"), F.explode(F.arrays_zip("grams", "at")).alias("p")).select("_row", "n", F.col("p.grams").alias("gram"), F.col("p.at").alias("at"))
     first = prints.groupBy("gram").agg(F.min(F.struct("_row", "at")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("gram", "first")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
@@ -187,7 +225,6 @@ PIECE, LONG_WORD = 1 << 17, 1 << 10
 #: Places that a task combines by key before they are shuffled.
 COMBINED = 1 << 18
 
-_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([c])) for c in range(256)], dtype=np.uint64)
 
 
@@ -218,19 +255,19 @@ def word_bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         return none.astype(np.uint8), np.zeros(len(texts) + 1, dtype=np.int64), none, none
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    # A place of ``gap`` lies before each character: white space or the border of a text.
-    gap = np.concatenate(([True], _SPACE[data]))
-    inside = ~gap[1:]
-    gap[offsets[:-1][offsets[:-1] < len(data)]] = True
-    starts = np.nonzero(inside & gap[:-1])[0]
-    after = np.concatenate((_SPACE[data[1:]], [True]))
-    after[offsets[1:][offsets[1:] > 0] - 1] = True
-    return data, offsets, starts, np.nonzero(inside & after)[0] + 1
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, first word of each text and the end)."""
-    data, offsets, starts, ends = word_bounds(texts)
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    # A place of ``gap`` lies before each character and at the end: white space or the border of a text.
+    gap = np.empty(len(data) + 1, dtype=bool)
+    gap[0], gap[1:] = True, space
+    gap[offsets[:-1]] = True
+    starts = np.flatnonzero(gap[:-1] & ~space)
+    gap[:-1], gap[-1] = space, True
+    gap[offsets[1:]] = True
+    return data, offsets, starts, np.flatnonzero(gap[1:] & ~space) + 1
+
+
+def hashes_within(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words of ``word_bounds``."""
     out, long = np.zeros(len(starts), dtype=np.uint64), ends - starts > LONG_WORD
     # Pieces of neighbouring words that are all short.
     cuts = np.nonzero(np.diff(starts // PIECE * 2 + long))[0] + 1
@@ -245,7 +282,42 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(_BYTE[data[low:high]] * _UP[: high - low], out=total[1:])
         x, y = starts[a:b] - low, ends[a:b] - low
         out[a:b] = _mixed((total[y] - total[x]) * _DOWN[x] + (y - x).astype(np.uint64))
-    return out, np.searchsorted(starts, offsets)
+    return out
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, first word of each text and the end)."""
+    data, offsets, starts, ends = word_bounds(texts)
+    return hashes_within(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def lines_within(data: np.ndarray, first: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each line with words, first such line of each text and the end)."""
+    # A line's number among all; the border of a text begins a line too.
+    line = np.searchsorted(np.flatnonzero(data == 10), starts) + np.repeat(np.arange(len(first) - 1), np.diff(first))
+    begin = np.flatnonzero(np.diff(line, prepend=-1))
+    return begin, np.searchsorted(begin, first)
+
+
+def _totals(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums of the hashes times rising powers, the inverse powers)."""
+    n = len(hashes)
+    up, down = (_UP[:n], _DOWN[:n]) if n <= len(_UP) else (_powers(_FACTOR, n), _powers(_INVERSE, n))
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * up, out=total[1:])
+    return total, down
+
+
+def run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run [begin, end) of words or lines; runs of more than LONG_WORD by the library."""
+    if not len(begin):
+        return np.zeros(0, dtype=np.uint64)
+    total, down = _totals(hashes)
+    # An empty run may begin at the end of all.
+    out = _mixed((total[end] - total[begin]) * np.append(down, np.uint64(1))[begin] + (end - begin).astype(np.uint64))
+    for i in np.flatnonzero(end - begin > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(hashes[begin[i] : end[i]].tobytes())
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -253,10 +325,8 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words)
     if n < k:
         return np.zeros(0, dtype=np.uint64)
-    up, down = np.full(n, _FACTOR, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * np.cumprod(up), dtype=np.uint64)))
-    return _mixed((total[k:] - total[:-k]) * np.cumprod(down)[: n - k + 1])
+    total, down = _totals(words)
+    return _mixed((total[k:] - total[:-k]) * down[: n - k + 1])
 
 
 def _of_every(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
@@ -368,8 +438,9 @@ def _later(places: Iterator, window_words: int) -> Iterator[pa.RecordBatch]:
         yield from _placed(key, known, row, at, np.zeros(len(key), dtype=bool))
 
 
-def repeated_words(rows: DataFrame, runs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
-    """(_row, places): first words of the windows that an earlier place holds, from rows of (_row, text).
+def repeated_words(rows: DataFrame, hashes: DataFrame, runs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
+    """(_row, places): first words of the windows that an earlier place holds, from rows of (_row, text)
+    and their ``text_hashes``.
 
     Places are ordered by row, then word; in one text a window must not overlap its first place.
     Windows inside one of the ``runs`` of repeated lines are left out: an earlier place holds each of
@@ -381,10 +452,8 @@ def repeated_words(rows: DataFrame, runs: DataFrame, gram_words: int, window_wor
     @_shared.worker("line_dedup", trims=True)
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            words, first = word_hashes(batch.column(1))
-            at, found = least_grams(words, first, gram_words, window_words)
-            text = np.searchsorted(first, at, "right") - 1
-            yield found, batch.column(0).to_numpy()[text], at - first[text]
+            row = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy())
+            yield batch.column(1).flatten().to_numpy().view(np.uint64), row, batch.column(2).flatten().to_numpy().astype(np.int64)
 
     @_shared.worker("line_dedup", trims=True)
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -404,7 +473,7 @@ def repeated_words(rows: DataFrame, runs: DataFrame, gram_words: int, window_wor
             text = np.searchsorted(first, chosen, "right") - 1
             yield keys[chosen], batch.column(0).to_numpy()[text], chosen - first[text]
 
-    found, known = rows.mapInArrow(lambda batches: _repeated(grams(batches)), _PLACES), F.col("key").bitwiseAND(1) == 1
+    found, known = hashes.select("_row", "word_grams", "word_at").mapInArrow(lambda batches: _repeated(grams(batches)), _PLACES), F.col("key").bitwiseAND(1) == 1
     # A marker stands for two places or more.
     weight = F.sum(F.when(F.col("_row").isNull(), 2).otherwise(1)).over(Window.partitionBy("key"))
     twice = found.withColumn("weight", weight).where((known | (F.col("weight") > 1)) & F.col("_row").isNotNull())
@@ -462,8 +531,9 @@ def deduplicate_passages(docs: DataFrame, gram_words: int = GRAM_WORDS, window_w
     rows, _ = _shared.number_rows(docs, whole.alias("doc"))
     text = F.col("doc.text").cast("string")
     plain = rows.select("_row", F.coalesce(text, F.lit("")).alias("text"))
-    lines = _shared.materialize(repeated_runs(plain, gram_words, window_words), "runs")
-    words = repeated_words(plain, lines, gram_words, window_words)
+    hashes = text_hashes(plain, gram_words, window_words)
+    lines = _shared.materialize(repeated_runs(hashes, gram_words), "runs")
+    words = repeated_words(plain, hashes, lines, gram_words, window_words)
     cuts = _shared.materialize(lines.join(words.hint("merge"), "_row", "full"), "cuts")
 
     @F.arrow_udf(_CUT)
@@ -513,7 +583,8 @@ def deduplicate_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_word
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows, _ = _shared.number_rows(docs, whole.alias("doc"))
     text = F.col("doc.text").cast("string")
-    cuts = _shared.materialize(repeated_runs(rows.select("_row", F.coalesce(text, F.lit("")).alias("text")), gram_words, window_words), "cuts")
+    hashes = text_hashes(rows.select("_row", F.coalesce(text, F.lit("")).alias("text")), gram_words, window_words)
+    cuts = _shared.materialize(repeated_runs(hashes, gram_words), "cuts")
     return _applied(docs, rows, cuts, lambda: _cut(F.coalesce(text, F.lit("")), F.col("cuts")))
 
 
