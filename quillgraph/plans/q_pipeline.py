@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.providers import Rules
 from quillgraph.operators import graph as g
-from quillgraph.plans import pipeline, q_decisions, q_graph
+from quillgraph.plans import mining, pipeline, q_decisions, q_graph
 from quillgraph.plans.registry import query, table
 
 
@@ -81,3 +83,48 @@ def finalized_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions that the finished graph leaves open."""
     found = pipeline.finalize(q_decisions.vote_graph(spark, sf_dir), Rules()).conflicts
     return found.select("id", F.array_join("conflicting_values", ", ").alias("option_names"), "description")
+
+
+class Strict(Rules):
+    """Rules whose critique takes out one component and what the second clerk says of another."""
+
+    def do_critique(self, data: str) -> str:
+        fixes = [{"action": "remove_node", "node_id": n["id"]} for n in json.loads(data)["nodes"] if n["id"] == "redis"]
+        return json.dumps({"fixes": [*fixes, {"action": "remove_edge", "edge_source": "clerk_1", "edge_target": "mysql"}]})
+
+
+_SAID = ("we store it in PostgreSQL", "MySQL and Redis, please", "nothing to add")
+
+
+def _customer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window a customer, a line an order."""
+    said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    line = F.concat(F.lit("["), F.col("o_orderdate").cast("date").cast("string"), F.lit("] Clerk "), (F.col("o_orderkey") % 4).cast("string"), F.lit(": "), said)
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(g.ordered_lines(line, F.col("o_orderkey")).alias("window_text"))
+    customer = F.concat(F.lit("customer_"), F.col("o_custkey").cast("string"))
+    return orders.select(F.lit("orders").alias("source"), F.col("o_custkey").cast("bigint").alias("thread_idx"), F.lit(0).cast("bigint").alias("window_idx"), customer.alias("window_ref"), "window_text")
+
+
+MINED = """l AS (SELECT 'customer_' || o_custkey AS window_ref, 'clerk_' || (o_orderkey % 4) AS who, o_orderkey % 3 AS k FROM orders),
+w AS (SELECT window_ref, who, id FROM l JOIN (VALUES (0, 'postgresql'), (1, 'mysql')) t(k, id) USING (k)),
+d AS (SELECT DISTINCT window_ref, 'decision_primary_database' AS who, id FROM w),
+n AS (SELECT window_ref, who AS id FROM l UNION SELECT window_ref, id FROM w UNION SELECT window_ref, who FROM d),
+e AS (SELECT window_ref, who || ' MENTIONS ' || id AS edge FROM w WHERE NOT (who = 'clerk_1' AND id = 'mysql') UNION ALL SELECT window_ref, who || ' RELATES_TO ' || id FROM d)"""
+
+
+@query(f"""WITH {MINED} SELECT window_ref, any_value(nodes) AS nodes, coalesce(string_agg(edge, ', ' ORDER BY edge), '') AS edges
+FROM (SELECT window_ref, string_agg(id, ', ' ORDER BY id) AS nodes FROM n GROUP BY window_ref) LEFT JOIN e USING (window_ref) GROUP BY window_ref""")
+def mined_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3, L4: a graph a window, with the critique's fixes applied."""
+    mined = mining.mine_parallel(_customer_windows(spark, sf_dir), Strict())
+    edge = F.transform("edges", lambda e: F.concat_ws(" ", e["source"], e["relation"], e["target"]))
+    return mined.select("window_ref", F.array_join(F.array_sort(F.transform("nodes", lambda n: n["id"])), ", ").alias("nodes"), F.array_join(F.array_sort(edge), ", ").alias("edges"))
+
+
+@query(f"""WITH {MINED} SELECT 'node' AS kind, id AS what, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT id FROM n) UNION ALL SELECT 'edge', edge, count(*) FROM e GROUP BY edge""")
+def mined_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows' graphs as one; nodes meet by their slugs, edges are a bag."""
+    graph = pipeline.combine(mining.mine_parallel(_customer_windows(spark, sf_dir), Strict()))
+    what = F.concat_ws(" ", "source", "relation", "target")
+    edges = graph.edges.groupBy(F.lit("edge").alias("kind"), what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.nodes.groupBy(F.lit("node").alias("kind"), F.col("id").alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(edges)
