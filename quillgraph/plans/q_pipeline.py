@@ -128,3 +128,38 @@ def mined_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     what = F.concat_ws(" ", "source", "relation", "target")
     edges = graph.edges.groupBy(F.lit("edge").alias("kind"), what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
     return graph.nodes.groupBy(F.lit("node").alias("kind"), F.col("id").alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(edges)
+
+
+class OneSpeaker(Strict):
+    """Strict rules that learn entities from the first clerk's lines alone."""
+
+    def __call__(self, step: str, prompt: str, data: str) -> str:
+        if step == "entities":
+            data = "\n".join(line for line in data.split("\n") if "] Clerk 0: " in line)
+        return super().__call__(step, prompt, data)
+
+
+@query(f"""WITH {MINED}, s AS (
+  SELECT project, id, min(c) AS since FROM (SELECT o_custkey % 10 AS project, o_custkey AS c, 'clerk_0' AS id FROM orders WHERE o_orderkey % 4 = 0
+    UNION ALL SELECT o_custkey % 10, o_custkey, id FROM orders JOIN (VALUES (0, 'postgresql'), (1, 'mysql')) t(k, id) ON o_orderkey % 3 = k WHERE o_orderkey % 4 = 0) GROUP BY project, id
+  UNION ALL SELECT p, 'decision_primary_database', 0 FROM range(10) t(p)),
+c AS (SELECT DISTINCT o_custkey AS c, o_custkey % 10 AS project, 'customer_' || o_custkey AS window_ref FROM orders),
+k AS (SELECT n.window_ref, n.id FROM n JOIN c USING (window_ref) JOIN s ON s.project = c.project AND s.id = n.id AND s.since <= c.c),
+ke AS (SELECT e.window_ref, edge FROM e WHERE EXISTS (SELECT 1 FROM k WHERE k.window_ref = e.window_ref AND k.id = split_part(edge, ' ', 1))
+  AND EXISTS (SELECT 1 FROM k WHERE k.window_ref = e.window_ref AND k.id = split_part(edge, ' ', 3)))
+SELECT c.window_ref, coalesce((SELECT string_agg(id, ', ' ORDER BY id) FROM k WHERE k.window_ref = c.window_ref), '') AS nodes,
+  coalesce((SELECT string_agg(edge, ', ' ORDER BY edge) FROM ke WHERE ke.window_ref = c.window_ref), '') AS edges FROM c""")
+def mined_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a project in order; a node stays if an entity found so far is of its name."""
+    windows = _customer_windows(spark, sf_dir).withColumn("project", F.col("thread_idx") % 10).withColumn("source_seq", F.lit(0))
+    mined = mining.mine_in_order(windows, OneSpeaker())
+    edge = F.transform("edges", lambda e: F.concat_ws(" ", e["source"], e["relation"], e["target"]))
+    return mined.select("window_ref", F.array_join(F.array_sort(F.transform("nodes", lambda n: n["id"])), ", ").alias("nodes"), F.array_join(F.array_sort(edge), ", ").alias("edges"))
+
+
+@query("""WITH l AS (SELECT 'customer_' || o_custkey AS window_ref, o_orderkey % 4 AS who, o_orderkey % 3 AS k FROM orders)
+SELECT DISTINCT window_ref, 'Clerk ' || who AS name, 'Person' AS label FROM l
+UNION SELECT window_ref, name, 'Component' FROM l JOIN (VALUES (0, 'PostgreSQL'), (1, 'MySQL'), (1, 'Redis')) t(k, name) USING (k)""")
+def window_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: entities that a provider finds in each window."""
+    return mining.entity_rows(_customer_windows(spark, sf_dir), Rules()).select("window_ref", "name", "label")
