@@ -46,6 +46,16 @@ def _data(df: DataFrame, names: Sequence[str], kind: str) -> Column:
     return F.concat(*[F.concat(F.lit(f'<data key="{kind}_{n}">'), xml_escape(sanitize(df, n)), F.lit("</data>")) for n in names])
 
 
+def _frame(nodes: DataFrame, edges: DataFrame) -> tuple[list[str], list[str], list[tuple[int, int, str]]]:
+    """(data columns of nodes, of edges, the lines before and after the elements as (part, seq, line))."""
+    node_names = [c for c in nodes.columns if c not in ("id", "seq")]
+    edge_names = [c for c in edges.columns if c not in ("source", "target", "seq")]
+    keys = [f'<key id="node_{n}" for="node" attr.name="{n}" attr.type="string"/>' for n in node_names]
+    keys += [f'<key id="edge_{n}" for="edge" attr.name="{n}" attr.type="string"/>' for n in edge_names]
+    fixed = [(0, 0, GRAPHML_HEAD)] + [(1, i, k) for i, k in enumerate(keys)] + [(1, len(keys), '<graph edgedefault="directed">'), (4, 0, "</graph>\n</graphml>")]
+    return node_names, edge_names, fixed
+
+
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, seq, n, line): parts 0 head, 1 keys, 2 nodes, 3 edges, 4 tail, a line an element.
 
@@ -54,11 +64,7 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     spark = nodes.sparkSession
-    node_names = [c for c in nodes.columns if c not in ("id", "seq")]
-    edge_names = [c for c in edges.columns if c not in ("source", "target", "seq")]
-    keys = [f'<key id="node_{n}" for="node" attr.name="{n}" attr.type="string"/>' for n in node_names]
-    keys += [f'<key id="edge_{n}" for="edge" attr.name="{n}" attr.type="string"/>' for n in edge_names]
-    fixed = [(0, 0, GRAPHML_HEAD)] + [(1, i, k) for i, k in enumerate(keys)] + [(1, len(keys), '<graph edgedefault="directed">'), (4, 0, "</graph>\n</graphml>")]
+    node_names, edge_names, fixed = _frame(nodes, edges)
     parallel = F.row_number().over(Window.partitionBy("source", "target").orderBy("seq")) - 1
     node = F.concat(F.lit('<node id="'), xml_escape(F.col("id")), F.lit('">'), _data(nodes, node_names, "node"), F.lit("</node>"))
     numbered = edges.withColumn("_key", parallel)
@@ -70,7 +76,28 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One GraphML file. A global sort writes the lines; ``coalesce`` keeps its order."""
-    lines = graphml_lines(nodes, edges).orderBy("part", "seq")
-    lines.select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, single_file: bool = True) -> None:
+    """The graph as one GraphML file (a global sort writes the lines; ``coalesce`` keeps its order), or,
+    for graphs too large for one task, as a document a range of elements, each with its own
+    head; an empty graph then has none."""
+    lines = graphml_lines(nodes, edges)
+    if single_file:
+        lines.orderBy("part", "seq").select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+        return
+    fixed = _frame(nodes, edges)[2]
+    before, after = [x for part, _, x in fixed if part < 2], [x for part, _, x in fixed if part > 3]
+
+    def framed(batches):
+        import pandas as pd
+
+        empty = True
+        for batch in batches:
+            if empty and len(batch):
+                yield pd.DataFrame({"value": before})
+                empty = False
+            yield batch
+        if not empty:
+            yield pd.DataFrame({"value": after})
+
+    elements = lines.where("part in (2, 3)").repartitionByRange("part", "seq").sortWithinPartitions("part", "seq")
+    elements.select(F.col("line").alias("value")).mapInPandas(framed, "value string").write.mode("overwrite").text(path)

@@ -175,6 +175,22 @@ def test_graphml_round_trip(spark, tmp_path):
     assert edges.count() == 2
 
 
+def test_graphml_in_several_documents(spark, tmp_path):
+    names = [f"n{i}" for i in range(40)]
+    g = make(spark, [node(n) for n in names], [(a, b, "MENTIONS") for a, b in zip(names, names[1:] + names[:1], strict=True)] * 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a graph is one range otherwise
+    try:
+        sinks.write_graphml(g.nodes, g.edges, str(tmp_path / "g"), single_file=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "g").glob("part-*"))) > 1
+    nodes, edges = chat.read_graphml(spark, str(tmp_path / "g" / "part-*"))
+    assert sorted(r.id for r in nodes.collect()) == sorted(names)
+    assert sorted((r.source, r.target) for r in edges.collect()) == sorted((r.source, r.target) for r in g.edges.collect())
+    sinks.write_graphml(g.nodes.limit(0), g.edges.limit(0), str(tmp_path / "none"), single_file=False)
+    assert not list((tmp_path / "none").glob("part-*")) or spark.read.text(str(tmp_path / "none")).isEmpty()
+
+
 def test_chat_json_is_permissive(spark, tmp_path):
     lines = [json.dumps({"id": 1, "type": "message", "date": "2024-01-01T00:00:00", "from": "a", "text": ["x", {"text": "y"}]}), "{broken", json.dumps({"id": 2, "type": "service"})]
     (tmp_path / "c.json").write_text("\n".join(lines))
