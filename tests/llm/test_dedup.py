@@ -409,3 +409,40 @@ def test_op7_with_a_third_of_all_rows_on_one_passage(spark):
     places = [(np.full(500, 8, dtype=np.uint64), np.arange(500) + 500 * k, np.zeros(500, dtype=np.int64)) for k in range(4)]
     for found in (line_dedup._repeated(iter(places)), line_dedup._later(iter(places), 50)):
         assert sum(k == 8 for b in found for k in b.column(0).to_pylist()) == 1
+
+
+def test_line_windows_hold_their_least_gram():
+    """By the definition, with ends counted naively and few digests, so that there are ties."""
+    rng = random.Random(12)
+    for _ in range(80):
+        words = [rng.choice([1, 2, 5, 9, 30]) for _ in range(rng.randrange(30))]
+        n = len(words)
+        ends = lambda least: [next((e for e in range(i, n) if sum(words[i : e + 1]) >= least), -1) for i in range(n)]  # noqa: E731, B023
+        gram, window = ends(8), ends(20)
+        assert (gram, window) == (line_dedup.run_ends(words, 8), line_dedup.run_ends(words, 20))
+        digest = [rng.randrange(6) for _ in words]
+        inside = [[j for j in range(i, e + 1) if 0 <= gram[j] <= e] for i, e in enumerate(window)]
+        want = {max(x, key=lambda j: (-digest[j], j)) for x in inside if x}
+        assert line_dedup.window_minima(digest, gram, window) == sorted(want)
+
+
+def test_one_pass_hashes_each_text_for_itself(spark):
+    """What the pass writes is what each text gives alone, whatever its neighbours, also with lines of many words."""
+    rng = random.Random(13)
+    line = lambda: " ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 4, 26, 60, 1500])))
+    texts = ["", " \n\n", "a\r\nb"] + ["\n".join(line() for _ in range(rng.randrange(12))) + rng.choice(["", "\n", " \n"]) for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").coalesce(2)
+    got = {r._row: r for r in line_dedup.text_hashes(rows, line_dedup.GRAM_WORDS, line_dedup.WINDOW_WORDS).collect()}
+    by = {}
+    for i, text in enumerate(texts):
+        held, r = line_dedup.lines_of(text), got[i]
+        lines, words = [x[1] for x in held], [x[2] for x in held]
+        assert r.words == words and len(r.hashes) == len(lines)
+        for x, h in zip(lines, r.hashes, strict=True):
+            assert by.setdefault(x, h) == h
+        prints = [(np.uint64(g).astype(np.int64), at) for g, at in line_dedup.winnow(lines, words)]
+        assert sorted(zip(r.at, r.grams, strict=True)) == sorted((at, g) for g, at in prints)
+        hashes, first = line_dedup.word_hashes(line_dedup.pa.array([text]))
+        at, grams = line_dedup.least_grams(hashes, first, line_dedup.GRAM_WORDS, line_dedup.WINDOW_WORDS)
+        assert r.word_at == at.tolist() and r.word_grams == grams.view(np.int64).tolist()
+    assert len(set(by.values())) == len(by) > 300
