@@ -20,6 +20,7 @@ from quillgraph.operators import decisions, sections, similarity
 from quillgraph.operators import graph as graph_ops
 from quillgraph.plans import mining
 from quillgraph.session import cut_lineage
+from quillgraph.sources import sinks
 
 ACTIONS = "actions array<struct<is_duplicate:boolean,ids_to_merge:array<string>,unified_id:string,unified_name:string,unified_desc:string>>"
 
@@ -32,6 +33,23 @@ class UnifiedGraph:
     decisions: DataFrame
 
 
+@dataclass(frozen=True)
+class Snapshots:
+    """Where the steps' intermediate tables go as JSON, a folder a table; without a path nowhere."""
+
+    path: str | None = None
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        if self.path is not None:
+            sinks.write_json(df, f"{self.path}/{name}")
+        return df
+
+    def keep_graph(self, name: str, graph: graph_ops.Graph) -> graph_ops.Graph:
+        self.keep(f"{name}_nodes", graph.nodes)
+        self.keep(f"{name}_edges", graph.edges)
+        return graph
+
+
 def combine(subgraphs: DataFrame) -> graph_ops.Graph:
     """Union of window subgraphs in order of source, thread and window."""
     ordered = graph_ops.global_number(subgraphs, ["source", "thread_idx", "window_idx"], "seq")
@@ -58,12 +76,13 @@ def detect_conflicts(graph: graph_ops.Graph, provider: providers.Provider, retry
     return found.select(F.posexplode("v.conflicts").alias("seq", "c")).select(F.col("seq").cast("bigint").alias("seq"), "c.*")
 
 
-def prepare(subgraphs: DataFrame, provider: providers.Provider, retry: providers.Retry = providers.Retry()) -> tuple[graph_ops.Graph, DataFrame]:
+def prepare(subgraphs: DataFrame, provider: providers.Provider, retry: providers.Retry = providers.Retry(), snapshots: Snapshots = Snapshots()) -> tuple[graph_ops.Graph, DataFrame]:
     """(merged graph, conflicts) of mined subgraphs."""
-    graph = combine(subgraphs)
-    merged = graph_ops.merge_nodes(graph, candidate_actions(graph, provider, retry=retry))
-    merged = graph_ops.Graph(cut_lineage(merged.nodes), cut_lineage(merged.edges))
-    return merged, detect_conflicts(merged, provider, retry)
+    graph = snapshots.keep_graph("united", combine(snapshots.keep("subgraphs", subgraphs)))
+    actions = snapshots.keep("merge_actions", candidate_actions(graph, provider, retry=retry))
+    merged = graph_ops.merge_nodes(graph, actions)
+    merged = snapshots.keep_graph("merged", graph_ops.Graph(cut_lineage(merged.nodes), cut_lineage(merged.edges)))
+    return merged, snapshots.keep("conflicts", detect_conflicts(merged, provider, retry))
 
 
 def assign_sections(nodes: DataFrame, provider: providers.Provider, retry: providers.Retry = providers.Retry()) -> DataFrame:
@@ -88,25 +107,25 @@ def finalize(graph: graph_ops.Graph, provider: providers.Provider, retry: provid
     return UnifiedGraph(cut_lineage(valid.nodes), cut_lineage(valid.edges), open_, outcome)
 
 
-def compile_sections(nodes: DataFrame, provider: providers.Provider, retry: providers.Retry = providers.Retry()) -> DataFrame:
+def compile_sections(nodes: DataFrame, provider: providers.Provider, retry: providers.Retry = providers.Retry(), snapshots: Snapshots = Snapshots()) -> DataFrame:
     """(ord, title, section_id, content_markdown); a section whose call fails is left out."""
-    facts = sections.section_facts(nodes).withColumn("prompt", F.col("section_id"))
+    facts = snapshots.keep("section_facts", sections.section_facts(nodes)).withColumn("prompt", F.col("section_id"))
     return providers.call(facts, provider, "section", data="facts", out="content_markdown", retry=retry).where("content_markdown is not null").select("ord", "title", "section_id", "content_markdown")
 
 
-def complete(graph: graph_ops.Graph, conflicts: DataFrame, resolutions: DataFrame | None, provider: providers.Provider, retry: providers.Retry = providers.Retry()) -> tuple[UnifiedGraph, DataFrame]:
+def complete(graph: graph_ops.Graph, conflicts: DataFrame, resolutions: DataFrame | None, provider: providers.Provider, retry: providers.Retry = providers.Retry(), snapshots: Snapshots = Snapshots()) -> tuple[UnifiedGraph, DataFrame]:
     """(unified graph, document as one Markdown row) after a person's choices."""
     chosen = graph if resolutions is None else conflict_ops.apply_resolutions(graph, conflicts, resolutions)
     unified = finalize(chosen, provider, retry)
-    return unified, sections.compile_document(compile_sections(unified.nodes, provider, retry))
+    return unified, sections.compile_document(compile_sections(unified.nodes, provider, retry, snapshots))
 
 
-def run(messages: DataFrame, provider: providers.Provider | None = None, resolutions: DataFrame | None = None, retry: providers.Retry = providers.Retry()) -> tuple[UnifiedGraph, DataFrame]:
-    """Messages to document, with windows mined independently."""
+def run(messages: DataFrame, provider: providers.Provider | None = None, resolutions: DataFrame | None = None, retry: providers.Retry = providers.Retry(), snapshots: Snapshots = Snapshots()) -> tuple[UnifiedGraph, DataFrame]:
+    """Messages to document, with windows mined independently; ``snapshots`` says where the steps' tables go."""
     provider = provider or providers.Rules()
     subgraphs = mining.mine_parallel(mining.chat_windows(messages), provider, retry)
-    graph, found = prepare(subgraphs, provider, retry)
-    return complete(graph, found, resolutions, provider, retry)
+    graph, found = prepare(subgraphs, provider, retry, snapshots)
+    return complete(graph, found, resolutions, provider, retry, snapshots)
 
 
 def subgraph_rows(spark, subgraphs: list[dict]) -> DataFrame:
@@ -118,8 +137,6 @@ def subgraph_rows(spark, subgraphs: list[dict]) -> DataFrame:
 
 def write_outputs(unified: UnifiedGraph, document: DataFrame, path: str) -> None:
     """The document, the report, the graph as JSON and GraphML, each in its own folder."""
-    from quillgraph.sources import sinks
-
     sinks.write_single_text(document, "markdown", f"{path}/document")
     sinks.write_single_text(decisions.merge_report(unified.decisions), "report", f"{path}/report")
     for name in ("nodes", "edges", "conflicts", "decisions"):

@@ -224,6 +224,16 @@ def test_modes_of_mining(spark):
         assert all(e.source in ids and e.target in ids and e.source != e.target for e in r.edges)
 
 
+def test_snapshots_of_the_steps(spark, tmp_path):
+    unified, _ = pipeline.run(chat.sample_chats(spark), retry=QUICK, snapshots=pipeline.Snapshots(str(tmp_path)))
+    names = {"subgraphs", "united_nodes", "united_edges", "merge_actions", "merged_nodes", "merged_edges", "conflicts", "section_facts"}
+    assert {p.name for p in tmp_path.iterdir()} == names
+    read = lambda name: [json.loads(r.value) for r in spark.read.text(str(tmp_path / name)).collect()]
+    assert {n["id"] for n in read("merged_nodes")} <= {n["id"] for n in read("united_nodes")}
+    assert {n["id"] for n in read("merged_nodes")} == {r.id for r in unified.nodes.collect()}
+    assert len(read("subgraphs")) > 1 and all(g["nodes"] for g in read("subgraphs")) and {"title", "facts"} <= set(read("section_facts")[0])
+
+
 def test_document_of_the_sample(spark):
     unified, document = pipeline.run(chat.sample_chats(spark), retry=QUICK)
     text = document.first()["markdown"]
