@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe_codec, exact_dedup, exact_topk, license_scan, line_dedup, near_dedup, packing, sharding, token_counts, toxicity
+from quillgraph.llm import bpe_codec, exact_dedup, exact_topk, license_scan, line_dedup, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_packing": packing.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_substring_dedup": substring_dedup.query,
 }
 
 ORACLES = {
     "op2_exact_topk": exact_topk.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_substring_dedup": substring_dedup.ORACLE,
 }
