@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe_codec, exact_dedup, exact_topk, license_scan, line_dedup, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity
+from quillgraph.llm import bpe_codec, exact_dedup, exact_topk, lexical_search, license_scan, line_dedup, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_near_dedup": near_dedup.query,
     "op11_substring_dedup": substring_dedup.query,
+    "op12_lexical_search": lexical_search.query,
 }
 
 ORACLES = {
     "op2_exact_topk": exact_topk.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op11_substring_dedup": substring_dedup.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
