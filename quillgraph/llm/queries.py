@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe_codec, exact_dedup, exact_topk, lexical_search, license_scan, line_dedup, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity
+from quillgraph.llm import bpe_codec, exact_dedup, exact_topk, lexical_search, license_scan, line_dedup, near_dedup, packing, prefix_trie, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_near_dedup": near_dedup.query,
     "op11_substring_dedup": substring_dedup.query,
     "op12_lexical_search": lexical_search.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op11_substring_dedup": substring_dedup.ORACLE,
     "op12_lexical_search": lexical_search.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
