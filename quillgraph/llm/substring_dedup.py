@@ -46,6 +46,8 @@ FLUSH_RUNS = 1 << 17
 HOT = 8
 #: Bytes of text to a run, about: only the number of blocks depends on it.
 RUN_BYTES = 45
+#: Tasks that the runs are dealt to at most.
+MAX_TASKS = 1 << 16
 #: An id for NULL, after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -315,7 +317,9 @@ def repeated_windows(rows: DataFrame, window_words: int, gram_words: int, block_
     none = [F.lit(b"").alias(c) for c in Runs.FIELDS[1:]]
     copies = F.explode(F.sequence(F.lit(0), F.when(above, F.ceil(F.col("n") / share).cast("int") - 1).otherwise(F.lit(0)))).alias("part")
     filters = table.select("block", copies, F.lit(0).alias("kind"), F.lit(0).alias("n"), F.col("bits").alias("anchor"), *none)
-    met = rows.mapInArrow(send, _SENT_TYPE).unionByName(filters).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    # A few blocks a task, however many there are.
+    tasks = min(MAX_TASKS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 8))
+    met = rows.mapInArrow(send, _SENT_TYPE).unionByName(filters).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "kind")
     return met.mapInArrow(decide, _CUT_TYPE)
 
 
