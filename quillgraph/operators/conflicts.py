@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as text_fn
 from quillgraph.operators.graph import Graph, ordered_lines, remove_nodes
+from quillgraph.operators.ranges import global_number
 
 # How many technical nodes are looked at, their labels, a custom node's description.
 CONTEXT_LIMIT = 60
@@ -28,8 +29,6 @@ def technical_context(nodes: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame
 def number_conflicts(conflicts: DataFrame) -> DataFrame:
     """(number, id, description, option, option_id, option_text): conflicts from 1, options
     from 0, as a person is asked."""
-    from quillgraph.operators.graph import global_number
-
     numbered = global_number(conflicts, ["seq"], "number").withColumn("number", F.col("number") + 1)
     return numbered.select("number", "id", "description", F.posexplode("options").alias("option", "o")).select("number", "id", "description", F.col("option").cast("bigint").alias("option"), F.col("o.id").alias("option_id"), F.col("o.text").alias("option_text"))
 

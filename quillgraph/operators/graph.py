@@ -13,11 +13,11 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillgraph import schemas
 from quillgraph.functions import text as text_fn
 from quillgraph.operators.components import connected_components
+from quillgraph.operators.ranges import global_number
 from quillgraph.session import cut_lineage
 
 
@@ -196,18 +196,6 @@ def finalize(graph: Graph) -> tuple[Graph, DataFrame]:
     return Graph(nodes.where(good), graph.edges.where(fine)), nodes.where(~good)
 
 
-def global_number(rows: DataFrame, order: Sequence[str | Column], name: str = "n") -> DataFrame:
-    """Number all rows from 0 by ``order`` without bringing them into one partition: range
-    partitions are sorted and numbered each, and a partition's offset is added."""
-    dealt = cut_lineage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = dealt.groupBy("_part").count()
-    # One row a partition.
-    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_off"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.join(offsets, "_part").withColumn(name, (F.col("_off") + inside).cast("bigint")).drop("_part", "_off")
-
-
 def upsert_glossary(entries: DataFrame) -> DataFrame:
     """(id, name, label, description, seq): a slug's last entry, at its first entry's place."""
     keyed = entries.withColumn("id", text_fn.slug(F.col("name")))

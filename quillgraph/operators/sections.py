@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text as text_fn
-from quillgraph.operators.graph import global_number, ordered_lines
+from quillgraph.operators.graph import ordered_lines
+from quillgraph.operators.ranges import global_number
 
 # Batch size, document name and version.
 BATCH = 20

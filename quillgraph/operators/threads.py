@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,13 +12,15 @@ from pyspark.sql.window import Window
 from quillgraph.functions import text as text_fn
 from quillgraph.functions.vectors import cosine, norm
 from quillgraph.operators.components import connected_components
-from quillgraph.operators.graph import global_number
+from quillgraph.operators.ranges import global_number, number_within
 
 # Rows looked back, largest gap, weight of a reply, least similarity.
 LOOKBACK = 20
 MAX_GAP = "4 hours"
 REPLY_WEIGHT = 15.0
 THREAD_SIMILARITY = 0.72
+#: Rows of a block of the look-back; a block also has the last rows of the one before.
+BLOCK = 1024
 
 
 def valid_messages(messages: DataFrame) -> DataFrame:
@@ -39,20 +44,26 @@ def reply_edges(messages: DataFrame) -> DataFrame:
     return asks.join(known, ["source", "target"]).select("source", "id", "target", F.lit(REPLY_WEIGHT).alias("weight"))
 
 
-def lookback_pairs(rows: DataFrame, group: list[str], lookback: int = LOOKBACK, max_gap: str = MAX_GAP) -> DataFrame:
+def lookback_pairs(rows: DataFrame, group: list[str], lookback: int = LOOKBACK, max_gap: str = MAX_GAP, block: int = BLOCK) -> DataFrame:
     """Pairs of a row (columns as they are) and each earlier row ``prev_*`` among the last
-    ``lookback`` positions of its group that is at most ``max_gap`` older.
+    ``lookback`` positions of its group that is at most ``max_gap`` older; ``rn`` and ``prev_rn``
+    are places in the order of all groups and positions.
 
-    Rows are numbered within the group. The band becomes an equality: a row meets the rows of
-    its own bucket of positions and of the one before, so the join is a hash or merge join.
+    Rows are numbered over all groups and cut into blocks by their number. The last ``lookback`` rows
+    of a block are copied to the next one, so a block has all that its rows look back at: one shuffle,
+    no join, and no task that holds a group.
     """
-    position = F.row_number().over(Window.partitionBy(*group).orderBy("pos"))
-    numbered = rows.withColumn("rn", position.cast("bigint")).withColumn("bucket", F.expr(f"rn div {lookback}"))
-    earlier = numbered.select(*[F.col(c).alias(c if c in [*group, "bucket"] else f"prev_{c}") for c in numbered.columns])
-    probes = numbered.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)))
-    near = (F.col("prev_rn") < F.col("rn")) & (F.col("prev_rn") >= F.col("rn") - lookback)
+    numbered = global_number(rows, [*group, "pos"], "rn").withColumn("block", F.expr(f"rn div {block}"))
+    reach = F.expr(f"(rn + {lookback}) div {block} - block")
+    halo = numbered.where(reach > 0).withColumn("block", F.explode(F.transform(F.sequence(F.lit(1).cast("bigint"), reach), lambda x: F.col("block") + x)))
+    held = numbered.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
+    last = Window.partitionBy("block").orderBy("rn").rowsBetween(-lookback, -1)
+    columns = [*rows.columns, "rn"]
+    met = held.withColumn("_last", F.collect_list(F.struct(*columns)).over(last)).where("_own")
+    found = met.select(*columns, F.explode("_last").alias("_prev")).select(*columns, *[F.col(f"_prev.{c}").alias(f"_of_{c}" if c in group else f"prev_{c}") for c in columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
     in_time = (F.col("ts") - F.col("prev_ts")) <= F.expr(f"interval {max_gap}")
-    return probes.join(earlier, [*group, "bucket"]).where(near & in_time).drop("bucket", "prev_bucket")
+    return found.where(reduce(and_, same, in_time)).drop(*[f"_of_{c}" for c in group])
 
 
 def best_previous(pairs: DataFrame, keys: list[str], target: str, similarity: Column, least: float = THREAD_SIMILARITY) -> DataFrame:
@@ -98,8 +109,7 @@ def order_threads(members: DataFrame) -> DataFrame:
     ``members`` has (source, thread, id, pos, ts, ...); adds ``thread_idx`` from 0 and ``rn``
     from 1. NULL times sort last; position breaks ties.
     """
-    inside = Window.partitionBy("source", "thread").orderBy(F.asc_nulls_last("ts"), "pos")
-    numbered = members.withColumn("rn", F.row_number().over(inside).cast("bigint"))
+    numbered = number_within(members, ["source", "thread"], [F.asc_nulls_last("ts"), F.col("pos")])
     heads = numbered.where("rn = 1").select("source", "thread", F.col("ts").alias("start"), F.col("pos").alias("start_pos"))
     # Numbered over all sources by range, then from each source's first: no source is one task.
     among = global_number(heads, ["source", F.asc_nulls_last("start"), F.col("start_pos")], "_n")

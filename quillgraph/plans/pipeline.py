@@ -18,6 +18,7 @@ from quillgraph.functions.embeddings import hashed_embeddings
 from quillgraph.operators import conflicts as conflict_ops
 from quillgraph.operators import decisions, sections, similarity
 from quillgraph.operators import graph as graph_ops
+from quillgraph.operators.ranges import global_number
 from quillgraph.plans import mining
 from quillgraph.session import cut_lineage
 from quillgraph.sources import sinks
@@ -52,7 +53,7 @@ class Snapshots:
 
 def combine(subgraphs: DataFrame) -> graph_ops.Graph:
     """Union of window subgraphs in order of source, thread and window."""
-    ordered = graph_ops.global_number(subgraphs, ["source", "thread_idx", "window_idx"], "seq")
+    ordered = global_number(subgraphs, ["source", "thread_idx", "window_idx"], "seq")
     graph = graph_ops.union_subgraphs(ordered)
     return graph_ops.Graph(cut_lineage(graph.nodes), cut_lineage(graph.edges))
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillgraph.functions import text as text_fn
 from quillgraph.functions import votes
 from quillgraph.functions.vectors import cosine, norm
 from quillgraph.operators import communities, similarity, threads, windows
 from quillgraph.operators.components import connected_components
+from quillgraph.operators.ranges import number_within
 from quillgraph.plans import mining
 from quillgraph.plans.registry import query, table
 from quillgraph.sources.chat import conversation_messages, document_windows
@@ -269,8 +269,7 @@ SELECT source, row_number() OVER (PARTITION BY source ORDER BY st) - 1 AS window
 def pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy windows of 6000 characters that overlap by 4."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.char_length("text").alias("chars"))
-    ordered = d.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint"))
-    return windows.pack_windows(ordered, ["source"])
+    return windows.pack_windows(number_within(d, ["source"], ["doc_id"]), ["source"])
 
 
 @query(f"""WITH {THREADS}, l AS (

@@ -29,7 +29,7 @@ def read_chat_json(spark: SparkSession, path: str, source: str) -> DataFrame:
     raw = spark.read.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     order = F.struct(F.input_file_name(), F.monotonically_increasing_id())
     kept = raw.withColumn("_o", order).where("_bad is null")
-    from quillgraph.operators.graph import global_number
+    from quillgraph.operators.ranges import global_number
 
     placed = global_number(kept.withColumn("_f", F.col("_o.col1")).withColumn("_i", F.col("_o.col2")).drop("_o", "_bad"), ["_f", "_i"], "pos")
     out = placed.withColumn("text", text_fn.rich_text(F.col("text"))).withColumn("source", F.lit(source))
