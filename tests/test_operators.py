@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -121,6 +122,34 @@ def test_similar_pairs_in_blocks(spark):
     assert {(r.a, r.b) for r in similarity.lsh_pairs(df, 0.9).collect()} <= whole
 
 
+@pytest.mark.parametrize("block_rows", [2048, 3])
+def test_hashing_finds_pairs_without_comparing_all(spark, block_rows):
+    """Pairs of 0.88 to 0.95, just above the threshold, among unrelated vectors, and a group of copies."""
+    rng = np.random.default_rng(4)
+    rows, n = [], 0
+    for i in range(700):
+        v = rng.standard_normal(64)
+        near = v + rng.uniform(0.35, 0.52) * rng.standard_normal(64)
+        rows += [(i % 2, n, v.tolist()), (i % 2, n + 1, near.tolist())]
+        n += 2
+    rows += [(None, n + i, rows[0][2]) for i in range(9)] + [(0, n + 9, [0.0] * 64), (0, n + 10, None)]
+    df = spark.createDataFrame(rows, "label int, id bigint, vec array<double>")
+    exact = {(r.a, r.b) for r in similarity.similar_pairs(df, 0.88).collect()}
+    found = [(r.a, r.b) for r in similarity.lsh_pairs(df, 0.88, block_rows=block_rows).where("label is not null").collect()]
+    assert len(set(found)) == len(found) and set(found) <= exact and len(exact) > 300
+    assert len(found) >= 0.9 * len(exact)
+    tried = similarity.lsh_candidates(df, 0.88, block_rows=block_rows).where("label is not null")
+    assert tried.count() == tried.distinct().count() < 0.1 * 2 * 700 * 699 / 2
+
+
+def test_more_rows_take_more_bits(spark):
+    """So the pairs tried grow with rows times bands."""
+    for rows in (1_000, 1_000_000, 10**9):
+        bands = similarity.Bands.for_recall(rows, 0.88, 0.95)
+        assert rows / 2**bands.bits * bands.bands < 600
+        assert 1 - (1 - (1 - np.arccos(0.88) / np.pi) ** bands.bits) ** bands.bands >= 0.95
+
+
 def test_louvain_separates_two_groups():
     clique = lambda ids: [(a, b, 1.0) for a in ids for b in ids if a < b]
     edges = clique(range(5)) + clique(range(10, 15)) + [(0, 10, 0.1)]
