@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.llm import _shared
 from quillgraph.llm.token_counts import BEYOND, PATTERN, plain_pattern
 
-#: Bytes that a leaf of the tree merges directly.
-LEAF = 48
+#: Bytes that a leaf of the tree merges directly: every longer pre-token is joined from halves.
+LEAF = 4
+#: Bytes from which a window is merged by a heap.
+HEAP = 96
 #: Children of a node of the decoding tree.
 FAN_OUT = 64
 #: Pre-tokens whose ids a worker remembers before the table starts afresh.
@@ -42,13 +44,17 @@ class TreeCodec:
         self.pattern = regex.compile(pattern).findall
         # The fast pattern stands for the published one only.
         self.plain = plain_pattern().findall if pattern == PATTERN else self.pattern
+        # Leaves and windows recur in many pre-tokens, and so do seams. Found lists are never changed.
+        self.merged: dict[bytes, list[int]] = {}
         self.seams: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
 
     def leaf(self, data: bytes) -> list[int]:
         """Merges the lowest-ranked pair, the leftmost of equals, until none is left."""
-        if len(data) > 2 * LEAF:
+        if len(data) > HEAP:
             return self._leaf_by_heap(data)
+        if (known := self.merged.get(data)) is not None:
+            return known
         ranks, none = self.ranks.get, 1 << 40
         parts = [data[i : i + 1] for i in range(len(data))]
         pairs = [ranks(data[i : i + 2], none) for i in range(len(data) - 1)]
@@ -63,7 +69,10 @@ class TreeCodec:
                 pairs[i] = ranks(parts[i] + parts[i + 1], none)
             if i:
                 pairs[i - 1] = ranks(parts[i - 1] + parts[i], none)
-        return [self.ranks[p] for p in parts]
+        if len(self.merged) > REMEMBERED:
+            self.merged.clear()
+        found = self.merged[data] = [self.ranks[p] for p in parts]
+        return found
 
     def _leaf_by_heap(self, data: bytes) -> list[int]:
         """The same for long windows: a heap of pairs over a linked list of parts."""

@@ -72,6 +72,25 @@ def test_tree_equals_library(tik):
         assert own.decode(own.encode(t)) == t.encode()
 
 
+def test_pre_tokens_are_joined_up_the_tree(texts, tik, monkeypatch):
+    """Of the documents' distinct pre-tokens that are no token, nearly all come from joins."""
+    own, joined, join = bpe_codec.TreeCodec(RANKS, P.PATTERN), [0], bpe_codec.TreeCodec.join
+
+    def counting(self, left, right):
+        joined[0] += 1
+        return join(self, left, right)
+
+    monkeypatch.setattr(bpe_codec.TreeCodec, "join", counting)
+    distinct = sorted({t for x in texts.values() for t in own.split(x or "")})
+    through = 0
+    for t in distinct:
+        before = joined[0]
+        assert own.piece(t.encode()) == tik.encode_ordinary(t)
+        through += joined[0] > before
+    longer = sum(t.encode() not in own.ranks for t in distinct)
+    assert longer > 1000 and through > 0.9 * longer
+
+
 def test_join_is_associative():
     own = bpe_codec.TreeCodec(RANKS, P.PATTERN)
     data = ("inthethetionerre" * 20).encode()
