@@ -34,6 +34,8 @@ SAMPLE = 20_000
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
 FACTORS, EPOCHS, BATCH, STEP = 8, 8, 256, 0.5
+#: What a vector loses of its length with each step.
+SHRINK = 1e-3
 #: Words remembered by a worker before its tables start afresh.
 REMEMBERED = 200_000
 
@@ -72,10 +74,10 @@ def fit_machine(labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray, starts:
 
     A weight leaves zero only as far as its gradients, summed over all batches so far, exceed
     what chance makes of so many terms: sqrt(2 ln terms) standard errors, each sqrt(documents *
-    p * (1 - p)) an epoch. A vector starts to move (by AdaGrad) once its sum of gradients exceeds
-    as many standard errors, taken from the gradients themselves.
-    The first half of the epochs fits the weights; the second draws those that left zero no further,
-    and fits the vectors on what the weights leave. Terms that never leave their start weigh nothing and aren't kept.
+    p * (1 - p)) an epoch. The first half of the epochs finds these terms; the second draws them no further and
+    fits their weights and vectors together (AdaGrad from a small random start, with shrinkage). The vector of a
+    term without a weight joins in once its own sum of gradients exceeds as many standard errors, as many terms
+    would fit anything by pairs. Terms without weight and vector aren't kept.
     """
     holding = np.zeros(BUCKETS, dtype=np.int64)
     for s in range(0, len(flat), 1 << 20):
@@ -131,8 +133,8 @@ def fit_machine(labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray, starts:
                 zv[terms] += dv
                 gv[terms] += dv**2
                 error = np.sqrt(gv[terms])
-                moving[terms] |= (np.abs(zv[terms]) > np.sqrt(most * (epoch - half + 1)) * error).any(axis=1)
-                v[terms] -= np.where(moving[terms, None], STEP * dv / error, 0)
+                moving[terms] |= free[terms] | (np.abs(zv[terms]) > np.sqrt(most * (epoch - half + 1)) * error).any(axis=1)
+                v[terms] = np.where(moving[terms, None], (1 - SHRINK) * (v[terms] - STEP * dv / error), v[terms])
     v[~moving] = 0
     kept = (w != 0) | (v != 0).any(axis=1)
     return Machine(float(bias), chosen[kept], w[kept].astype(np.float64), v[kept].astype(np.float64))

@@ -106,6 +106,36 @@ def test_op3_learns_pairs(together):
     assert (v[0] @ v[1] > 0.1) if together is np.logical_and else (v[0] @ v[1] < -0.1 < 0.1 < v[0] @ v[2])
 
 
+def test_op3_pairs_among_thousands_of_terms():
+    """Only pairs of two terms among 3,000 others tell the classes, of a term that weighs nothing alone."""
+    rng = np.random.default_rng(2)
+    docs, labels = [], []
+    for _ in range(20_000):
+        a, b = rng.random(2) < 0.5
+        docs.append(sorted({10 if a else 11, 20 if b else 21, *(100 + rng.integers(0, 3000, 20)).tolist()}))
+        labels.append(int(a != b))
+    labels, sizes = np.array(labels), np.array([len(x) for x in docs])
+    machine = toxicity.fit_machine(labels[:18_000], sizes[:18_000], np.array([t for x in docs[:18_000] for t in x]))
+    place = {b: i for i, b in enumerate(machine.buckets.tolist())}
+    got = np.array([machine.margin(np.array([place[t] for t in x if t in place], dtype=np.int64)) > 0 for x in docs[18_000:]])
+    assert (got == labels[18_000:]).mean() > 0.95
+
+
+def test_op3_pairs_work_on_the_given_labels(spark):
+    """Kept terms have vectors, and the pair term makes held-out scores better than the weights alone."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    machine = toxicity.fit(docs, labels)
+    assert (machine.factors != 0).any(axis=1).mean() > 0.9
+    alone = toxicity.Machine(machine.bias, machine.buckets, machine.weights, np.zeros_like(machine.factors))
+    loss, scores = {}, {}
+    for name, m in (("pairs", machine), ("alone", alone)):
+        rows = toxicity.score_documents(docs, m).join(labels, "doc_id").where("held_out and toxic is not null").orderBy("doc_id").collect()
+        s, y = np.array([r.score for r in rows]).clip(1e-9, 1 - 1e-9), np.array([r.toxic for r in rows])
+        loss[name], scores[name] = -np.log(np.where(y == 1, s, 1 - s)).mean(), s
+    assert loss["pairs"] < 0.07 < loss["alone"] and np.abs(scores["pairs"] - scores["alone"]).max() > 0.1
+
+
 def test_op3_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     machine = toxicity.Machine(-0.3, np.arange(12), rng.normal(size=12), rng.normal(size=(12, 8)))
