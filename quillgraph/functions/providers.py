@@ -1,8 +1,9 @@
 """Model-backed steps behind a replaceable provider.
 
-A provider is a picklable callable ``(step, prompt, data) -> JSON text or plain text``. Calls
-run in Arrow batches on the executors with retries; a call that keeps failing gives NULL.
-Results are checkpointed at once, so that a later recomputation doesn't repeat the calls.
+A provider is a picklable callable ``(step, prompt, data) -> JSON text or plain text``, which threads
+may call at the same time. Calls run in Arrow batches on the executors with retries, several at once, and
+once for equal prompts; a call that keeps failing gives NULL. Results are written at once, so that
+a later recomputation doesn't repeat the calls.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +45,57 @@ class Retry:
         return None
 
 
-def call(df: DataFrame, provider: Provider, step: str, prompt: str = "prompt", data: str = "data", out: str = "response", retry: Retry = Retry(), concurrency: int | None = None) -> DataFrame:
-    """Adds ``out``: the provider's answer to each row. ``concurrency`` bounds the tasks that
-    call at once (a rate limit)."""
-    names = df.columns
+#: Calls that one task has in flight at once.
+IN_FLIGHT = 8
+
+
+def call(
+    df: DataFrame,
+    provider: Provider,
+    step: str,
+    prompt: str = "prompt",
+    data: str = "data",
+    out: str = "response",
+    retry: Retry = Retry(),
+    concurrency: int | None = None,
+    in_flight: int = IN_FLIGHT,
+    answers: str | None = None,
+) -> DataFrame:
+    """Adds ``out``: the provider's answer to each row; rows with equal prompt and data share one call.
+
+    ``concurrency`` bounds the tasks that call at once and ``in_flight`` the calls that a task has open (together
+    a rate limit). ``answers`` names a folder of answers by the hash of step, prompt and data, shared by runs: what
+    it has isn't asked again, and what is asked now is added; a call that failed (NULL) is asked again next time.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = F.sha2(F.concat_ws("\x1e", F.lit(step), F.char_length(text(prompt)).cast("string"), text(prompt), text(data)), 256)
+    keyed = cut_lineage(df.withColumn("_key", key))
+    asked = keyed.groupBy("_key").agg(F.first(text(prompt)).alias("prompt"), F.first(text(data)).alias("data"))
+    known = None
+    if answers is not None and _exists(df, answers):
+        known = df.sparkSession.read.schema("_key string, answer string").parquet(answers).where("answer is not null").groupBy("_key").agg(F.min("answer").alias("answer"))
+        asked = asked.join(known, "_key", "left_anti")
+    if concurrency is not None:
+        asked = asked.repartition(concurrency)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers = [retry.call(provider, step, p or "", d or "") for p, d in zip(batch[prompt], batch[data], strict=True)]
-            yield batch.assign(**{out: pd.Series(answers, index=batch.index, dtype=object)})
-
-    rows = df if concurrency is None else df.repartition(concurrency)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` string"
-    return cut_lineage(rows.mapInPandas(run, schema).select(*names, out))
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                found = pool.map(lambda row: retry.call(provider, step, *row), zip(batch["prompt"], batch["data"], strict=True))
+                yield pd.DataFrame({"_key": batch["_key"], "answer": pd.Series(list(found), index=batch.index, dtype=object)})
+
+    fresh = cut_lineage(asked.select("_key", "prompt", "data").mapInPandas(run, "_key string, answer string"))
+    if answers is not None:
+        fresh.write.mode("append").parquet(answers)
+    found = fresh if known is None else fresh.unionByName(known)
+    return keyed.join(found.withColumnRenamed("answer", out), "_key", "left").select(*df.columns, out)
+
+
+def _exists(df: DataFrame, path: str) -> bool:
+    try:
+        return bool(df.sparkSession.read.schema("_key string").parquet(path).inputFiles())
+    except AnalysisException:
+        return False
 
 
 def parsed(df: DataFrame, schema: str, column: str = "response", out: str = "value") -> DataFrame:

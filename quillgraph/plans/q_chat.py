@@ -96,10 +96,20 @@ def _flags(d: DataFrame, lexicon: votes.VoteLexicon) -> DataFrame:
 _FLAG_SQL = " SELECT CAST(id AS BIGINT) AS id, direction, target, CASE WHEN direction IS NOT NULL THEN '[VOTE_' || upper(direction) || ':' || coalesce(nullif(target, ''), 'LAST_MENTIONED') || ']' END AS flag FROM d"
 
 
-@query(_vote_sql(votes.RUSSIAN, "text", _LITERALS) + _FLAG_SQL)
+#: Every customer says one of the literals and a name of its own.
+_SAID = f"SELECT c_custkey AS id, l.text || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' ' || c_mktsegment END AS text FROM customer JOIN ({_LITERALS}) l ON l.id = c_custkey % {len(_VOTES)}"
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    literal = F.get(F.array(*map(F.lit, _VOTES)), (F.col("c_custkey") % len(_VOTES)).cast("int"))
+    text = F.concat(literal, F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"))))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), text.alias("text"))
+
+
+@query(_vote_sql(votes.RUSSIAN, "text", _SAID) + _FLAG_SQL)
 def vote_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T7, T8 on literals of the default locale."""
-    return _flags(spark.createDataFrame(list(enumerate(_VOTES)), "id bigint, text string"), votes.RUSSIAN)
+    """T7, T8 in the default locale, on what all customers say."""
+    return _flags(_said(spark, sf_dir), votes.RUSSIAN)
 
 
 _ENGLISH_ROWS = """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'I vote for ' || event_type || '!' WHEN 1 THEN 'we do not want ' || event_type
@@ -129,11 +139,10 @@ SELECT CAST(id AS BIGINT) AS id, CASE WHEN answer IN ({", ".join(f"'{w}'" for w
   WHEN answer IN ({", ".join(f"'{w}'" for w in votes.RUSSIAN.rejections)}) THEN '[FLAG: REJECTION]' ELSE text END AS normalized FROM a"""
 
 
-@query(_short_sql(_LITERALS))
+@query(_short_sql(_SAID))
 def short_answer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T6 on literals."""
-    d = spark.createDataFrame(list(enumerate(_VOTES)), "id bigint, text string")
-    return d.select("id", votes.short_answer(F.col("text")).alias("normalized"))
+    """T6 on what all customers say."""
+    return _said(spark, sf_dir).select("id", votes.short_answer(F.col("text")).alias("normalized"))
 
 
 #: Every event with a literal, and every message of the conversations with its own text.
@@ -341,11 +350,32 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.lsh_pairs(both).withColumn("similarity", F.round("similarity", 6))
 
 
+_TALKED = ("we store it in PostgreSQL", "MySQL and Redis, please", "the screen needs JWT", "я за React, да", "nothing to add")
+
+
+def customer_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message a customer, a source a market segment; every seventh answers the one seven before."""
+    key = F.col("c_custkey").cast("bigint")
+    said = F.get(F.array(*map(F.lit, _TALKED)), (key % len(_TALKED)).cast("int"))
+    ts = F.timestamp_seconds(key * 60)
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("segment_"), "c_mktsegment").alias("source"),
+        key.alias("pos"),
+        key.alias("id"),
+        F.lit("message").alias("type"),
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("from"),
+        F.lit(None).cast("string").alias("author"),
+        F.concat(said, F.lit(" "), F.col("c_name")).alias("text"),
+        F.when(key % 7 == 0, key - 7).alias("reply_to_message_id"),
+        ts.alias("ts"),
+    )
+
+
 @query()
 def provider_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1 to L5 with the rule provider, on the sample chats."""
+    """L1 to L5 with the rule provider, on the threads of what all customers say."""
     from quillgraph.functions.providers import Rules
-    from quillgraph.sources.chat import sample_chats
 
-    mined = mining.mine_parallel(mining.chat_windows(sample_chats(spark)), Rules())
+    mined = mining.mine_parallel(mining.chat_windows(customer_messages(spark, sf_dir)), Rules())
     return mined.select("source", "window_ref", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"))

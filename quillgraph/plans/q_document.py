@@ -76,7 +76,8 @@ def outline_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pipeline_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entry A offline: the sample chats to a Markdown document with the rule provider."""
+    """The whole run over the customers' messages: threads, windows, mining, merging, document, with the rule provider."""
     from quillgraph.plans import pipeline
+    from quillgraph.plans.q_chat import customer_messages
 
-    return pipeline.run(chat.sample_chats(spark))[1]
+    return pipeline.run(customer_messages(spark, sf_dir))[1]

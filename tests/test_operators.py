@@ -2,6 +2,8 @@
 
 import json
 import random
+import uuid
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -150,12 +152,116 @@ def test_more_rows_take_more_bits(spark):
         assert 1 - (1 - (1 - np.arccos(0.88) / np.pi) ** bands.bits) ** bands.bands >= 0.95
 
 
-def test_louvain_separates_two_groups():
+def louvain(edges: list[tuple[int, int, float]], nodes: list[int], seed: int = 0) -> dict[int, int]:
+    """node -> community, numbered by smallest member. Nodes are visited in a seeded order
+    and move to the neighbouring community that raises modularity most, level by level."""
+    weight: dict[int, dict[int, float]] = {n: defaultdict(float) for n in nodes}
+    for a, b, w in edges:
+        weight[a][b] += w
+        if a != b:
+            weight[b][a] += w
+    members = {n: [n] for n in nodes}
+    rng = random.Random(seed)
+    while True:
+        degree = {n: sum(w for m, w in adj.items()) + adj.get(n, 0.0) for n, adj in weight.items()}
+        total = sum(degree.values())
+        if total == 0:
+            break
+        own = {n: n for n in weight}
+        size = dict(degree)
+        moved_any, moving = False, True
+        while moving:
+            moving = False
+            order = sorted(weight)
+            rng.shuffle(order)
+            for n in order:
+                links: dict[int, float] = defaultdict(float)
+                for m, w in weight[n].items():
+                    if m != n:
+                        links[own[m]] += w
+                now = own[n]
+                size[now] -= degree[n]
+                gain = lambda c: links.get(c, 0.0) - size[c] * degree[n] / total  # noqa: B023, E731
+                best = max(sorted({now, *links}), key=lambda c: (gain(c), c == now))
+                size[best] += degree[n]
+                if best != now and gain(best) > gain(now) + 1e-12:
+                    own[n], moving, moved_any = best, True, True
+                else:
+                    size[best] -= degree[n]
+                    size[now] += degree[n]
+        if not moved_any:
+            break
+        merged: dict[int, dict[int, float]] = {c: defaultdict(float) for c in set(own.values())}
+        for n, adj in weight.items():
+            for m, w in adj.items():
+                if own[n] != own[m] or n == m:
+                    merged[own[n]][own[m]] += w
+                else:
+                    merged[own[n]][own[n]] += w / 2
+        together: dict[int, list[int]] = defaultdict(list)
+        for n, c in own.items():
+            together[c] += members[n]
+        weight, members = merged, dict(together)
+    return {n: min(group) for group in members.values() for n in group}
+
+
+def modularity(edges, community):
+    degree, size, total, inside = defaultdict(float), defaultdict(float), 0.0, 0.0
+    for a, b, w in edges:
+        degree[a] += w
+        degree[b] += w
+        total += 2 * w
+        inside += 2 * w * (community[a] == community[b])
+    for n, d in degree.items():
+        size[community[n]] += d
+    return inside / total - sum((x / total) ** 2 for x in size.values())
+
+
+def test_communities_are_as_good_as_the_loop(spark):
+    """Groups that hang together loosely, a star, a node without edges; a source with a third of all rows."""
     clique = lambda ids: [(a, b, 1.0) for a in ids for b in ids if a < b]
-    edges = clique(range(5)) + clique(range(10, 15)) + [(0, 10, 0.1)]
-    found = communities.louvain(edges, [*range(5), *range(10, 15), 99])
+    graphs = {"cliques": (100, clique(range(5)) + clique(range(10, 15)) + [(0, 10, 0.1)]), "star": (41, [(0, i, 1.0) for i in range(1, 41)])}
+    for s in range(2):
+        rng = random.Random(s)
+        graphs[f"random {s}"] = (60, [(a, b, rng.choice([0.75, 0.9, 15.0])) for a in range(60) for b in range(a) if rng.random() < (0.4 if a % (4 + s) == b % (4 + s) else 0.03)])
+    members = spark.createDataFrame([(s, i) for s, (n, _) in graphs.items() for i in range(n)], "source string, id long")
+    edges = spark.createDataFrame([(s, a, b, w) for s, (_, es) in graphs.items() for a, b, w in es], "source string, id long, target long, weight double")
+    got = defaultdict(dict)
+    for r in communities.thread_communities(members, edges).collect():
+        got[r.source][r.id] = r.community
+    found = got["cliques"]
     assert {found[i] for i in range(5)} == {0} and {found[i] for i in range(10, 15)} == {10} and found[99] == 99
-    assert found == communities.louvain(edges, [*range(5), *range(10, 15), 99])
+    for s, (n, es) in graphs.items():
+        assert sorted(got[s]) == list(range(n)) and all(min(i for i in got[s] if got[s][i] == c) == c for c in set(got[s].values()))
+        assert modularity(es, got[s]) > 0.98 * modularity(es, louvain(es, list(range(n)))) - 1e-9
+
+
+class Counting:
+    """A provider that leaves a file for each call."""
+
+    def __init__(self, folder, fails=()):
+        self.folder, self.fails = str(folder), fails
+
+    def __call__(self, step, prompt, data):
+        open(f"{self.folder}/{uuid.uuid4().hex}", "w").write(prompt + data)
+        if prompt in self.fails:
+            raise ValueError(prompt)
+        return f"{step}: {prompt}{data}"
+
+
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    calls, answers = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+    df = spark.createDataFrame([(i, f"p{i % 7}", None if i % 2 else "d", 1) for i in range(200)], "id long, prompt string, data string, _k int").repartition(6)
+    quick = providers.Retry(attempts=1)
+    got = providers.call(df, Counting(calls), "ask", retry=quick).collect()
+    assert len(list(calls.iterdir())) == 14 and len(got) == 200
+    assert all(r.response == f"ask: {r.prompt}{r.data or ''}" for r in got)
+    # A failed call is asked again by the next run, an answered one isn't.
+    first = providers.call(df, Counting(calls, ("p3",)), "ask", retry=quick, answers=answers).collect()
+    assert len(list(calls.iterdir())) == 28 and all((r.response is None) == (r.prompt == "p3") for r in first)
+    again = providers.call(df, Counting(calls), "ask", retry=quick, answers=answers).collect()
+    assert len(list(calls.iterdir())) == 30 and all(r.response is not None for r in again) and len(again) == 200
 
 
 def make(spark, nodes, edges):
