@@ -236,31 +236,30 @@ def test_communities_are_as_good_as_the_loop(spark):
         assert modularity(es, got[s]) > 0.98 * modularity(es, louvain(es, list(range(n)))) - 1e-9
 
 
-class Counting:
+def counting(folder, fails=()):
     """A provider that leaves a file for each call."""
 
-    def __init__(self, folder, fails=()):
-        self.folder, self.fails = str(folder), fails
-
-    def __call__(self, step, prompt, data):
-        open(f"{self.folder}/{uuid.uuid4().hex}", "w").write(prompt + data)
-        if prompt in self.fails:
+    def provider(step, prompt, data):
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        if prompt in fails:
             raise ValueError(prompt)
         return f"{step}: {prompt}{data}"
 
+    return provider
+
 
 def test_equal_prompts_are_asked_once(spark, tmp_path):
     calls, answers = tmp_path / "calls", str(tmp_path / "answers")
     calls.mkdir()
     df = spark.createDataFrame([(i, f"p{i % 7}", None if i % 2 else "d", 1) for i in range(200)], "id long, prompt string, data string, _k int").repartition(6)
     quick = providers.Retry(attempts=1)
-    got = providers.call(df, Counting(calls), "ask", retry=quick).collect()
+    got = providers.call(df, counting(calls), "ask", retry=quick).collect()
     assert len(list(calls.iterdir())) == 14 and len(got) == 200
     assert all(r.response == f"ask: {r.prompt}{r.data or ''}" for r in got)
     # A failed call is asked again by the next run, an answered one isn't.
-    first = providers.call(df, Counting(calls, ("p3",)), "ask", retry=quick, answers=answers).collect()
+    first = providers.call(df, counting(calls, ("p3",)), "ask", retry=quick, answers=answers).collect()
     assert len(list(calls.iterdir())) == 28 and all((r.response is None) == (r.prompt == "p3") for r in first)
-    again = providers.call(df, Counting(calls), "ask", retry=quick, answers=answers).collect()
+    again = providers.call(df, counting(calls), "ask", retry=quick, answers=answers).collect()
     assert len(list(calls.iterdir())) == 30 and all(r.response is not None for r in again) and len(again) == 200
 
 
