@@ -104,15 +104,18 @@ def duplicate_clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFram
     return connected_components(pairs, a, b).withColumnRenamed("component", "cluster")
 
 
-def fold_actions(actions: Iterable[Any], present: set[str]) -> tuple[dict[str, str], dict[str, tuple[str, str, str, int]]]:
+def fold_actions(actions: Iterable[Any], present: set[str], log: list[tuple[int, list[str]]] | None = None) -> tuple[dict[str, str], dict[str, tuple[str, str, str, int]]]:
     """(old id -> final id, created id -> (base id, name, description, ord)) of ordered actions.
 
     Later actions see what earlier ones did: ids that are gone are passed over, an existing
-    unified id keeps its attributes, a new one takes those of its first id.
+    unified id keeps its attributes, a new one takes those of its first id. ``log`` receives each
+    action's ord and the ids that existed at its time.
     """
     alive, parent, created = set(present), {}, {}
     for action in actions:
         valid = [i for i in action.ids_to_merge if i in alive]
+        if log is not None:
+            log.append((action.ord, valid))
         if not valid:
             continue
         primary = action.unified_id
@@ -136,9 +139,44 @@ def fold_actions(actions: Iterable[Any], present: set[str]) -> tuple[dict[str, s
 
 
 def _fold(actions: pd.DataFrame, present: pd.DataFrame) -> pd.DataFrame:
-    final, created = fold_actions(actions.sort_values("ord").itertuples(), set(present["id"]))
-    rows = [(i, f, None, None, None, None) for i, f in final.items()] + [(base, None, i, name, desc, ord_) for i, (base, name, desc, ord_) in created.items()]
-    return pd.DataFrame(rows, columns=["id", "final", "new_id", "new_name", "new_desc", "ord"]).astype({"ord": "Int64"})
+    log: list[tuple[int, list[str]]] = []
+    final, created = fold_actions(actions.sort_values("ord").itertuples(), set(present["id"]), log)
+    rows = [(i, f, None, None, None, None, None) for i, f in final.items()] + [(base, None, i, name, desc, ord_, None) for i, (base, name, desc, ord_) in created.items()]
+    rows += [(None, None, None, None, None, ord_, valid) for ord_, valid in log]
+    return pd.DataFrame(rows, columns=["id", "final", "new_id", "new_name", "new_desc", "ord", "valid"]).astype({"ord": "Int64"})
+
+
+_ASKED = "is_duplicate and size(ids_to_merge) > 1 and unified_id is not null"
+
+
+def _folded(graph: Graph, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, folded): the actions that can be applied with their ``ord``, and what folding them by
+    component of their ids gives."""
+    asked = global_number(actions.where(_ASKED), ["seq"], "ord")
+    asked = cut_lineage(asked.select("seq", "ord", "ids_to_merge", "unified_id", "unified_name", "unified_desc"))
+    named = asked.select(F.col("unified_id").alias("src"), F.explode(F.array_union("ids_to_merge", F.array("unified_id"))).alias("dst"))
+    groups = cut_lineage(connected_components(named))
+    present = graph.nodes.select("id").join(groups.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
+    grouped = asked.drop("seq").join(groups.select(F.col("node").alias("unified_id"), "component"), "unified_id").groupBy("component")
+    schema = "id string, final string, new_id string, new_name string, new_desc string, ord bigint, valid array<string>"
+    return asked, cut_lineage(grouped.cogroup(present.groupBy("part")).applyInPandas(_fold, schema))
+
+
+def merge_outcomes(graph: Graph, actions: DataFrame) -> DataFrame:
+    """(seq, unified_id, valid_ids, outcome, reason): what became of each merge action.
+
+    ``valid_ids`` are those of its ids that existed at its time, after the actions before it. An action is
+    ``applied`` if there is one, with a reason if nothing was left to merge, else ``rejected`` with the reason.
+    """
+    asked, folded = _folded(graph, actions)
+    log = asked.select("ord", "seq", "unified_id").join(folded.where("valid is not null").select("ord", "valid"), "ord")
+    none = F.array().cast("array<string>")
+    gone = F.size("valid") == 0
+    idle = F.when(F.array_except("valid", F.array("unified_id")) == none, F.lit("nothing left to merge"))
+    done = log.select("seq", "unified_id", F.col("valid").alias("valid_ids"), F.when(gone, F.lit("rejected")).otherwise(F.lit("applied")).alias("outcome"), F.when(gone, F.lit("no id exists")).otherwise(idle).alias("reason"))
+    why = F.when(~F.coalesce("is_duplicate", F.lit(False)), F.lit("no duplicates")).when(F.col("unified_id").isNull(), F.lit("no unified id")).otherwise(F.lit("fewer than two ids"))
+    never = actions.where(f"not coalesce({_ASKED}, false)").select("seq", "unified_id", none.alias("valid_ids"), F.lit("rejected").alias("outcome"), why.alias("reason"))
+    return done.unionByName(never)
 
 
 def merge_nodes(graph: Graph, actions: DataFrame) -> Graph:
@@ -146,17 +184,11 @@ def merge_nodes(graph: Graph, actions: DataFrame) -> Graph:
     self-loops that arise stay and are flagged by ``merged_loop``.
 
     Actions that share no id don't see each other, so each component of ids is folded by itself,
-    in order. An action without a unified id is passed over.
+    in order. An action without a unified id is passed over. ``merge_outcomes`` tells what became of each.
     """
-    asked = global_number(actions.where("is_duplicate and size(ids_to_merge) > 1 and unified_id is not null"), ["seq"], "ord")
-    asked = cut_lineage(asked.select("ord", "ids_to_merge", "unified_id", "unified_name", "unified_desc"))
-    named = asked.select(F.col("unified_id").alias("src"), F.explode(F.array_union("ids_to_merge", F.array("unified_id"))).alias("dst"))
-    groups = cut_lineage(connected_components(named))
-    present = graph.nodes.select("id").join(groups.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
-    grouped = asked.join(groups.select(F.col("node").alias("unified_id"), "component"), "unified_id").groupBy("component")
-    folded = cut_lineage(grouped.cogroup(present.groupBy("part")).applyInPandas(_fold, "id string, final string, new_id string, new_name string, new_desc string, ord bigint"))
+    _, folded = _folded(graph, actions)
     idmap = folded.where("final is not null").select("id", "final")
-    moved = folded.where("new_id is not null").drop("final")
+    moved = folded.where("new_id is not null").drop("final", "valid")
     last = graph.nodes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
     fresh = graph.nodes.join(moved, "id").crossJoin(F.broadcast(last))
     changed = {"id": F.col("new_id"), "name": F.col("new_name"), "description": F.col("new_desc"), "seq": F.col("last") + 1 + F.col("ord")}

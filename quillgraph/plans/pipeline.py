@@ -82,6 +82,8 @@ def prepare(subgraphs: DataFrame, provider: providers.Provider, retry: providers
     graph = snapshots.keep_graph("united", combine(snapshots.keep("subgraphs", subgraphs)))
     actions = snapshots.keep("merge_actions", candidate_actions(graph, provider, retry=retry))
     merged = graph_ops.merge_nodes(graph, actions)
+    if snapshots.path is not None:
+        snapshots.keep("merge_outcomes", graph_ops.merge_outcomes(graph, actions))
     merged = snapshots.keep_graph("merged", graph_ops.Graph(cut_lineage(merged.nodes), cut_lineage(merged.edges)))
     return merged, snapshots.keep("conflicts", detect_conflicts(merged, provider, retry))
 

@@ -182,6 +182,26 @@ def merge_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.merge_nodes(_graph(spark, sf_dir), actions).nodes.select("id", "label", "name")
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS j, p_partkey + 1 IN (SELECT p_partkey FROM part) AS has_next, p_partkey - 1 IN (SELECT p_partkey FROM part) AS has_last FROM part),
+v AS (SELECT k, j, list_filter([CASE WHEN j = 0 OR j = 1 AND NOT has_last THEN 'part_' || k END, CASE WHEN j < 2 AND has_next THEN 'part_' || (k + 1) END], lambda x: x IS NOT NULL) AS ids FROM p)
+SELECT CAST(k AS BIGINT) AS seq, CASE WHEN j = 1 THEN 'merged_' || (k // 4) ELSE 'part_' || k END AS unified_id, array_to_string(ids, ', ') AS valid_ids,
+  CASE WHEN len(ids) > 0 THEN 'applied' ELSE 'rejected' END AS outcome,
+  CASE WHEN j = 3 THEN 'no duplicates' WHEN len(ids) = 0 THEN 'no id exists' WHEN j = 0 AND len(ids) = 1 THEN 'nothing left to merge' END AS reason FROM v""")
+def merge_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each action; of four parts the first takes the second, whose own action finds only the
+    third left, the third's finds nobody, and the fourth's is about no duplicates."""
+    k, name = F.col("p_partkey").cast("bigint"), lambda x: F.concat(F.lit("part_"), x.cast("string"))
+    actions = table(spark, sf_dir, "part").select(
+        (k % 4 != 3).alias("is_duplicate"),
+        F.when(k % 4 == 2, F.array(name(k), name(k - 1))).otherwise(F.array(name(k), name(k + 1))).alias("ids_to_merge"),
+        F.when(k % 4 == 1, F.concat(F.lit("merged_"), F.expr("p_partkey div 4").cast("string"))).otherwise(name(k)).alias("unified_id"),
+        F.lit("merged").alias("unified_name"),
+        F.lit("").alias("unified_desc"),
+        k.alias("seq"),
+    )
+    return g.merge_outcomes(_graph(spark, sf_dir), actions).withColumn("valid_ids", F.array_join("valid_ids", ", "))
+
+
 @query("""WITH e AS (SELECT replace(replace(lower(p_brand || ' ' || (p_size % 7)), ' ', '_'), '-', '_') AS id, p_name, p_partkey FROM part)
 SELECT id, arg_max(p_name, p_partkey) AS description, min(p_partkey) AS seq FROM e GROUP BY id""")
 def glossary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,6 +301,24 @@ def test_merge_keeps_edges_and_loops(spark):
     assert [(r.source, r.target, r.merged_loop) for r in out.edges.collect()] == [("c", "c", True)] * 3
 
 
+def test_outcomes_of_merge_actions(spark):
+    g = make(spark, [node(x) for x in "abcd"], [])
+    rows = [(True, ["a", "b"], "a", 1), (True, ["b", "c"], "new", 2), (True, ["a", "a"], "a", 3), (True, ["b", "x"], "y", 4), (True, ["d"], "d", 5), (None, ["c", "d"], "c", 6), (True, ["c", "d"], None, 7), (True, None, "d", 8)]
+    actions = spark.createDataFrame([(d, i, u, u, "", s) for d, i, u, s in rows], "is_duplicate boolean, ids_to_merge array<string>, unified_id string, unified_name string, unified_desc string, seq bigint")
+    got = {r.seq: (r.valid_ids, r.outcome, r.reason) for r in graph.merge_outcomes(g, actions).collect()}
+    assert got == {
+        1: (["a", "b"], "applied", None),
+        2: (["c"], "applied", None),
+        3: (["a", "a"], "applied", "nothing left to merge"),
+        4: ([], "rejected", "no id exists"),
+        5: ([], "rejected", "fewer than two ids"),
+        6: ([], "rejected", "no duplicates"),
+        7: ([], "rejected", "no unified id"),
+        8: ([], "rejected", "fewer than two ids"),
+    }
+    assert graph.merge_outcomes(g, actions.limit(0)).collect() == []
+
+
 def test_graphml_round_trip(spark, tmp_path):
     g = make(spark, [node('a<&">', "Person", "x & y"), node("b")], [('a<&">', "b", "MENTIONS"), ('a<&">', "b", "MENTIONS")])
     sinks.write_graphml(g.nodes, g.edges, str(tmp_path / "g"))
@@ -360,7 +378,7 @@ def test_modes_of_mining(spark):
 
 def test_snapshots_of_the_steps(spark, tmp_path):
     unified, _ = pipeline.run(chat.sample_chats(spark), retry=QUICK, snapshots=pipeline.Snapshots(str(tmp_path)))
-    names = {"subgraphs", "united_nodes", "united_edges", "merge_actions", "merged_nodes", "merged_edges", "conflicts", "section_facts"}
+    names = {"subgraphs", "united_nodes", "united_edges", "merge_actions", "merge_outcomes", "merged_nodes", "merged_edges", "conflicts", "section_facts"}
     assert {p.name for p in tmp_path.iterdir()} == names
     read = lambda name: [json.loads(r.value) for r in spark.read.text(str(tmp_path / name)).collect()]
     assert {n["id"] for n in read("merged_nodes")} <= {n["id"] for n in read("united_nodes")}
