@@ -6,18 +6,16 @@ evidence, seq). ``seq`` is insertion order, on which results depend.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text as text_fn
 from quillgraph.operators.components import connected_components
-from quillgraph.operators.ranges import global_number
+from quillgraph.operators.ranges import climb, global_number, hot_keys, meet, number_within, roots
 from quillgraph.session import cut_lineage
 
 
@@ -104,62 +102,71 @@ def duplicate_clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFram
     return connected_components(pairs, a, b).withColumnRenamed("component", "cluster")
 
 
-def fold_actions(actions: Iterable[Any], present: set[str], log: list[tuple[int, list[str]]] | None = None) -> tuple[dict[str, str], dict[str, tuple[str, str, str, int]]]:
-    """(old id -> final id, created id -> (base id, name, description, ord)) of ordered actions.
+_ASKED = "is_duplicate and size(ids_to_merge) > 1 and unified_id is not null"
 
-    Later actions see what earlier ones did: ids that are gone are passed over, an existing
-    unified id keeps its attributes, a new one takes those of its first id. ``log`` receives each
-    action's ord and the ids that existed at its time.
-    """
-    alive, parent, created = set(present), {}, {}
-    for action in actions:
-        valid = [i for i in action.ids_to_merge if i in alive]
-        if log is not None:
-            log.append((action.ord, valid))
-        if not valid:
-            continue
-        primary = action.unified_id
-        if primary not in alive:
-            base = valid[0]
-            ord_ = created[primary][3] if primary in created else action.ord
-            created[primary] = (created[base][0] if base in created else base, action.unified_name, action.unified_desc, ord_)
-            alive.add(primary)
-            parent.pop(primary, None)
-        for old in valid:
-            if old != primary:
-                alive.discard(old)
-                parent[old] = primary
-    final = {}
-    for old in parent:
-        at = parent[old]
-        while at in parent:
-            at = parent[at]
-        final[old] = at
-    return final, {i: c for i, c in created.items() if i in alive}
-
-
-def _fold(actions: pd.DataFrame, present: pd.DataFrame) -> pd.DataFrame:
-    log: list[tuple[int, list[str]]] = []
-    final, created = fold_actions(actions.sort_values("ord").itertuples(), set(present["id"]), log)
-    rows = [(i, f, None, None, None, None, None) for i, f in final.items()] + [(base, None, i, name, desc, ord_, None) for i, (base, name, desc, ord_) in created.items()]
-    rows += [(None, None, None, None, None, ord_, valid) for ord_, valid in log]
-    return pd.DataFrame(rows, columns=["id", "final", "new_id", "new_name", "new_desc", "ord", "valid"]).astype({"ord": "Int64"})
 
+def _asked(actions: DataFrame) -> DataFrame:
+    """The actions that can be applied, numbered (``ord``) in order."""
+    asked = global_number(actions.where(_ASKED), ["seq"], "ord")
+    return cut_lineage(asked.select("seq", "ord", "ids_to_merge", "unified_id", "unified_name", "unified_desc"))
 
-_ASKED = "is_duplicate and size(ids_to_merge) > 1 and unified_id is not null"
 
+def _mentions(graph: Graph, asked: DataFrame) -> DataFrame:
+    """(ord, id, unified, member, known, before, alive): an id that an action names, the action before that
+    named it (``before``, only if as its unified id), and whether the id exists at the action's time.
 
-def _folded(graph: Graph, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(asked, folded): the actions that can be applied with their ``ord``, and what folding them by
-    component of their ids gives."""
-    asked = global_number(actions.where(_ASKED), ["seq"], "ord")
-    asked = cut_lineage(asked.select("seq", "ord", "ids_to_merge", "unified_id", "unified_name", "unified_desc"))
-    named = asked.select(F.col("unified_id").alias("src"), F.explode(F.array_union("ids_to_merge", F.array("unified_id"))).alias("dst"))
-    groups = cut_lineage(connected_components(named))
-    present = graph.nodes.select("id").join(groups.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
-    grouped = asked.drop("seq").join(groups.select(F.col("node").alias("unified_id"), "component"), "unified_id").groupBy("component")
-    schema = "id string, final string, new_id string, new_name string, new_desc string, ord bigint, valid array<string>"
-    return asked, cut_lineage(grouped.cogroup(present.groupBy("part")).applyInPandas(_fold, schema))
+    An id named before is gone if it was merged away there. If it was the unified id it exists if any id of that
+    action did. An action's unified id is next named by one action, so these links are a forest.
+    """
+    named = asked.select("ord", "unified_id", "ids_to_merge", F.explode(F.array_union("ids_to_merge", F.array("unified_id"))).alias("id")).where("id is not null")
+    named = named.select("ord", "id", (F.col("id") == F.col("unified_id")).alias("unified"), F.coalesce(F.array_contains("ids_to_merge", F.col("id")), F.lit(False)).alias("member"))
+    placed = cut_lineage(number_within(named, ["id"], ["ord"]))
+    last = placed.select("id", (F.col("rn") + 1).alias("rn"), F.col("ord").alias("_last"), F.col("unified").alias("_kept"))
+    # Only its first mention asks whether a node is given, so no id meets the nodes more than once.
+    present = graph.nodes.select("id", F.lit(1).cast("bigint").alias("rn")).distinct().withColumn("_present", F.lit(True))
+    linked = placed.join(last, ["id", "rn"], "left").join(present, ["id", "rn"], "left")
+    linked = cut_lineage(linked.select("ord", "id", "unified", "member", F.coalesce("_present", F.lit(False)).alias("known"), F.when(F.col("_kept"), F.col("_last")).alias("before")))
+    links = linked.where("before is not null").select(F.col("before").alias("child"), F.col("ord").alias("parent"))
+    exists = climb(links, linked.where("known").select(F.col("ord").alias("child")).distinct())
+    exists = exists.select(F.col("child").alias("before"), F.lit(True).alias("_exists"))
+    later = linked.where("before is not null").join(exists, "before", "left").withColumn("alive", F.coalesce("_exists", F.lit(False))).drop("_exists")
+    return cut_lineage(linked.where("before is null").withColumn("alive", F.col("known")).unionByName(later))
+
+
+def _valid(asked: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The actions with ``valid``: those of their ids that exist at their time, in their order."""
+    alive = mentions.where("member and alive").groupBy("ord").agg(F.collect_set("id").alias("_alive"))
+    own = F.filter("ids_to_merge", lambda x: F.array_contains("_alive", x))
+    return asked.join(alive, "ord", "left").withColumn("valid", F.coalesce(own, F.array().cast("array<string>"))).drop("_alive")
+
+
+def _origins(valid: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(new_id, id, name, description, ord): nodes that actions made and that are there in the end, with the given
+    node (``id``) whose other attributes they have: that of their first id, followed back to where it came from."""
+    unified = mentions.where("unified").select("ord", F.col("alive").alias("_had"))
+    merged = valid.where("size(valid) > 0").join(unified, "ord")
+    kept = unified.where("_had").join(valid.where("size(valid) = 0").select("ord", "unified_id"), "ord").select("ord", F.col("unified_id").alias("id"))
+    basis = merged.select("ord", F.when(F.col("_had"), F.col("unified_id")).otherwise(F.col("valid")[0]).alias("id")).unionByName(kept)
+    steps = cut_lineage(basis.join(mentions.select("ord", "id", "before"), ["ord", "id"]))
+    back = roots(steps.where("before is not null").select(F.col("ord").alias("child"), F.col("before").alias("parent")))
+    gone = mentions.where("not unified").groupBy(F.col("id").alias("unified_id")).agg(F.max("ord").alias("_gone"))
+    made = merged.where("not _had").groupBy("unified_id").agg(F.max_by(F.struct("unified_name", "unified_desc", "ord"), "ord").alias("_m")).select("unified_id", "_m.*")
+    made = made.join(gone, "unified_id", "left").where("_gone is null or ord > _gone")
+    made = made.join(back.withColumnRenamed("child", "ord"), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
+    first = steps.where("before is null").select(F.col("ord").alias("root"), "id")
+    rows = made.select("root", F.col("unified_id").alias("new_id"), F.col("unified_name").alias("name"), F.col("unified_desc").alias("description"), "ord")
+    return rows.join(first, "root").drop("root")
+
+
+def _finals(asked: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, final): where the given nodes' edges end up. What an action keeps is what the next action that names
+    its unified id keeps, so a node goes with the last such action after the first that names it."""
+    ahead = roots(mentions.where("before is not null").select(F.col("before").alias("child"), F.col("ord").alias("parent")))
+    starts = mentions.where("known").select("id", F.col("ord").alias("child"))
+    ends = cut_lineage(starts.join(ahead, "child", "left").select("id", F.coalesce("root", "child").alias("ord")))
+    # An action can be the end of most nodes.
+    hot = hot_keys(ends, "ord", ends.count())
+    return meet(ends, asked.select("ord", F.col("unified_id").alias("final")), "ord", hot).where("id <> final").select("id", "final")
 
 
 def merge_outcomes(graph: Graph, actions: DataFrame) -> DataFrame:
@@ -168,8 +175,8 @@ def merge_outcomes(graph: Graph, actions: DataFrame) -> DataFrame:
     ``valid_ids`` are those of its ids that existed at its time, after the actions before it. An action is
     ``applied`` if there is one, with a reason if nothing was left to merge, else ``rejected`` with the reason.
     """
-    asked, folded = _folded(graph, actions)
-    log = asked.select("ord", "seq", "unified_id").join(folded.where("valid is not null").select("ord", "valid"), "ord")
+    asked = _asked(actions)
+    log = _valid(asked, _mentions(graph, asked))
     none = F.array().cast("array<string>")
     gone = F.size("valid") == 0
     idle = F.when(F.array_except("valid", F.array("unified_id")) == none, F.lit("nothing left to merge"))
@@ -183,17 +190,21 @@ def merge_nodes(graph: Graph, actions: DataFrame) -> Graph:
     """Apply ordered merge actions (schema MERGE_ACTION and ``seq``): edges keep their number,
     self-loops that arise stay and are flagged by ``merged_loop``.
 
-    Actions that share no id don't see each other, so each component of ids is folded by itself,
-    in order. An action without a unified id is passed over. ``merge_outcomes`` tells what became of each.
+    Later actions see what earlier ones did: ids that are gone are passed over, a unified id that exists keeps its
+    attributes, a new one takes those of its first id and a place after all others. An id that was merged away and
+    made again is a new node: edges stay with what took the old one. An action without a unified id is passed over.
+    Nothing is folded in order: ids by time are linked and followed by pointer jumping, so neither an id that most
+    actions name nor a chain through all of them is one task. ``merge_outcomes`` tells what became of each action.
     """
-    _, folded = _folded(graph, actions)
-    idmap = folded.where("final is not null").select("id", "final")
-    moved = folded.where("new_id is not null").drop("final", "valid")
+    asked = _asked(actions)
+    mentions = _mentions(graph, asked)
+    moved = _origins(_valid(asked, mentions), mentions)
     last = graph.nodes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    fresh = graph.nodes.join(moved, "id").crossJoin(F.broadcast(last))
+    fresh = graph.nodes.join(moved.select("id", "new_id", F.col("name").alias("new_name"), F.col("description").alias("new_desc"), "ord"), "id").crossJoin(F.broadcast(last))
     changed = {"id": F.col("new_id"), "name": F.col("new_name"), "description": F.col("new_desc"), "seq": F.col("last") + 1 + F.col("ord")}
     fresh = fresh.select(*[changed.get(c, F.col(c)).alias(c) for c in graph.nodes.columns])
-    return Graph(graph.nodes.join(idmap, "id", "left_anti").unionByName(fresh), relabel(graph.edges, idmap))
+    away = mentions.where("not unified").select("id").distinct()
+    return Graph(graph.nodes.join(away, "id", "left_anti").unionByName(fresh), relabel(graph.edges, _finals(asked, mentions)))
 
 
 def relabel(edges: DataFrame, idmap: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from quillgraph.session import cut_lineage
 HOT = 1000
 #: Rows of a key that are summed together before their sums are.
 CHUNK = 4096
+#: So many links of one parent are no burden to a task.
+FEW = 100_000
 _EARLIER = (Window.unboundedPreceding, -1)
 
 
@@ -73,3 +75,34 @@ def meet(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame) -> DataFr
 def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
     """Keys with more than one in HOT of ``total`` rows."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(total) / HOT).select(key)
+
+
+def _jumped(links: DataFrame, values: DataFrame, n: int) -> DataFrame:
+    """``n`` links whose parent is looked up in ``values`` (parent and more). A parent can have no more links
+    than there are, so only many are looked at for hot ones."""
+    return links.join(values, "parent") if n <= FEW else meet(links, values, "parent", hot_keys(links, "parent", n))
+
+
+def climb(links: DataFrame, marked: DataFrame) -> DataFrame:
+    """``marked`` (child) and all that lies above it in a forest of links (child, parent), one link a child.
+
+    Links are doubled in length each round, so rounds grow with the logarithm of the depth.
+    """
+    while n := links.count():
+        above = marked.join(links, "child").select(F.col("parent").alias("child"))
+        marked = cut_lineage(marked.unionByName(above).distinct())
+        ups = links.select(F.col("child").alias("parent"), F.col("parent").alias("_up"))
+        links = cut_lineage(_jumped(links, ups, n).select("child", F.col("_up").alias("parent")))
+    return marked
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(child, root) of a forest of links (child, parent), one link a child: the last parent, found by
+    pointer jumping. A link that has reached its root waits for nobody and isn't joined again."""
+    inner = links.select(F.col("child").alias("parent"), F.lit(True).alias("_inner"))
+    links = cut_lineage(links.join(inner, "parent", "left").select("child", "parent", F.col("_inner").isNull().alias("done")))
+    while n := links.where("not done").count():
+        ups = links.select(F.col("child").alias("parent"), F.col("parent").alias("_up"), F.col("done").alias("_done"))
+        jumped = _jumped(links.where("not done").select("child", "parent"), ups, n).select("child", F.col("_up").alias("parent"), F.col("_done").alias("done"))
+        links = cut_lineage(links.where("done").unionByName(jumped))
+    return links.select("child", F.col("parent").alias("root"))

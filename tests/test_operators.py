@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from quillgraph import schemas
 from quillgraph.functions import providers, votes
 from quillgraph.functions import text as text_fn
-from quillgraph.operators import communities, components, decisions, graph, similarity, threads, windows
+from quillgraph.operators import communities, components, decisions, graph, ranges, similarity, threads, windows
 from quillgraph.plans import mining, pipeline
 from quillgraph.sources import chat, sinks
 
@@ -301,6 +302,62 @@ def test_merge_keeps_edges_and_loops(spark):
     assert [(r.source, r.target, r.merged_loop) for r in out.edges.collect()] == [("c", "c", True)] * 3
 
 
+MERGES = "is_duplicate boolean, ids_to_merge array<string>, unified_id string, unified_name string, unified_desc string, seq bigint"
+
+
+def merged_one_by_one(ids, edges, rows):
+    """Nodes (id -> (given node, name)), edges and valid ids of merge actions applied in order, one at a time."""
+    nodes, ends, log = {i: (i, i) for i in ids}, [list(e) for e in edges], {}
+    for _, named, unified, name, _, seq in rows:
+        log[seq] = valid = [i for i in named if i in nodes]
+        if valid and unified not in nodes:
+            nodes[unified] = (nodes[valid[0]][0], name)
+        for old in set(valid) - {unified}:
+            ends = [[unified if x == old else x for x in e] for e in ends]
+            del nodes[old]
+    return nodes, ends, log
+
+
+def same_merges(spark, ids, edges, rows):
+    labelled = [(i, schemas.NODE_LABELS[n % 3], i, "", None, n) for n, i in enumerate(ids)]
+    nodes = spark.createDataFrame(labelled, "id string, label string, name string, description string, target_section string, seq bigint")
+    links = spark.createDataFrame([(a, b, "MENTIONS", "", n) for n, (a, b) in enumerate(edges)], "source string, target string, relation string, evidence string, seq bigint")
+    g, actions = graph.Graph(nodes, links), spark.createDataFrame(rows, MERGES)
+    want, ends, log = merged_one_by_one(ids, edges, rows)
+    out, label = graph.merge_nodes(g, actions), {r[0]: r[1] for r in labelled}
+    assert sorted((r.id, r.name, r.label) for r in out.nodes.collect()) == sorted((i, name, label[base]) for i, (base, name) in want.items())
+    assert [[r.source, r.target] for r in out.edges.orderBy("seq").collect()] == ends
+    assert {r.seq: r.valid_ids for r in graph.merge_outcomes(g, actions).collect()} == log
+    # Made nodes come after the given ones, in the order of the actions that made them.
+    made = [r.id for r in out.nodes.orderBy("seq").collect() if r.id not in ids]
+    assert made == [i for i in want if i not in ids]
+
+
+def test_merge_actions_as_one_by_one(spark):
+    rng = random.Random(5)
+    ids = [f"n{i}" for i in range(14)]
+    names = ids + [f"m{i}" for i in range(4)]
+    edges = [tuple(rng.choices(ids, k=2)) for _ in range(40)]
+    rows = []
+    for n in range(40):
+        # A third of the actions name one id; some ids come back after they were merged away.
+        named = rng.choices(names, k=rng.randint(2, 3)) + ["n0"] * (n % 3 == 0)
+        unified = rng.choice(named if rng.random() < 0.5 else names)
+        rows.append((True, named, unified, f"{unified} of {n}", "", n))
+    same_merges(spark, ids, edges, rows)
+
+
+def test_merge_actions_in_one_chain(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "FEW", 0)
+    ids = [f"n{i:03}" for i in range(40)]
+    ring = list(zip(ids, ids[1:] + ids[:1], strict=True))
+    # A chain, then one id that takes another forty, and comes back at the end.
+    rows = [(True, [a, b], b, b, "", n - 100) for n, (a, b) in enumerate(ring[:-1])]
+    rows += [(True, ["n000", x], "n000", "n000", "", n) for n, x in enumerate(["n039", *(f"x{i}" for i in range(40))])]
+    ids += [f"x{i}" for i in range(40)]
+    same_merges(spark, ids, ring, [*rows, (True, ["n000", "gone"], "all", "all", "", 300), (True, ["n000", "all"], "n000", "again", "", 301)])
+
+
 def test_outcomes_of_merge_actions(spark):
     g = make(spark, [node(x) for x in "abcd"], [])
     rows = [(True, ["a", "b"], "a", 1), (True, ["b", "c"], "new", 2), (True, ["a", "a"], "a", 3), (True, ["b", "x"], "y", 4), (True, ["d"], "d", 5), (None, ["c", "d"], "c", 6), (True, ["c", "d"], None, 7), (True, None, "d", 8)]
