@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import _shared
+from quillgraph.llm.line_dedup import marked
 
 K = 3
 #: Diagonals this near belong to one span; so many words may be put in or left out at one place.
@@ -330,9 +331,12 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     votes = votes.where(F.col("votes") >= F.get(F.array(*map(F.lit, asked or [1])), F.col("template")))
     # As many as a text has words times the templates, at most.
     found = votes.groupBy("_row").agg(F.collect_list(F.struct("template", "diagonal", "low", "high", "votes")).alias("found"))
-    # Written first: Spark then knows its size, and broadcasts it only within its own limit.
+    # Written first: Spark then knows its size, and broadcasts it only within its own limit. Beyond it only the
+    # texts that a bitmap marks as having diagonals are shuffled; the others are read and scanned where they lie.
     found = _shared.materialize(found, "diagonals")
-    joined = rows.join(found, "_row", "left").select("doc_id", "text", "found")
+    near = marked(spark, found)
+    some = rows.where(near).join(found, "_row", "left").select("doc_id", "text", "found")
+    joined = some.unionByName(rows.where(~near).select("doc_id", "text", F.lit(None).cast(some.schema["found"].dataType).alias("found")))
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,cover:double>>"
     return joined.mapInArrow(check, schema)
 

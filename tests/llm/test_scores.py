@@ -240,6 +240,24 @@ def test_op6_spans_equal_brute_force(spark, seed):
             assert not any(s.cover >= 0.8 for s in r.spans if s.end - s.start > 30)
 
 
+def test_op6_shuffles_marked_texts_alone(spark):
+    licence = license_scan.TEMPLATES[1][1]
+    rows = [(i, f"{licence} {i}" if i % 10 == 0 else f"plain words of text {i} and no licence at all") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(license_scan.scan(docs).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = license_scan.scan(docs)
+        assert sorted(out.collect()) == want and sum(r.labels != "" for r in want) == 20
+        plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The side with texts passes the bitmap before it meets the diagonals; the other branch has no such join.
+    joins = [n for n, line in enumerate(plan) if "Join LeftOuter" in line]
+    assert len(joins) == 1 and any("Union" in line for line in plan[: joins[0]])
+    assert "held(" in "".join(plan[joins[0] + 1 : joins[0] + 6])
+
+
 def test_op6_corner_cases(odd_docs, no_docs):
     rows = license_scan.scan(odd_docs).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted((str(r.doc_id), brute_license(r.text)[0]) for r in odd_docs.collect())
