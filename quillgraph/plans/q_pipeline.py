@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions.providers import Rules
+from quillgraph.functions.providers import Retry, Rules
 from quillgraph.operators import graph as g
 from quillgraph.plans import mining, pipeline, q_decisions, q_graph
 from quillgraph.plans.registry import query, table
@@ -85,6 +85,21 @@ def finalized_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.array_join("conflicting_values", ", ").alias("option_names"), "description")
 
 
+class Editor(Rules):
+    """Rules that put a heading before a section's facts and fail on one section."""
+
+    def __call__(self, step: str, prompt: str, data: str) -> str:
+        if step == "section" and prompt == "ui_ux":
+            raise ConnectionError("no answer")
+        return f"### {prompt}\n{super().__call__(step, prompt, data)}"
+
+
+@query(f"""WITH {q_graph.FACTS} SELECT ord, title, section_id, '### ' || section_id || chr(10) || facts AS content_markdown FROM f WHERE section_id <> 'ui_ux'""")
+def compiled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each section's text as a provider writes it from its facts; a section whose call fails is left out."""
+    return pipeline.compile_sections(q_graph._sectioned(spark, sf_dir), Editor(), Retry(attempts=2, first_delay=0.0))
+
+
 class Strict(Rules):
     """Rules whose critique takes out one component and what the second clerk says of another."""
 
