@@ -102,6 +102,14 @@ def duplicate_clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFram
     return connected_components(pairs, a, b).withColumnRenamed("component", "cluster")
 
 
+def class_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, cluster) like ``duplicate_clusters``, from ``similar_classes``: only representatives are linked, and
+    as each is the smallest of its class, a cluster has the smallest id of all its rows."""
+    found = duplicate_clusters(pairs).select(F.col("node").alias("rep"), "cluster")
+    placed = members.join(found, "rep", "left").where("cluster is not null or size > 1")
+    return placed.select(F.col("id").alias("node"), F.coalesce("cluster", "rep").alias("cluster"))
+
+
 _ASKED = "is_duplicate and size(ids_to_merge) > 1 and unified_id is not null"
 
 
@@ -118,8 +126,11 @@ def _mentions(graph: Graph, asked: DataFrame) -> DataFrame:
     An id named before is gone if it was merged away there. If it was the unified id it exists if any id of that
     action did. An action's unified id is next named by one action, so these links are a forest.
     """
-    named = asked.select("ord", "unified_id", "ids_to_merge", F.explode(F.array_union("ids_to_merge", F.array("unified_id"))).alias("id")).where("id is not null")
-    named = named.select("ord", "id", (F.col("id") == F.col("unified_id")).alias("unified"), F.coalesce(F.array_contains("ids_to_merge", F.col("id")), F.lit(False)).alias("member"))
+    # No exploded row carries its action's ids or searches them: an action may name thousands.
+    members = asked.select("ord", "unified_id", F.explode(F.array_distinct("ids_to_merge")).alias("id")).where("id is not null")
+    members = members.select("ord", "id", (F.col("id") == F.col("unified_id")).alias("unified"), F.lit(True).alias("member"))
+    others = asked.where(~F.coalesce(F.array_contains("ids_to_merge", F.col("unified_id")), F.lit(False)))
+    named = members.unionByName(others.select("ord", F.col("unified_id").alias("id"), F.lit(True).alias("unified"), F.lit(False).alias("member")))
     placed = cut_lineage(number_within(named, ["id"], ["ord"]))
     last = placed.select("id", (F.col("rn") + 1).alias("rn"), F.col("ord").alias("_last"), F.col("unified").alias("_kept"))
     # Only its first mention asks whether a node is given, so no id meets the nodes more than once.
@@ -135,9 +146,11 @@ def _mentions(graph: Graph, asked: DataFrame) -> DataFrame:
 
 def _valid(asked: DataFrame, mentions: DataFrame) -> DataFrame:
     """The actions with ``valid``: those of their ids that exist at their time, in their order."""
-    alive = mentions.where("member and alive").groupBy("ord").agg(F.collect_set("id").alias("_alive"))
-    own = F.filter("ids_to_merge", lambda x: F.array_contains("_alive", x))
-    return asked.join(alive, "ord", "left").withColumn("valid", F.coalesce(own, F.array().cast("array<string>"))).drop("_alive")
+    named = asked.select("ord", F.posexplode("ids_to_merge").alias("_at", "id"))
+    alive = named.join(mentions.where("member and alive").select("ord", "id"), ["ord", "id"])
+    own = alive.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("_at", "id"))).alias("_own"))
+    ids = F.transform("_own", lambda x: x["id"])
+    return asked.join(own, "ord", "left").withColumn("valid", F.coalesce(ids, F.array().cast("array<string>"))).drop("_own")
 
 
 def _origins(valid: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.vectors import cosine
+from quillgraph.functions.vectors import cosine, norm
+from quillgraph.operators.ranges import HOT, meet
 from quillgraph.session import cut_lineage
 
 # A fixed value: least similarity of duplicates.
@@ -60,6 +61,29 @@ def similar_pairs(rows: DataFrame, threshold: float = DUPLICATE_SIMILARITY, bloc
     return dealt.groupBy("label", "x", "y").applyInArrow(multiply, schema).where(F.col("similarity") >= threshold)
 
 
+def similar_classes(rows: DataFrame, threshold: float = DUPLICATE_SIMILARITY, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): (label, id, rep, size) of each row with a vector, and ``similar_pairs`` of representatives.
+
+    Rows of a label with equal vectors are a class (128 bits of hash decide) of ``size`` rows, and its smallest id
+    represents it. Their similarity is 1, so copies aren't expanded into pairs. A zero vector or one
+    without a finite norm is like no other and a class of its own; so is any row if ``threshold`` is above 1.
+    """
+    length = norm(F.col("vec"))
+    own = ~F.coalesce((length > 0) & (length < float("inf")), F.lit(False)) | F.lit(threshold > 1)
+    kept = rows.where("vec is not null").select("label", "id", "vec")
+    # The label may be NULL, which joins nothing, so it is hashed with the vector.
+    marks = [F.xxhash64(F.lit(n), "label", "vec", F.when(own, F.col("id"))).alias(f"_h{n}") for n in (1, 2)]
+    keyed = cut_lineage(kept.select("label", "id", "vec", *marks))
+    classes = cut_lineage(keyed.groupBy("_h1", "_h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    reps = keyed.join(classes.select("_h1", "_h2", F.col("rep").alias("id")), ["_h1", "_h2", "id"], "left_semi")
+    total = keyed.count()
+    # A class can have most rows.
+    hot = classes.where(F.col("size") > F.lit(total) / HOT).select(F.struct("_h1", "_h2").alias("_h"))
+    mark = F.struct("_h1", "_h2").alias("_h")
+    members = meet(keyed.select(mark, "label", "id"), classes.select(mark, "rep", "size"), "_h", hot)
+    return members.select("label", "id", "rep", "size"), similar_pairs(reps.select("label", "id", "vec"), threshold, block_rows)
+
+
 @dataclass(frozen=True)
 class Bands:
     """Sign hashes of random hyperplanes: ``bands`` keys of ``bits`` signs each."""

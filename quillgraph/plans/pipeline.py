@@ -61,8 +61,8 @@ def combine(subgraphs: DataFrame) -> graph_ops.Graph:
 def candidate_actions(graph: graph_ops.Graph, provider: providers.Provider, embed=hashed_embeddings, threshold: float = similarity.DUPLICATE_SIMILARITY, retry: providers.Retry = providers.Retry()) -> DataFrame:
     """Ordered merge actions: similar pairs of a label, their clusters, a provider's verdict."""
     texts = embed(graph_ops.candidate_texts(graph.nodes))
-    pairs = similarity.similar_pairs(texts.select("label", "id", "vec"), threshold)
-    clusters = graph_ops.duplicate_clusters(pairs)
+    members, pairs = similarity.similar_classes(texts.select("label", "id", "vec"), threshold)
+    clusters = graph_ops.class_clusters(members, pairs)
     full = clusters.join(graph.nodes, clusters["node"] == graph.nodes["id"])
     member = F.struct("seq", "id", "name", "description")
     data = full.groupBy("cluster").agg(F.min("seq").alias("seq"), F.to_json(F.array_sort(F.collect_list(member))).alias("data")).withColumn("prompt", F.lit(""))

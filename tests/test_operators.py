@@ -125,6 +125,25 @@ def test_similar_pairs_in_blocks(spark):
     assert {(r.a, r.b) for r in similarity.lsh_pairs(df, 0.9).collect()} <= whole
 
 
+def test_copies_are_clustered_without_their_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    seen = []
+    pairs_of = similarity.similar_pairs
+    monkeypatch.setattr(similarity, "similar_pairs", lambda rows, *a: (seen.append(rows.count()), pairs_of(rows, *a))[1])
+    vecs = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(20)] + [[0.0, 0.0, 0.0], [float("inf"), 0.0, 1.0]]
+    rows = [((n % 3, None)[n == 4], f"n{i:03}", n) for i, n in enumerate(rng.choices(range(22), k=300))] + [(0, "none", None)]
+    df = spark.createDataFrame([(k, i, None if n is None else vecs[n]) for k, i, n in rows], "label int, id string, vec array<double>")
+    got = {(r.node, r.cluster) for r in graph.class_clusters(*similarity.similar_classes(df, 0.9)).collect()}
+    # Only the zero and the infinite vector, which are like nothing, and one row a class are compared.
+    assert seen == [20 + sum(n in (20, 21) for *_, n in rows)]
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    near = {(a, b) for a in range(20) for b in range(20) if a % 3 == b % 3 and 4 not in (a, b) and unit(vecs[a]) @ unit(vecs[b]) >= 0.9} | {(4, 4)}
+    links = [(i, j) for _, i, n in rows for _, j, m in rows if i < j and (n, m) in near]
+    want = {(r.node, r.cluster) for r in graph.duplicate_clusters(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == want and len({c for _, c in got}) < 20
+    assert graph.class_clusters(*similarity.similar_classes(df, 1.5)).collect() == []
+
+
 @pytest.mark.parametrize("block_rows", [2048, 3])
 def test_hashing_finds_pairs_without_comparing_all(spark, block_rows):
     """Pairs of 0.88 to 0.95, just above the threshold, among unrelated vectors, and a group of copies."""
