@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.votes import RUSSIAN, VoteLexicon
-from quillgraph.session import cut_lineage
+from quillgraph.session import batches_of, cut_lineage
 
 Provider = Callable[[str, str, str], str]
 
@@ -47,6 +47,8 @@ class Retry:
 
 #: Calls that one task has in flight at once.
 IN_FLIGHT = 8
+#: Prompts that a task holds at once, with their answers.
+BATCH = 256
 
 
 def call(
@@ -84,7 +86,8 @@ def call(
                 found = pool.map(lambda row: retry.call(provider, step, *row), zip(batch["prompt"], batch["data"], strict=True))
                 yield pd.DataFrame({"_key": batch["_key"], "answer": pd.Series(list(found), index=batch.index, dtype=object)})
 
-    fresh = cut_lineage(asked.select("_key", "prompt", "data").mapInPandas(run, "_key string, answer string"))
+    with batches_of(df.sparkSession, BATCH):
+        fresh = cut_lineage(asked.select("_key", "prompt", "data").mapInPandas(run, "_key string, answer string"))
     if answers is not None:
         fresh.write.mode("append").parquet(answers)
     found = fresh if known is None else fresh.unionByName(known)
@@ -161,7 +164,8 @@ class Rules:
 
     def found(self, text: str) -> list[tuple[str, str]]:
         low = text.lower()
-        return [(name, label) for name, label in self.dictionary.items() if re.search(rf"(?<!\w){re.escape(name.lower())}(?!\w)", low)]
+        # A plain search goes first: most texts hold few of the words.
+        return [(name, label) for name, label in self.dictionary.items() if (word := name.lower()) in low and re.search(rf"(?<!\w){re.escape(word)}(?!\w)", low)]
 
     def lines(self, text: str) -> list[tuple[str, str, str]]:
         return [(m[1].strip(), m[2], m[3]) for line in text.split("\n") if (m := _LINE.match(line))]
