@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from quillgraph.functions import providers, votes
 from quillgraph.functions import text as text_fn
 from quillgraph.functions.embeddings import hashed_embeddings
 from quillgraph.operators import threads, windows
-from quillgraph.session import cut_lineage
+from quillgraph.session import batches_of, cut_lineage
 
 
 def rendered(messages: DataFrame, lexicon: votes.VoteLexicon = votes.RUSSIAN) -> DataFrame:
@@ -66,51 +68,60 @@ def mine_parallel(windows_df: DataFrame, provider: providers.Provider, retry: pr
 def mine_in_order(windows_df: DataFrame, provider: providers.Provider, retry: providers.Retry = providers.Retry()) -> DataFrame:
     """The same with carried state: a project's windows in order, each seeing the glossary and
     memory its predecessors left. One task a project, as every prompt needs the one before;
-    ``windows_df`` has ``project``. A window whose calls fail is left out."""
-
-    def project(pdf: pd.DataFrame) -> pd.DataFrame:
-        glossary: dict[str, dict] = {}
-        memory: dict = {}
-        out = []
-
-        def ask(step: str, prompt: str, data: str) -> dict:
-            """The provider's answer; one that fails or is no JSON object is empty."""
-            try:
-                found = json.loads(retry.call(provider, step, prompt, data) or "{}")
-            except ValueError:
-                return {}
-            return found if isinstance(found, dict) else {}
-
-        for row in pdf.sort_values(["source_seq", "thread_idx", "window_idx"]).itertuples():
-            for entity in ask("entities", "", row.window_text).get("entities") or []:
-                own = str(entity.get("name") or "").lower().replace(" ", "_").replace("-", "_")
-                link = ask("link", "", json.dumps([entity.get("name"), sorted(glossary)], ensure_ascii=False)) if glossary and own else {}
-                # What the provider knows by another name, or by its own, keeps its entry.
-                if own and not (link.get("is_duplicate") and link.get("target_global_id")):
-                    glossary[own] = {"id": own, **entity}
-            graph = ask("graph", json.dumps({"glossary": list(glossary), "memory": memory}, ensure_ascii=False), row.window_text)
-            if "nodes" not in graph or "edges" not in graph:
-                continue
-            fixes = [x for x in ask("critique", "", json.dumps(graph, ensure_ascii=False)).get("fixes") or [] if isinstance(x, dict)]
-            gone = {x.get("node_id") for x in fixes if x.get("action") == "remove_node"}
-            cut = {(x.get("edge_source"), x.get("edge_target")) for x in fixes if x.get("action") == "remove_edge"}
-            kept = [n for n in graph["nodes"] if n["id"] not in gone]
-            memory = ask("memory", "", json.dumps({**graph, "nodes": kept}, ensure_ascii=False))
-            for n in kept:
-                if n.get("label") == "Decision":  # decisions name themselves
-                    glossary.setdefault(n["id"], {k: n.get(k) for k in ("id", "name", "label", "description")})
-            nodes = [n for n in kept if n["id"] in glossary]
-            ids = {n["id"] for n in nodes}
-            edges = [e for e in graph["edges"] if e["source"] != e["target"] and {e["source"], e["target"]} <= ids and (e["source"], e["target"]) not in cut]
-            out.append((row.source, row.window_ref, row.thread_idx, row.window_idx, *[json.dumps(x, ensure_ascii=False) for x in (nodes, edges, fixes)]))
-        return pd.DataFrame(out, columns=["source", "window_ref", "thread_idx", "window_idx", "nodes", "edges", "fixes"])
-
-    rows = windows_df.groupBy("project").applyInPandas(project, "source string, window_ref string, thread_idx bigint, window_idx bigint, nodes string, edges string, fixes string")
+    ``windows_df`` has ``project``. A window whose calls fail is left out.
+
+    Windows stream through a task in order, so it holds a batch of them and what is carried, never a project."""
+
+    def ask(step: str, prompt: str, data: str) -> dict:
+        """The provider's answer; one that fails or is no JSON object is empty."""
+        try:
+            found = json.loads(retry.call(provider, step, prompt, data) or "{}")
+        except ValueError:
+            return {}
+        return found if isinstance(found, dict) else {}
+
+    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, glossary, memory = None, {}, {}
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.project_key != current:
+                    current, glossary, memory = row.project_key, {}, {}
+                for entity in ask("entities", "", row.window_text).get("entities") or []:
+                    own = str(entity.get("name") or "").lower().replace(" ", "_").replace("-", "_")
+                    link = ask("link", "", json.dumps([entity.get("name"), sorted(glossary)], ensure_ascii=False)) if glossary and own else {}
+                    # What the provider knows by another name, or by its own, keeps its entry.
+                    if own and not (link.get("is_duplicate") and link.get("target_global_id")):
+                        glossary[own] = {"id": own, **entity}
+                graph = ask("graph", json.dumps({"glossary": list(glossary), "memory": memory}, ensure_ascii=False), row.window_text)
+                if "nodes" not in graph or "edges" not in graph:
+                    continue
+                fixes = [x for x in ask("critique", "", json.dumps(graph, ensure_ascii=False)).get("fixes") or [] if isinstance(x, dict)]
+                gone = {x.get("node_id") for x in fixes if x.get("action") == "remove_node"}
+                cut = {(x.get("edge_source"), x.get("edge_target")) for x in fixes if x.get("action") == "remove_edge"}
+                kept = [n for n in graph["nodes"] if n["id"] not in gone]
+                memory = ask("memory", "", json.dumps({**graph, "nodes": kept}, ensure_ascii=False))
+                for n in kept:
+                    if n.get("label") == "Decision":  # decisions name themselves
+                        glossary.setdefault(n["id"], {k: n.get(k) for k in ("id", "name", "label", "description")})
+                nodes = [n for n in kept if n["id"] in glossary]
+                ids = {n["id"] for n in nodes}
+                edges = [e for e in graph["edges"] if e["source"] != e["target"] and {e["source"], e["target"]} <= ids and (e["source"], e["target"]) not in cut]
+                out.append((row.source, row.window_ref, row.thread_idx, row.window_idx, *[json.dumps(x, ensure_ascii=False) for x in (nodes, edges, fixes)]))
+            yield pd.DataFrame(out, columns=["source", "window_ref", "thread_idx", "window_idx", "nodes", "edges", "fixes"])
+
+    # As text, so that rows without a project are one project too.
+    keyed = windows_df.withColumn("project_key", F.to_json(F.struct("project")))
+    order = [F.asc_nulls_last(c) for c in ("source_seq", "thread_idx", "window_idx")]
+    # A number of partitions, as projects of few bytes would be put together in one task.
+    dealt = keyed.repartition(int(windows_df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "project_key").sortWithinPartitions("project_key", *order)
+    rows = dealt.select("project_key", "source", "window_ref", "thread_idx", "window_idx", "window_text").mapInPandas(mine, "source string, window_ref string, thread_idx bigint, window_idx bigint, nodes string, edges string, fixes string")
     graph = schemas.struct(schemas.SUBGRAPH)
     nodes, edges = graph["nodes"].dataType, graph["edges"].dataType
     fixes = schemas.struct(schemas.FIXES)["fixes"].dataType
     parsed = rows.withColumn("nodes", F.from_json("nodes", nodes)).withColumn("edges", F.from_json("edges", edges)).withColumn("fixes", F.from_json("fixes", fixes))
-    return cut_lineage(parsed)
+    with batches_of(windows_df.sparkSession, providers.BATCH):
+        return cut_lineage(parsed)
 
 
 def entity_rows(windows_df: DataFrame, provider: providers.Provider, retry: providers.Retry = providers.Retry()) -> DataFrame:

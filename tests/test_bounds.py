@@ -23,6 +23,16 @@ def resident(*_):
         return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
 
 
+def told(step, prompt, data):
+    """A provider that tells how much its process holds, and how many windows of its project it was asked about."""
+    if step == "graph":
+        seen = json.loads(prompt)["memory"].get("seen", 0) + 1
+        return json.dumps({"nodes": [{"id": "d", "label": "Decision", "name": str(resident()), "description": str(seen)}], "edges": [], "summary": str(seen)})
+    if step == "memory":
+        return json.dumps({"seen": int(json.loads(data)["summary"])})
+    return "{}"
+
+
 @pytest.fixture(scope="module")
 def wide(spark):
     """4,000 windows of 100,000 characters; rows with and without a project."""
@@ -31,6 +41,12 @@ def wide(spark):
     return spark.range(4000).select(F.lit("s").alias("source"), F.lit(0).alias("source_seq"), project.alias("project"), F.lit(0).cast("bigint").alias("thread_idx"), F.col("id").alias("window_idx"), F.col("id").cast("string").alias("window_ref"), text.alias("window_text"))
 
 
+def test_a_project_streams_through_its_task(wide):
+    rows = mining.mine_in_order(wide, told, QUICK).select("window_idx", F.col("nodes")[0]["name"].cast("double").alias("mb"), F.col("nodes")[0]["description"].cast("int").alias("seen")).collect()
+    assert len(rows) == 4000 and max(r.mb for r in rows) < 450
+    assert all(r.seen == (r.window_idx - 49 if r.window_idx >= 50 else r.window_idx + 1) for r in rows)
+
+
 def test_calls_hold_a_batch(spark, wide):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     found = providers.call(wide.withColumn("prompt", F.lit("")), resident_answer, "x", data="window_text", retry=QUICK)
