@@ -82,7 +82,7 @@ def next_starts(rows: DataFrame, max_chars: int, overlap: int) -> DataFrame:
     both = sums.unionByName(carried).withColumn("asks", F.lit(False)).unionByName(asked.withColumn("rn", none).withColumn("asks", F.lit(True)))
     reach = F.max("rn").over(Window.partitionBy("key", "bucket").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
     within = both.withColumn("within", F.coalesce(reach, F.lit(0))).where("asks").select("key", (F.col("at") - max_chars).alias("before"), "within")
-    full = summed.join(within, ["key", "before"]).withColumn("flush", F.greatest(F.col("rn") + overlap + 1, F.col("within") + 1))
+    full = summed.join(within.hint("merge"), ["key", "before"]).withColumn("flush", F.greatest(F.col("rn") + overlap + 1, F.col("within") + 1))
     ends = F.col("flush") > F.col("n")
     return full.select("key", F.col("rn").alias("first"), F.when(ends, F.col("n")).otherwise(F.col("flush") - 1).alias("last"), F.when(~ends, F.col("flush") - overlap).alias("next"))
 
@@ -91,19 +91,20 @@ def long_windows(rows: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVE
     """(key, window_idx, first_rn, last_rn) of (key, rn, len), by jump pointers.
 
     Each message points to the start of the next window, were it a start. A round doubles the pointers and
-    adds the starts that they reach from the known ones, so w windows of a thread take log2(w) rounds.
+    adds the starts that they reach from the known ones, so w windows of a thread take log2(w) rounds. The tables
+    compress so well that Spark would think them small: without the hints every round sends them through the driver.
     """
     windows = cut_lineage(next_starts(rows, max_chars, overlap))
     jumps = cut_lineage(windows.where("next is not null").select("key", "first", "next"))
     starts = windows.where("first = 1").select("key", "first", F.lit(0).cast("bigint").alias("window_idx"))
     step = 1
     while not jumps.isEmpty():
-        reached = starts.join(jumps, ["key", "first"]).select("key", F.col("next").alias("first"), (F.col("window_idx") + step).alias("window_idx"))
+        reached = starts.join(jumps.hint("merge"), ["key", "first"]).select("key", F.col("next").alias("first"), (F.col("window_idx") + step).alias("window_idx"))
         starts = cut_lineage(starts.unionByName(reached))
         onward = jumps.select("key", F.col("first").alias("next"), F.col("next").alias("further"))
-        jumps = cut_lineage(jumps.join(onward, ["key", "next"]).select("key", "first", F.col("further").alias("next")))
+        jumps = cut_lineage(jumps.join(onward.hint("merge"), ["key", "next"]).select("key", "first", F.col("further").alias("next")))
         step *= 2
-    return starts.join(windows, ["key", "first"]).select("key", "window_idx", F.col("first").alias("first_rn"), F.col("last").alias("last_rn"))
+    return starts.join(windows.hint("merge"), ["key", "first"]).select("key", "window_idx", F.col("first").alias("first_rn"), F.col("last").alias("last_rn"))
 
 
 def window_members(windows: DataFrame, ordered: DataFrame, keys: list[str]) -> DataFrame:

@@ -56,3 +56,11 @@ def test_calls_hold_a_batch(spark, wide):
 
 def resident_answer(step, prompt, data):
     return str(resident())
+
+
+def test_long_windows_broadcast_nothing(spark):
+    rows = spark.range(1, 3001).select(F.struct(F.lit("a").alias("source")).alias("key"), F.col("id").alias("rn"), F.lit(2000).cast("bigint").alias("len"))
+    found = windows.long_windows(rows)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    # Windows of five messages overlap by four.
+    assert sorted((r.window_idx, r.first_rn, r.last_rn) for r in found.collect()) == [(n, n + 1, n + 5) for n in range(2996)]
