@@ -10,6 +10,7 @@ from quillgraph.functions import text as text_fn
 from quillgraph.operators import graph as g
 from quillgraph.operators import sections
 from quillgraph.plans.registry import query, table
+from quillgraph.session import cut_lineage
 
 
 def _id(kind: str, column: str):
@@ -81,11 +82,14 @@ def edge_bag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _united(spark: SparkSession, sf_dir: str) -> g.Graph:
     """The union of a subgraph an order (its parts and their sources) and one a region."""
-    edge = F.struct("source", "target", "relation", "evidence")
-    node = F.struct(F.col("target").alias("id"), F.lit("Concept").alias("label"), F.concat(F.lit("order "), F.col("g").cast("string")).alias("name"))
     rows = _edges(spark, sf_dir).withColumn("g", F.when(F.col("relation") == "MENTIONS", F.expr("seq div 10")).otherwise(-1))
-    sorted_ = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("seq", x.alias("x")))), lambda y: y["x"])
-    return g.union_subgraphs(rows.groupBy(F.col("g").alias("seq_")).agg(sorted_(node).alias("nodes"), sorted_(edge).alias("edges")).withColumnRenamed("seq_", "seq"))
+    # Gathered once, as one list, which is written: nodes, edges and their widths are read from it.
+    lines = F.sort_array(F.collect_list(F.struct("seq", "target", "source", "relation", "evidence")))
+    held = cut_lineage(rows.groupBy("g").agg(lines.alias("lines")))
+    name = F.concat(F.lit("order "), F.col("g").cast("string"))
+    nodes = F.transform("lines", lambda x: F.struct(x["target"].alias("id"), F.lit("Concept").alias("label"), name.alias("name")))
+    edges = F.transform("lines", lambda x: F.struct(*[x[c].alias(c) for c in ("source", "target", "relation", "evidence")]))
+    return g.union_subgraphs(held.select(F.col("g").alias("seq"), nodes.alias("nodes"), edges.alias("edges")))
 
 
 @query("""WITH n AS (SELECT 'part_' || l_partkey AS id, 'order ' || l_orderkey AS name, l_orderkey AS g,
@@ -94,7 +98,7 @@ SELECT id, 'Concept' AS label, name, dense_rank() OVER (ORDER BY g) AS nth FROM
 UNION ALL SELECT DISTINCT 'region_' || n_regionkey, 'Concept', 'order -1', CAST(0 AS BIGINT) FROM nation""")
 def union_first_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal ids the first subgraph's node stands, in the subgraphs' order."""
-    nodes = _united(spark, sf_dir).nodes
+    nodes = cut_lineage(_united(spark, sf_dir).nodes)
     orders = nodes.select("name").distinct().where("name <> 'order -1'")
     nth = g.global_number(orders.withColumn("k", F.substring("name", 7, 20).cast("bigint")), ["k"], "nth").select("name", (F.col("nth") + 1).alias("nth"))
     return nodes.join(nth, "name", "left").select("id", "label", "name", F.coalesce("nth", F.lit(0).cast("bigint")).alias("nth"))

@@ -64,3 +64,17 @@ def test_long_windows_broadcast_nothing(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     # Windows of five messages overlap by four.
     assert sorted((r.window_idx, r.first_rn, r.last_rn) for r in found.collect()) == [(n, n + 1, n + 5) for n in range(2996)]
+
+
+def test_united_subgraphs_are_gathered_once(spark, sf_dir, monkeypatch):
+    passes = spark.sparkContext.accumulator(0)
+    edges_of = q_graph._edges
+
+    def counted(seq):
+        passes.add(1)
+        return seq
+
+    monkeypatch.setattr(q_graph, "_edges", lambda *a: edges_of(*a).withColumn("seq", F.udf(counted, "bigint")("seq")))
+    rows = edges_of(spark, sf_dir).count()
+    assert q_graph.union_first_nodes(spark, sf_dir).count() > 0
+    assert passes.value <= rows
