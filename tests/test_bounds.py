@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import sys
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quillgraph.functions import providers
-from quillgraph.operators import communities, windows
+from quillgraph.functions.vectors import cosine, norm
+from quillgraph.operators import communities, components, threads, windows
 from quillgraph.plans import mining, q_graph
 
 # Workers can't import tests.
@@ -66,6 +68,20 @@ def test_long_windows_broadcast_nothing(spark):
     assert sorted((r.window_idx, r.first_rn, r.last_rn) for r in found.collect()) == [(n, n + 1, n + 5) for n in range(2996)]
 
 
+def test_settled_sources_are_not_looked_at_again(spark, monkeypatch):
+    asked = []
+    wishes = communities.wishes
+    monkeypatch.setattr(communities, "wishes", lambda state, links: (asked.append(state.select("source").distinct().count()), wishes(state, links))[1])
+    # Pairs settle at once, a ring with chords takes more steps.
+    pairs = [(f"p{n}", 2 * n, 2 * n + 1, 1.0) for n in range(40)]
+    ring = [("ring", 1000 + n, 1000 + (n + d) % 40, 1.0) for n in range(40) for d in (1, 2)]
+    edges = spark.createDataFrame(pairs + ring, "source string, id bigint, target bigint, weight double")
+    members = edges.select("source", "id").unionByName(edges.select("source", F.col("target").alias("id"))).distinct()
+    found = {r.id: r.community for r in communities.thread_communities(members, edges).collect()}
+    assert len(found) == 120 and all(found[2 * n + 1] == found[2 * n] == 2 * n for n in range(40))
+    assert asked[0] == 41 and min(asked) == 1
+
+
 def test_united_subgraphs_are_gathered_once(spark, sf_dir, monkeypatch):
     passes = spark.sparkContext.accumulator(0)
     edges_of = q_graph._edges
