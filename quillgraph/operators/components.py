@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     checkpointed; the loop ends when no edge changes. Self-loops keep their node; NULL
     ends are ignored.
     """
-    given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    # Written, as the stars and, in the end, the nodes come from it: edges can be dear.
+    given = cut_lineage(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null"))
     nodes = given.select(F.col("u").alias("node")).unionByName(given.select(F.col("v").alias("node"))).distinct()
     stars = cut_lineage(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None

@@ -5,12 +5,15 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import text as text_fn
-from quillgraph.functions.vectors import cosine, norm
+from quillgraph.functions.vectors import norm
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.ranges import global_number, number_within
 
@@ -44,19 +47,25 @@ def reply_edges(messages: DataFrame) -> DataFrame:
     return asks.join(known, ["source", "target"]).select("source", "id", "target", F.lit(REPLY_WEIGHT).alias("weight"))
 
 
+def _blocks(rows: DataFrame, group: list[str], lookback: int, block: int) -> DataFrame:
+    """Rows with ``rn``, ``block`` and ``_own``: numbered over all groups and cut into blocks by their number.
+
+    The last ``lookback`` rows of a block are copied to the next one (not ``_own`` there), so a block has all that its
+    rows look back at: one shuffle, no join, and no task that holds a group.
+    """
+    numbered = global_number(rows, [*group, "pos"], "rn").withColumn("block", F.expr(f"rn div {block}"))
+    reach = F.expr(f"(rn + {lookback}) div {block} - block")
+    halo = numbered.where(reach > 0).withColumn("block", F.explode(F.transform(F.sequence(F.lit(1).cast("bigint"), reach), lambda x: F.col("block") + x)))
+    return numbered.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
+
+
 def lookback_pairs(rows: DataFrame, group: list[str], lookback: int = LOOKBACK, max_gap: str = MAX_GAP, block: int = BLOCK) -> DataFrame:
     """Pairs of a row (columns as they are) and each earlier row ``prev_*`` among the last
     ``lookback`` positions of its group that is at most ``max_gap`` older; ``rn`` and ``prev_rn``
     are places in the order of all groups and positions.
 
-    Rows are numbered over all groups and cut into blocks by their number. The last ``lookback`` rows
-    of a block are copied to the next one, so a block has all that its rows look back at: one shuffle,
-    no join, and no task that holds a group.
     """
-    numbered = global_number(rows, [*group, "pos"], "rn").withColumn("block", F.expr(f"rn div {block}"))
-    reach = F.expr(f"(rn + {lookback}) div {block} - block")
-    halo = numbered.where(reach > 0).withColumn("block", F.explode(F.transform(F.sequence(F.lit(1).cast("bigint"), reach), lambda x: F.col("block") + x)))
-    held = numbered.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
+    held = _blocks(rows, group, lookback, block)
     last = Window.partitionBy("block").orderBy("rn").rowsBetween(-lookback, -1)
     columns = [*rows.columns, "rn"]
     met = held.withColumn("_last", F.collect_list(F.struct(*columns)).over(last)).where("_own")
@@ -74,6 +83,46 @@ def best_previous(pairs: DataFrame, keys: list[str], target: str, similarity: Co
     return best.where(F.col("b.s") >= least).select(*keys, F.col("b.t").alias("target"), F.col("b.s").alias("similarity"))
 
 
+def best_lookback(messages: DataFrame, lookback: int = LOOKBACK, max_gap: str = MAX_GAP, least: float = THREAD_SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(source, id, target, similarity) like ``best_previous`` of the cosines of ``lookback_pairs``, of the rows that
+    ``asks`` marks, from (source, pos, id, ts, vec, asks).
+
+    No pair is made a row: each block is a matrix and looks back by one row, two, and so on. Products are
+    added one dimension after another, as Spark's cosine does. Vectors of two lengths aren't alike.
+    """
+    kind = messages.schema["id"].dataType.simpleString()
+    most = messages.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {max_gap})").first()[0]
+    narrow = messages.select("source", "pos", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "vec", norm(F.col("vec")).alias("norm"), "asks")
+    held = _blocks(narrow, ["source"], lookback, block)
+
+    def look(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        ids, source = table.column("id").combine_chunks(), table.column("source").combine_chunks()
+        rn, own = table.column("rn").to_numpy(), table.column("_own").to_numpy() & table.column("asks").to_numpy()
+        code = source.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        ts, timed = table.column("ts").fill_null(0).to_numpy(), table.column("ts").is_valid().to_numpy()
+        norms = table.column("norm").cast(pa.float64()).fill_null(0.0).to_numpy()
+        vec = table.column("vec").combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(vec), -1).to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(len(sizes)), np.maximum(sizes, 0))
+        flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        dims = np.zeros((max(1, sizes.max()), len(sizes)))
+        dims[np.arange(len(flat)) - (np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0))[at], at] = flat
+        best, found = np.zeros(len(sizes)), np.full(len(sizes), -1)
+        with np.errstate(all="ignore"):
+            # The earliest first, so that it stands among equals.
+            for back in range(min(lookback, len(sizes) - 1), 0, -1):
+                scale = norms[back:] * norms[:-back]
+                fits = own[back:] & (rn[back:] - rn[:-back] == back) & (code[back:] == code[:-back]) & timed[back:] & timed[:-back] & (ts[back:] - ts[:-back] <= most) & (sizes[back:] == sizes[:-back]) & (scale > 0)
+                similar = np.where(fits, np.add.reduce(dims[:, back:] * dims[:, :-back], axis=0) / scale, 0.0)
+                better = similar > best[back:]
+                best[back:][better], found[back:][better] = similar[better], np.flatnonzero(better)
+        keep = np.flatnonzero((found >= 0) & (best >= least))
+        return pa.table({"source": source.take(pa.array(keep)), "id": ids.take(pa.array(keep)), "target": ids.take(pa.array(found[keep])), "similarity": pa.array(best[keep])})
+
+    return held.groupBy("block").applyInArrow(look, f"source {messages.schema['source'].dataType.simpleString()}, id {kind}, target {kind}, similarity double")
+
+
 def thread_edges(messages: DataFrame, lookback: int = LOOKBACK, max_gap: str = MAX_GAP, least: float = THREAD_SIMILARITY) -> DataFrame:
     """(source, id, target, weight): reply edges, and for other messages the best look-back
     edge. ``messages`` has (source, pos, id, ts, reply_to_message_id, vec array<double>).
@@ -84,10 +133,9 @@ def thread_edges(messages: DataFrame, lookback: int = LOOKBACK, max_gap: str = M
     replies = reply_edges(messages)
     # Positions count all messages, also those without a vector or time and those that a reply
     # takes out below.
-    narrow = messages.select("source", "pos", "id", "ts", "vec").withColumn("norm", norm(F.col("vec")))
-    pairs = lookback_pairs(narrow, ["source"], lookback, max_gap)
-    pairs = pairs.join(replies.select("source", "id"), ["source", "id"], "left_anti")
-    similar = best_previous(pairs, ["source", "id"], "prev_id", cosine(F.col("vec"), F.col("prev_vec"), F.col("norm"), F.col("prev_norm")), least)
+    answering = replies.select("source", "id").distinct().withColumn("_reply", F.lit(True))
+    narrow = messages.select("source", "pos", "id", "ts", "vec").join(answering, ["source", "id"], "left").withColumn("asks", F.col("_reply").isNull())
+    similar = best_lookback(narrow, lookback, max_gap, least)
     edges = replies.unionByName(similar.select("source", "id", "target", F.col("similarity").alias("weight")))
     order = messages.select("source", "id", "pos")
     pair = [F.least("id", "target").alias("a"), F.greatest("id", "target").alias("b")]

@@ -94,3 +94,27 @@ def test_united_subgraphs_are_gathered_once(spark, sf_dir, monkeypatch):
     rows = edges_of(spark, sf_dir).count()
     assert q_graph.union_first_nodes(spark, sf_dir).count() > 0
     assert passes.value <= rows
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_best_lookback_as_by_pairs(spark, block):
+    rng = random.Random(8)
+    vecs = [[rng.choice([0.0, 0.3, 0.7, 1.1]) for _ in range(6)] for _ in range(12)] + [None, [0.0] * 6, [1.0]]
+    rows = [(("a", "b", "c")[n % 7 % 3], n, n * 10, None if n % 17 == 3 else n * 900 * (1 + n % 2), rng.choice(vecs), n % 5 > 0) for n in range(300)]
+    df = spark.createDataFrame(rows, "source string, pos bigint, id bigint, secs bigint, vec array<double>, asks boolean").withColumn("ts", F.timestamp_seconds("secs"))
+    pairs = threads.lookback_pairs(df.withColumn("norm", norm(F.col("vec"))), ["source"]).where("asks")
+    want = threads.best_previous(pairs, ["source", "id"], "prev_id", cosine(F.col("vec"), F.col("prev_vec"), F.col("norm"), F.col("prev_norm")), 0.6)
+    got = threads.best_lookback(df, least=0.6, block=block).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and len(got) > 50
+
+
+def test_edges_of_threads_are_computed_once(spark):
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        passes.add(1)
+        return i
+
+    edges = spark.range(50).select(F.udf(counted, "bigint").asNondeterministic()("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert components.connected_components(edges).select("component").distinct().count() == 1
+    assert passes.value == 50
