@@ -76,7 +76,7 @@ def call(
     known = None
     if answers is not None and _exists(df, answers):
         known = df.sparkSession.read.schema("_key string, answer string").parquet(answers).where("answer is not null").groupBy("_key").agg(F.min("answer").alias("answer"))
-        asked = asked.join(known, "_key", "left_anti")
+        asked = asked.join(known.hint("merge"), "_key", "left_anti")
     if concurrency is not None:
         asked = asked.repartition(concurrency)
 
@@ -91,7 +91,8 @@ def call(
     if answers is not None:
         fresh.write.mode("append").parquet(answers)
     found = fresh if known is None else fresh.unionByName(known)
-    return keyed.join(found.withColumnRenamed("answer", out), "_key", "left").select(*df.columns, out)
+    # Answers are much alike, so their files are small; as a broadcast all would be held by the driver at once.
+    return keyed.join(found.withColumnRenamed("answer", out).hint("merge"), "_key", "left").select(*df.columns, out)
 
 
 def _exists(df: DataFrame, path: str) -> bool:

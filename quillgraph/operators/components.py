@@ -15,13 +15,13 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.where("v > u").join(_lowest(both), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(_lowest(both).hint("merge"), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _lowest(down)
-    linked = down.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    linked = down.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return linked.unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
 
 
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternating large-star and small-star steps turn every component into a star in
     O(log^2 n) rounds, whatever its diameter. Each round moves edges only, and minima are
     combined before they are shuffled, so a hub costs no more than its edges. A round is
-    checkpointed; the loop ends when no edge changes. Self-loops keep their node; NULL
+    checkpointed; the loop ends when no edge changes. Stars compress so well that Spark would think them small and
+    send them through the driver each round, so they are merged by hint. Self-loops keep their node; NULL
     ends are ignored.
     """
     # Written, as the stars and, in the end, the nodes come from it: edges can be dear.
@@ -50,4 +51,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")).hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -1,4 +1,8 @@
-"""Thread graph: reply edges, look-back similarity edges, threads and their order."""
+"""Thread graph: reply edges, look-back similarity edges, threads and their order.
+
+Tables with a row a message are merged, by hint: their Parquet files and estimates are so much smaller than their
+rows that Spark would send all messages through the driver as a broadcast.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +48,7 @@ def reply_edges(messages: DataFrame) -> DataFrame:
     """(source, id, target, weight) of messages that answer a known one, earlier or later."""
     known = messages.select("source", F.col("id").alias("target"))
     asks = messages.where("reply_to_message_id is not null").select("source", "id", F.col("reply_to_message_id").alias("target"))
-    return asks.join(known, ["source", "target"]).select("source", "id", "target", F.lit(REPLY_WEIGHT).alias("weight"))
+    return asks.join(known.hint("merge"), ["source", "target"]).select("source", "id", "target", F.lit(REPLY_WEIGHT).alias("weight"))
 
 
 def _blocks(rows: DataFrame, group: list[str], lookback: int, block: int) -> DataFrame:
@@ -134,12 +138,12 @@ def thread_edges(messages: DataFrame, lookback: int = LOOKBACK, max_gap: str = M
     # Positions count all messages, also those without a vector or time and those that a reply
     # takes out below.
     answering = replies.select("source", "id").distinct().withColumn("_reply", F.lit(True))
-    narrow = messages.select("source", "pos", "id", "ts", "vec").join(answering, ["source", "id"], "left").withColumn("asks", F.col("_reply").isNull())
+    narrow = messages.select("source", "pos", "id", "ts", "vec").join(answering.hint("merge"), ["source", "id"], "left").withColumn("asks", F.col("_reply").isNull())
     similar = best_lookback(narrow, lookback, max_gap, least)
     edges = replies.unionByName(similar.select("source", "id", "target", F.col("similarity").alias("weight")))
     order = messages.select("source", "id", "pos")
     pair = [F.least("id", "target").alias("a"), F.greatest("id", "target").alias("b")]
-    latest = edges.join(order, ["source", "id"]).groupBy("source", *pair).agg(F.max_by(F.struct("id", "target", "weight"), "pos").alias("e"))
+    latest = edges.join(order.hint("merge"), ["source", "id"]).groupBy("source", *pair).agg(F.max_by(F.struct("id", "target", "weight"), "pos").alias("e"))
     return latest.select("source", "e.id", "e.target", "e.weight")
 
 
@@ -148,7 +152,7 @@ def thread_members(messages: DataFrame, edges: DataFrame) -> DataFrame:
     node = lambda c: F.concat_ws("\x1f", "source", F.lpad(F.col(c).cast("string"), 20, "0"))
     found = connected_components(edges.select(node("id").alias("src"), node("target").alias("dst")))
     own = messages.select("source", "id", node("id").alias("node"))
-    return own.join(found, "node", "left").select("source", "id", F.coalesce("component", "node").alias("thread"))
+    return own.join(found.hint("merge"), "node", "left").select("source", "id", F.coalesce("component", "node").alias("thread"))
 
 
 def order_threads(members: DataFrame) -> DataFrame:
@@ -159,8 +163,7 @@ def order_threads(members: DataFrame) -> DataFrame:
     """
     numbered = number_within(members, ["source", "thread"], [F.asc_nulls_last("ts"), F.col("pos")])
     heads = numbered.where("rn = 1").select("source", "thread", F.col("ts").alias("start"), F.col("pos").alias("start_pos"))
-    # Numbered over all sources by range, then from each source's first: no source is one task.
-    among = global_number(heads, ["source", F.asc_nulls_last("start"), F.col("start_pos")], "_n")
-    first = among.groupBy("source").agg(F.min("_n").alias("_first"))
-    index = among.join(first, "source").select("source", "thread", (F.col("_n") - F.col("_first")).alias("thread_idx"))
-    return numbered.join(index, ["source", "thread"])
+    # Numbered by range, so no source is one task.
+    among = number_within(heads, ["source"], [F.asc_nulls_last("start"), F.col("start_pos")], "_n")
+    index = among.select("source", "thread", (F.col("_n") - 1).alias("thread_idx"))
+    return numbered.join(index.hint("merge"), ["source", "thread"])

@@ -108,9 +108,10 @@ def long_windows(rows: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVE
 
 
 def window_members(windows: DataFrame, ordered: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``ordered`` once for each window that holds them."""
+    """Rows of ``ordered`` once for each window that holds them. Spark's estimate of ``placed`` is that of the
+    windows, not of their messages, so it is kept from broadcasting."""
     placed = windows.withColumn("rn", F.explode(F.sequence("first_rn", "last_rn")))
-    return placed.join(ordered, [*keys, "rn"])
+    return placed.join(ordered.hint("merge"), [*keys, "rn"])
 
 
 def window_text(members: DataFrame, keys: list[str], line: str = "line") -> DataFrame:

@@ -20,7 +20,9 @@ from quillgraph.session import batches_of, cut_lineage
 def rendered(messages: DataFrame, lexicon: votes.VoteLexicon = votes.RUSSIAN) -> DataFrame:
     """Messages with ``line``: date, author, what they answer, their vote and text."""
     lookup = threads.message_lookup(messages).select("source", F.col("id").alias("reply_to_message_id"), F.col("from").alias("r_from"), F.col("text").alias("r_text"), F.lit(True).alias("r_known"))
-    joined = messages.join(lookup, ["source", "reply_to_message_id"], "left")
+    # Merged, as the lookup holds all texts; what answers nothing stays out, as NULL keys would be one task a source.
+    joined = messages.where("reply_to_message_id is not null").join(lookup.hint("merge"), ["source", "reply_to_message_id"], "left")
+    joined = joined.unionByName(messages.where("reply_to_message_id is null"), allowMissingColumns=True)
     reply = F.when(F.col("r_known"), text_fn.reply_snippet(F.col("r_from"), F.coalesce("r_text", F.lit(""))))
     flag = votes.vote_flag(votes.detect_vote(F.col("text"), lexicon))
     return joined.withColumn("line", text_fn.chat_line(F.col("date"), F.col("from"), F.col("author"), reply, flag, F.col("text"))).drop("r_from", "r_text", "r_known")
@@ -32,11 +34,11 @@ def chat_windows(messages: DataFrame, embed=hashed_embeddings, lexicon: votes.Vo
     edges = threads.thread_edges(valid, least=least)
     members = threads.thread_members(valid, edges)
     lines = rendered(messages, lexicon).select("source", "id", "line")
-    full = valid.select("source", "id", "pos", "ts", F.char_length("text").alias("chars")).join(members, ["source", "id"])
+    full = valid.select("source", "id", "pos", "ts", F.char_length("text").alias("chars")).join(members.hint("merge"), ["source", "id"])
     ordered = threads.order_threads(full)
     keys = ["source", "thread", "thread_idx"]
     packed = windows.pack_windows(ordered, keys)
-    placed = windows.window_members(packed, ordered, keys).join(lines, ["source", "id"])
+    placed = windows.window_members(packed, ordered, keys).join(lines.hint("merge"), ["source", "id"])
     return windows.window_text(placed, ["source"])
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import providers
 from quillgraph.functions.vectors import cosine, norm
-from quillgraph.operators import communities, components, threads, windows
-from quillgraph.plans import mining, q_graph
+from quillgraph.operators import communities, components, ranges, threads, windows
+from quillgraph.plans import mining, q_chat, q_graph
 
 # Workers can't import tests.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -118,3 +118,27 @@ def test_edges_of_threads_are_computed_once(spark):
     edges = spark.range(50).select(F.udf(counted, "bigint").asNondeterministic()("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert components.connected_components(edges).select("component").distinct().count() == 1
     assert passes.value == 50
+
+
+def broadcast_joins(monkeypatch, modules, run):
+    """The broadcast joins in the plans of what ``run`` writes and returns, as the tables' sizes alone suggest them."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    cut = components.cut_lineage
+    for m in modules:
+        monkeypatch.setattr(m, "cut_lineage", noted)
+    last = run()
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5
+    return [line.strip() for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+
+
+def test_messages_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """Tables with a row a message, a link, a window or an answer look small to Spark as files; only places of range
+    partitions, a row each, may go through the driver."""
+    found = broadcast_joins(monkeypatch, (components, ranges, windows, providers), lambda: q_chat.provider_extract(spark, sf_dir))
+    assert found and all("[_part#" in line for line in found)
