@@ -55,7 +55,7 @@ def vote_counts(graph: Graph) -> DataFrame:
         gathered = F.array_sort(F.collect_list(F.when(F.col("relation") == relation, F.struct("ord", "voter"))))
         return F.transform(gathered, lambda x: x["voter"])
 
-    # Counted by option once, then given to each decision that lists it.
+    # Counted by option once, then given to each decision that lists it; merged, as an option's row names all its voters.
     per_option = named.groupBy("option_id").agg(
         F.count_if(F.col("relation") == "VOTED_FOR").alias("votes_for"),
         F.count_if(F.col("relation") == "VOTED_AGAINST").alias("votes_against"),
@@ -63,7 +63,7 @@ def vote_counts(graph: Graph) -> DataFrame:
         names("VOTED_AGAINST").alias("voters_against"),
     )
     none = F.array().cast("array<string>")
-    full = options.join(per_option, "option_id", "left").na.fill(0, ["votes_for", "votes_against"])
+    full = options.join(per_option.hint("merge"), "option_id", "left").na.fill(0, ["votes_for", "votes_against"])
     full = full.withColumn("voters_for", F.coalesce("voters_for", none)).withColumn("voters_against", F.coalesce("voters_against", none))
     return full.withColumn("score", F.col("votes_for") - F.col("votes_against"))
 

@@ -232,10 +232,10 @@ def relabel(edges: DataFrame, idmap: DataFrame) -> DataFrame:
 
 def edge_order(graph: Graph) -> DataFrame:
     """Edges with ``ord``: by their source's place, then the place where the pair first
-    occurs, then their own."""
+    occurs, then their own. There may be as many pairs as edges, so they are merged, not broadcast."""
     first = graph.edges.groupBy("source", "target").agg(F.min("seq").alias("pair_seq"))
     places = graph.nodes.select(F.col("id").alias("source"), F.col("seq").alias("source_seq"))
-    joined = graph.edges.join(first, ["source", "target"]).join(places, "source", "left")
+    joined = graph.edges.join(first.hint("merge"), ["source", "target"]).join(places, "source", "left")
     return joined.withColumn("ord", F.struct(F.coalesce("source_seq", F.lit(1 << 62)).alias("s"), F.col("pair_seq").alias("p"), F.col("seq").alias("e"))).drop("pair_seq", "source_seq")
 
 

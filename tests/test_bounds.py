@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import providers
 from quillgraph.functions.vectors import cosine, norm
-from quillgraph.operators import communities, components, ranges, threads, windows
+from quillgraph.operators import communities, components, decisions, graph, ranges, threads, windows
 from quillgraph.plans import mining, q_chat, q_graph
 
 # Workers can't import tests.
@@ -142,3 +142,14 @@ def test_messages_are_not_broadcast(spark, sf_dir, monkeypatch):
     partitions, a row each, may go through the driver."""
     found = broadcast_joins(monkeypatch, (components, ranges, windows, providers), lambda: q_chat.provider_extract(spark, sf_dir))
     assert found and all("[_part#" in line for line in found)
+
+
+def test_pairs_and_voters_are_not_broadcast(spark):
+    nodes = spark.createDataFrame([("d", "Decision", "role", 0), ("x", "Component", "X", 1), ("y", "Component", "Y", 2), ("p", "Person", "P", 3)], "id string, label string, name string, seq bigint")
+    edges = spark.createDataFrame([("d", "x", "RELATES_TO", 0), ("d", "y", "RELATES_TO", 1)] + [("p", "x", "VOTED_FOR", n) for n in range(2, 52)], "source string, target string, relation string, seq bigint")
+    counts = decisions.vote_counts(graph.Graph(components.cut_lineage(nodes), components.cut_lineage(edges)))
+    found = [line for line in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    # Nodes may be; a row a pair of nodes or a list of all voters may not.
+    assert not [line for line in found if "target#" in line.split("]")[0]]
+    assert counts._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin [option_id#") == 1
+    assert {(r.option_id, r.votes_for, len(r.voters_for)) for r in counts.collect()} == {("x", 50, 50), ("y", 0, 0)}
